@@ -101,11 +101,11 @@ def _pieces(threshold):
 def _places(keys, widths):
     """Every substring of ``keys`` whose width some piece has: where that piece may reappear."""
     bounds = widths.agg(F.array_sort(F.collect_set("w")).alias("ws"))   # widths, not rows: at most the longest value
-    spans = keys.select("key", F.length("key").alias("n"), bounds.scalar().alias("ws"))
-    spans = spans.select("key", "n", F.explode(F.filter("ws", lambda w: w <= F.col("n"))).alias("w"))
-    spans = spans.select("key", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))).alias("pos"))
-    return spans.select(F.col("key").alias("b"), F.col("n").alias("nb"), "pos", F.col("key").substr(F.col("pos") + 1, F.col("w")).alias("text"),
-                        *[c for c in keys.columns if c != "key"])
+    spans = keys.select("*", F.length("key").alias("n"), bounds.scalar().alias("ws"))
+    spans = spans.select("*", F.explode(F.filter("ws", lambda w: w <= F.col("n"))).alias("w"))
+    spans = spans.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))).alias("pos"))
+    return spans.select(F.col("key").alias("b"), F.col("n").alias("nb"), "pb", "pos",
+                        F.col("key").substr(F.col("pos") + 1, F.col("w")).alias("text"))
 
 
 def candidate_pairs(short, long, threshold, strict=False):
@@ -116,7 +116,7 @@ def candidate_pairs(short, long, threshold, strict=False):
     """
     cut = short.select("key", F.col("part").alias("pa"), F.explode(_pieces(threshold)).alias("p")).select(
         F.col("key").alias("a"), "pa", F.length("key").alias("na"), F.col("p.at").alias("at"), F.col("p.text").alias("text"))
-    places = _places(long.withColumnRenamed("part", "pb"), cut.select(F.length("text").alias("w")).distinct())
+    places = _places(long.select("key", F.col("part").alias("pb")), cut.select(F.length("text").alias("w")).distinct())
     total = F.col("na") + F.col("nb")
     shorter = (F.col("na") < F.col("nb")) if strict else (F.col("na") <= F.col("nb"))
     fits = ((F.col("pa") != F.col("pb")) & shorter & (2 * F.col("na") >= threshold * total - 1e-9)
