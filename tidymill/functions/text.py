@@ -9,6 +9,14 @@ def lookup(mapping, key, default=None):
     return found if default is None else F.coalesce(found, default)
 
 
+def let(value, fn):
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it.
+
+    Plain nesting would copy the inner expression at every mention, and again whenever a filter is pushed down.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def folded(v):
     return F.lower(F.trim(v))
 

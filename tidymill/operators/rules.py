@@ -35,6 +35,10 @@ class Cell:
     def other(self, name):
         return F.col(f"`{self.current.get(name, name)}`")
 
+    def get(self, name):
+        """A helper value set by ``ColumnRules.let``."""
+        return F.col(f"`{self.current[self.column + '.' + name]}`")
+
 
 @dataclass
 class ColumnRules:
@@ -53,6 +57,11 @@ class ColumnRules:
         self.waves[-1].append(("derive", rule, f"{self.column}_{suffix}", fn))
         return self
 
+    def let(self, name, fn):
+        """Helper value, computed once and read by several later steps through ``cell.get(name)``; not in the output."""
+        self.waves[-1].append(("let", None, f"{self.column}.{name}", fn))
+        return self
+
     def flag(self, rule, fn):
         self.waves[-1].append(("flag", rule, None, fn))
         return self
@@ -180,6 +189,9 @@ def apply_rules(df, rules, rid="_rid") -> CleanResult:
                     batch[slot] = new
                     changes.append((rule, r.column, before[r.column], slot))
                     current[r.column] = out_columns[r.column] = slot
+                elif kind == "let":
+                    batch[slot] = new
+                    current[name] = slot
                 else:
                     batch[slot] = new
                     current[name] = out_columns[name] = slot
