@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .fixed_values import CURRENCY_PREFIXES, CURRENCY_SYMBOLS, NUMBER_SCALES, NUMBER_WORDS, ORDINAL_WORDS
-from .text import group, lookup, number
+from .text import group, let, lookup, number
 
 SCIENTIFIC = r"^[+-]?\d+\.?\d*[eE][+-]?\d+$"
 
@@ -67,9 +67,8 @@ def from_european(v):
 
 def parse_number(v):
     """Any of '$1,234.50', '1.234,50 EUR', ' 12 % ' -> double, else null."""
-    v = F.trim(v.cast("string"))
-    plain = F.when(is_european(v), from_european(v)).otherwise(without_thousands(v))
-    return number(F.regexp_replace(without_currency(plain), r"[^\d.\-+eE]", ""))
+    plain = let(F.trim(v.cast("string")), lambda t: F.when(is_european(t), from_european(t)).otherwise(without_thousands(t)))
+    return number(F.regexp_replace(let(plain, without_currency), r"[^\d.\-+eE]", ""))
 
 
 def plain_decimal(v):

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..plans.quantiles import exact_quantiles
 
 FLAG_SCHEMA = "_rid bigint, rule string, column string, value string"
@@ -27,17 +28,43 @@ FLAG_SCHEMA = "_rid bigint, rule string, column string, value string"
 class Cell:
     """What a step sees: the current value, the original value, other columns, and the measured statistics."""
     column: str
-    v: object
     raw: object
     stat: dict
     current: dict
+    bound: dict = field(default_factory=dict)
+
+    def _slot(self, slot):
+        return self.bound[slot] if slot in self.bound else F.col(f"`{slot}`")
+
+    @property
+    def v(self):
+        return self._slot(self.current[self.column])
 
     def other(self, name):
-        return F.col(f"`{self.current.get(name, name)}`")
+        """Current value of another column."""
+        return self._slot(self.current.get(name, name))
 
     def get(self, name):
         """A helper value set by ``ColumnRules.let``."""
-        return F.col(f"`{self.current[self.column + '.' + name]}`")
+        return self._slot(self.current[self.column + "." + name])
+
+
+def evaluate(fn, cell):
+    """The step's expression, mentioning every staged input once.
+
+    The optimizer inlines staged columns into filters and joins. An input mentioned ten times per step would be copied
+    ten-fold per step; bound to a variable it is copied once, so the plan grows with the number of steps only.
+    """
+    plain = fn(cell)
+    if plain is None:
+        return None
+    text = repr(plain)
+    used = sorted({s for s in cell.current.values() if s.endswith("~") and s in text})
+    if all(text.count(s) == 1 for s in used):
+        return plain
+    inputs = F.struct(*[F.col(f"`{s}`").alias(f"i{k}") for k, s in enumerate(used)])
+    return let(inputs, lambda row: fn(Cell(cell.column, cell.raw, cell.stat, cell.current,
+                                           {s: row.getField(f"i{k}") for k, s in enumerate(used)})))
 
 
 @dataclass
@@ -166,7 +193,7 @@ def apply_rules(df, rules, rid="_rid") -> CleanResult:
     def staged_name(column):
         nonlocal serial
         serial += 1
-        return f"{column}~{serial}"
+        return f"{column}~{serial}~"
 
     for wave in range(max((len(r.waves) for r in rules), default=0)):
         active = [r for r in rules if wave < len(r.waves)]
@@ -177,8 +204,7 @@ def apply_rules(df, rules, rid="_rid") -> CleanResult:
                 if depth >= len(r.waves[wave]):
                     continue
                 kind, rule, name, fn = r.waves[wave][depth]
-                value = F.col(f"`{before[r.column]}`")
-                new = fn(Cell(r.column, value, F.col(f"`{r.column}`"), stats[r.column], before))
+                new = evaluate(fn, Cell(r.column, F.col(f"`{r.column}`"), stats[r.column], before))
                 if new is None:
                     continue
                 slot = staged_name(name or r.column)
@@ -201,7 +227,7 @@ def apply_rules(df, rules, rid="_rid") -> CleanResult:
         aggregates, quantiles, targets = [], {}, []
         for r, barrier in measured:
             if barrier[0] == "measure":
-                cell = Cell(r.column, F.col(f"`{current[r.column]}`"), F.col(f"`{r.column}`"), stats[r.column], current)
+                cell = Cell(r.column, F.col(f"`{r.column}`"), stats[r.column], current)
                 for name, fn in barrier[1].items():
                     targets.append((r.column, name))
                     aggregates.append(fn(cell).alias(f"m{len(aggregates)}"))
