@@ -28,7 +28,13 @@ def category_case(v):
     return F.when(is_upper(v) & (F.length(v) <= 5), v).otherwise(title_keeping(v, CATEGORY_ACRONYMS))
 
 
-_MARKS = [("’", "'"), ("“", '"'), ("”", '"'), ("—", "-"), ("–", "-"), (" ", " ")]
+_MARKS = [("\u2019", "'"), ("\u201c", '"'), ("\u201d", '"'), ("\u2014", "-"), ("\u2013", "-"), ("\u00a0", " ")]
+
+
+def compatibility_forms(frame, column, out):
+    """CAT-08: NFKC. Only distinct values with other than ASCII characters can change, so only they reach Python."""
+    special = frame.select(F.col(f"`{column}`").alias("value")).filter(F.col("value").rlike(r"[^\x00-\x7F]")).distinct()
+    return apply_variants(frame, column, special.select("value", nfkc("value").alias("canonical")), out)
 
 
 def most_frequent_spelling(frame, column, out):
@@ -57,8 +63,7 @@ def category_rules(column, typos=True):
     r = (ColumnRules(column)
          .change("CAT-07", lambda c: squeeze(c.v))
          .change("CAT-08", lambda c: replace_all(c.v, _MARKS))
-         # only values with other than ASCII characters can change under NFKC
-         .change("CAT-08", lambda c: F.when(c.v.rlike(r"[^\x00-\x7F]"), nfkc(F.when(c.v.rlike(r"[^\x00-\x7F]"), c.v))).otherwise(c.v))
+         .join("CAT-08", compatibility_forms)
          .change("CAT-01", lambda c: category_case(c.v))
          .join("CAT-02", most_frequent_spelling))
     if typos:
