@@ -186,13 +186,14 @@ def compare_significant(spark, sf):
 
 
 def _ratios(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS _rid", "l_extendedprice AS revenue", "l_quantity AS qty", "l_extendedprice * l_tax AS profit", "CAST(l_shipdate AS DATE) AS admission",
+    return table(spark, sf, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS _rid", "l_extendedprice AS revenue", "l_quantity * 7 + 0.13D AS qty", "l_extendedprice * l_tax AS profit", "CAST(l_shipdate AS DATE) AS admission",
                                                    "date_add(CAST(l_shipdate AS DATE), l_linenumber) AS discharge")
 
 
 @query("derived_metrics", """
-SELECT l_orderkey * 10 + l_linenumber AS _rid, round(l_extendedprice * l_tax / l_extendedprice * 100, 2) AS profit_margin_pct, round(l_extendedprice / l_quantity, 2) AS revenue_per_unit,
- round(l_extendedprice * l_tax / l_quantity, 2) AS profit_per_unit, l_linenumber AS length_of_stay_days FROM lineitem""")
+WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS _rid, l_extendedprice AS revenue, l_quantity * 7 + CAST(0.13 AS DOUBLE) AS qty, l_extendedprice * l_tax AS profit, l_linenumber AS days FROM lineitem)
+SELECT _rid, CAST(round(CAST(profit / revenue * 100 AS DECIMAL(28, 10)), 2) AS DOUBLE) AS profit_margin_pct, CAST(round(CAST(revenue / qty AS DECIMAL(28, 10)), 2) AS DOUBLE) AS revenue_per_unit,
+ CAST(round(CAST(profit / qty AS DECIMAL(28, 10)), 2) AS DOUBLE) AS profit_per_unit, days AS length_of_stay_days FROM d""")
 def derived_metrics(spark, sf):
     return dv.add_derived_metrics(_ratios(spark, sf)).select("_rid", "profit_margin_pct", "revenue_per_unit", "profit_per_unit", "length_of_stay_days")
 
@@ -283,3 +284,32 @@ def chart_suite(spark, sf):
     points = ch.suite(df, pf.column_roles(df))
     lines = [p.select(F.lit("/".join(str(k) for k in key)).alias("chart"), F.to_json(F.struct("*")).alias("point")) for key, p in points.items()]
     return reduce(lambda a, b: a.unionByName(b), lines)
+
+
+# ---- the whole way -------------------------------------------------------------------------------------------------------------------
+
+_RAW = """c_custkey AS _rid, CASE WHEN c_custkey % 41 = 0 THEN 'Total' ELSE concat('  dr. ', substr(md5(cast(c_custkey as string)), 1, 6), ' ', lower(c_mktsegment)) END AS `Full Name`,
+ concat('User', c_custkey % 900, '@GMAIL.com') AS emial, concat('$', cast(c_acctbal as string)) AS amount, date_format(date_add(DATE '1990-01-01', cast(c_custkey % 3000 as int)), 'dd/MM/yyyy') AS `Joining Date`,
+ CASE c_custkey % 3 WHEN 0 THEN 'usa' WHEN 1 THEN 'Nepal' ELSE 'DEU' END AS country, CASE c_custkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'OPEN' ELSE 'on hold' END AS status"""
+
+
+def _full(spark, sf):
+    from tidymill.plans.full_clean import clean_table
+    table(spark, sf, "customer").createOrReplaceTempView("customer_raw")
+    return clean_table(spark.sql(f"SELECT {_RAW} FROM customer_raw"), "2024-01-01", workdir=scratch(spark, "full"))
+
+
+@query("full_clean", """
+WITH d AS (SELECT c_custkey AS _rid, upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 1)) AS a, c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 41 <> 0)
+SELECT _rid, 'user' || (k % 900) || '@gmail.com' AS email, x AS amount, strftime(DATE '1990-01-01' + CAST(k % 3000 AS INT), '%Y-%m-%d') AS joining_date, ['United States', 'Nepal', 'Germany'][k % 3 + 1] AS country,
+ ['Completed', 'Active', 'Pending', 'Pending'][k % 4 + 1] AS status FROM d""")
+def full_clean(spark, sf):
+    return _full(spark, sf).table.select("_rid", "email", "amount", F.date_format("joining_date", "yyyy-MM-dd").alias("joining_date"), "country", "status")
+
+
+@query("full_clean_rules", """
+SELECT rule, n FROM (SELECT 'EMAIL-01' AS rule, count(*) AS n FROM customer WHERE c_custkey % 41 <> 0 UNION ALL SELECT 'GLOBAL-07', count(*) FROM customer WHERE c_custkey % 41 = 0
+ UNION ALL SELECT 'FNAME-03', count(*) FROM customer WHERE c_custkey % 41 <> 0 UNION ALL SELECT 'DATE-07', count(*) FROM customer WHERE c_custkey % 41 <> 0)""")
+def full_clean_rules(spark, sf):
+    kept = _full(spark, sf).audit.filter("rule in ('EMAIL-01', 'GLOBAL-07', 'FNAME-03', 'DATE-07')")
+    return kept.groupBy("rule").agg(F.count("*").alias("n"))
