@@ -2,9 +2,18 @@
 from pyspark.sql import functions as F
 
 
+def _sql_literal(x):
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def lookup(mapping, key, default=None):
-    """Value of ``key`` in a small fixed dictionary, else ``default`` (null when not given)."""
-    table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    """Value of ``key`` in a small fixed dictionary, else ``default`` (null when not given).
+
+    The dictionary is one constant expression; building it from single literals would cost a call per entry.
+    """
+    table = F.expr("map(" + ", ".join(_sql_literal(x) for kv in mapping.items() for x in kv) + ")")
     found = F.try_element_at(table, key)
     return found if default is None else F.coalesce(found, default)
 

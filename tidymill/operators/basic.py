@@ -85,8 +85,11 @@ def basic_clean(df, rid="_rid", sparse=0.8):
     """PIPE-01 to PIPE-08 in order; numbers are filled with the mean, text with the most frequent value."""
     out = age_groups(month_columns(drop_sparse_columns(lower_names(drop_exact(df, rid), rid), sparse, rid), rid), rid)
     numbers = [f.name for f in out.schema.fields if isinstance(f.dataType, NumericType) and f.name != rid]
-    means = out.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in numbers]).first() if numbers else []
     texts = [c for c, t in out.dtypes if t == "string" and c != rid]
+    facts = out.agg(F.count(F.lit(1)), *[F.avg(F.col(f"`{c}`").cast("double")) for c in numbers], *[F.count_if(F.col(f"`{c}`").isNull()) for c in texts]).first()
+    means = facts[1:1 + len(numbers)]
+    # only columns with gaps need their most frequent value, which costs a shuffle of their distinct values
+    texts = [c for c, gaps in zip(texts, facts[1 + len(numbers):]) if gaps]
     tops = {}
     if texts:
         long = out.select(*[F.col(f"`{c}`") for c in texts]).unpivot([], texts, "column", "value").filter("value is not null")

@@ -9,23 +9,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE_PER_RANGE = 40
+ROWS_PER_RANGE = 200_000
+MOST_RANGES = 1024
 
 
-def cut_points(df, keys, ranges, seed=7):
-    """At most ``ranges - 1`` boundaries of ``keys`` (a list of column names), from a bounded sample."""
+def cut_points(df, keys, ranges=None, seed=7):
+    """Boundaries of ``keys`` (a list of column names) that cut the rows into ``ranges`` parts, from a bounded sample.
+
+    Without ``ranges`` the number follows the row count. A hash of the key decides who is sampled, so a repeated run
+    picks the same rows; at most four times ``ranges * SAMPLE_PER_RANGE`` keys reach the driver.
+    """
     total = df.count()
-    wanted = ranges * SAMPLE_PER_RANGE
+    ranges = ranges or min(MOST_RANGES, max(1, total // ROWS_PER_RANGE))
     if ranges <= 1 or total < ranges * 2:
         return []
-    # a hash of the key decides who is sampled, so a repeated run picks the same rows
-    share = min(1.0, wanted / total)
-    draw = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    rows = (df.filter(draw).select(*[f"`{k}`" for k in keys]).orderBy(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed + 1)))
-            .limit(4 * wanted).collect())
+    wanted = ranges * SAMPLE_PER_RANGE
+    cols = [F.col(f"`{k}`") for k in keys]
+    draw = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, wanted / total) * 1_000_000) + 1
+    rows = df.filter(draw).select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed + 1))).limit(4 * wanted).collect()
     rows = sorted({tuple(r) for r in rows if None not in tuple(r)})
     step = len(rows) / ranges
-    picks = sorted({rows[int(i * step)] for i in range(1, ranges)}) if len(rows) >= ranges else rows
-    return picks
+    return sorted({rows[int(i * step)] for i in range(1, ranges)}) if len(rows) >= ranges else rows
 
 
 def range_of(keys, cuts):
@@ -43,7 +47,6 @@ def range_of(keys, cuts):
 
 
 def with_ranges(df, keys, ranges=None):
-    ranges = ranges or max(2, df.sparkSession.sparkContext.defaultParallelism)
     return df.withColumn("_range", range_of(keys, cut_points(df, keys, ranges)))
 
 
