@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidymill.operators import medical as md
 from tidymill.operators.rules import apply_rules
+from tidymill.sources.reader import spread
 from . import query, table
 from .people import dirty
 
@@ -31,7 +32,7 @@ BP = "CASE c_custkey % 4 WHEN 0 THEN '120/80' WHEN 1 THEN '300 / 80' WHEN 2 THEN
 
 def _body(spark, sf):
     df = table(spark, sf, "customer").selectExpr("c_custkey AS _rid", f"{WEIGHT} AS weight", f"{HEIGHT} AS height", f"{TEMP} AS temperature", f"{BP} AS bp")
-    return apply_rules(df, [md.measurement_rules(c) for c in ("weight", "height", "temperature", "bp")])
+    return apply_rules(spread(df, "_rid"), [md.measurement_rules(c) for c in ("weight", "height", "temperature", "bp")])
 
 
 @query("clean_measurements", """

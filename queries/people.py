@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidymill.operators import identity as idt
 from tidymill.operators.rules import apply_rules
+from tidymill.sources.reader import spread
 from . import query, table
 
 # deterministic dirt, the same text in both engines
@@ -30,7 +31,7 @@ k AS (SELECT *, CASE WHEN suffix IS NULL THEN v6 ELSE regexp_extract(v6, '^(?i)(
 
 
 def dirty(spark, sf, expr, column, source="customer", key="c_custkey"):
-    return table(spark, sf, source).selectExpr(f"{key} AS _rid", f"{expr} AS {column}")
+    return spread(table(spark, sf, source).selectExpr(f"{key} AS _rid", f"{expr} AS {column}"), "_rid")
 
 
 @query("clean_full_name", _NAME_SQL + """

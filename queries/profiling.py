@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidymill.plans import profile as pf
+from tidymill.sources.reader import spread
 from . import query, table
 
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -13,7 +14,7 @@ def _union(columns, template, source):
 @query("profile_columns", _union(_ORDERS, """SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS null_count,
  round(count(TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE)) / count({c}), 4) AS numeric_share FROM {source}""", "orders"))
 def profile_columns(spark, sf):
-    return pf.profile_columns(table(spark, sf, "orders")).select("column", "rows", "null_count", "numeric_share")
+    return pf.profile_columns(spread(table(spark, sf, "orders"), "o_orderkey")).select("column", "rows", "null_count", "numeric_share")
 
 
 @query("distinct_counts", _union(_ORDERS, "SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count, count({c}) AS filled FROM {source}", "orders"))
@@ -30,7 +31,7 @@ CASE WHEN c_custkey % 2 = 0 THEN '10:30' ELSE '7 pm' END AS e, 'https://site' ||
 def _mixed(spark, sf):
     import re
     exprs = [x.strip() for x in re.split(r"(?<= AS [a-f]),", _MIXED)]
-    return table(spark, sf, "customer").selectExpr("c_custkey AS _rid", *exprs)
+    return spread(table(spark, sf, "customer").selectExpr("c_custkey AS _rid", *exprs), "_rid")
 
 
 @query("value_pattern_types", f"""
@@ -71,6 +72,7 @@ def _roles(spark, sf):
     df = table(spark, sf, "orders").selectExpr("o_orderkey AS _rid", "o_orderkey AS seq", "o_custkey * 100000 + o_orderkey AS invoice_no", "o_orderstatus AS status", "o_totalprice AS price",
                                                "o_orderdate AS day", "o_orderpriority AS priority", "'x' AS same", "o_orderkey % 2 AS odd", "md5(cast(o_orderkey as string)) AS blob",
                                                "concat('Z', o_custkey % 20) AS zip_code")
+    df = spread(df, "_rid")
     return df, pf.column_roles(df)
 
 

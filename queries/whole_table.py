@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tidymill.operators import structure as st
 from tidymill.operators import whole_table as wt
-from tidymill.operators.rules import apply_rules
+from tidymill.sources.reader import spread
 from . import query, table
 
 MESS = """c_custkey AS _rid,
@@ -21,7 +21,7 @@ k AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL AND g IS NULL THEN 'GLOBAL-05'
 
 def messy(spark, sf):
     df = table(spark, sf, "customer").selectExpr(*[x for x in [MESS.split(",\n")[0]]], *MESS.split(",\n")[1:])
-    return df.toDF("_rid", "Full Name", "Emial", "Group")
+    return spread(df, "_rid").toDF("_rid", "Full Name", "Emial", "Group")
 
 
 @query("clean_global", _CLEAN + """

@@ -25,7 +25,9 @@ def script(v):
     total = F.greatest(reduce(lambda a, b: a + b, counts.values()), F.lit(1))
     share = F.struct(*[(n / total).alias(s) for s, n in counts.items()])
 
-    return F.when(F.length(v) >= 10, let(share, lambda p: reduce(
+    # text without a character beyond Latin-1 needs no counting
+    latin_only = ~v.rlike(r"[^\u0000-\u00FF]")
+    return F.when(F.length(v) < 10, F.lit(None).cast("string")).when(latin_only, F.lit("latin")).otherwise(let(share, lambda p: reduce(
         lambda acc, s: acc.when(p[s] > (0.5 if s == "latin" else 0.3), F.lit(s)), list(SCRIPTS)[1:], F.when(p["cyrillic"] > 0.3, F.lit("cyrillic")))))
 
 

@@ -236,13 +236,13 @@ _CODE_WORDS = words("naics, sic, zip, postal, pin, icd, cpt, npi, fips, tariff,
 _DATE_WORDS = words("date, time, month, year, period, week, day, quarter, timestamp, created, updated, modified, admitted, discharged, enrolled, joined, dob, birth")
 
 
-def sequences(df, columns, order_cols):
+def sequences(df, columns, order_cols, stats=None):
     """ROLE-01: columns that rise in even steps along the row order. Previous values come across range borders."""
     if not columns:
         return []
-    # a constant step means max - min = step * (n - 1): check that first, it needs no ordering
-    s = column_statistics(df, columns)
-    likely = [c for c in columns if s[c]["numeric"] == s[c]["filled"] > 10 and s[c]["max"] > s[c]["min"]]
+    # even steps mean that no value repeats: check that first, it needs no ordering
+    s = stats or column_statistics(df, columns)
+    likely = [c for c in columns if s[c]["numeric"] == s[c]["filled"] > 10 and s[c]["max"] > s[c]["min"] and s[c]["distinct"] > 0.9 * s[c]["filled"]]
     if not likely:
         return []
     numbers = df.select(*order_cols, *[F.col(f"`{c}`").cast("double").alias(f"v_{c}") for c in likely if c not in order_cols],
@@ -258,7 +258,7 @@ def column_roles(df, columns=None, order_cols=("_rid",), rid="_rid", stats=None)
     columns = [c for c in (columns or df.columns) if c != rid]
     stats = stats or column_statistics(df, columns, rid)
     types = dict(df.dtypes)
-    in_sequence = set(sequences(df, [c for c in columns if stats[c]["numeric"] == stats[c]["filled"] > 10], list(order_cols)))
+    in_sequence = set(sequences(df, [c for c in columns if stats[c]["numeric"] == stats[c]["filled"] > 10], list(order_cols), stats))
     rows = []
     for c in columns:
         s, low = stats[c], c.lower().replace(" ", "_").replace("-", "_")

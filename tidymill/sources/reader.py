@@ -62,6 +62,16 @@ def read_raw(spark, path, fmt="csv", rid="_rid", sep=None, encoding=None):
     return df.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`") for c in df.columns])
 
 
+def spread(df, key):
+    """Give every core a share of a source that arrives in fewer splits than there are cores (one small file).
+
+    Rule-heavy jobs are bound by computation, so a small shuffle by row id pays off. A source with enough splits, as any
+    large one has, is returned untouched. Only for plain scans: the number of splits is read from the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.col(key))
+
+
 def numeric_shares(df, columns):
     """Per column: non-null cells, cells that are numbers, cells that are boolean words. One aggregate."""
     t = lambda c: F.trim(F.col(f"`{c}`").cast("string"))
