@@ -96,19 +96,21 @@ def neighbours(df, keys, columns, ranges=None, following=True, inclusive=False):
     key = F.struct(*_order(keys))
     edge = 0 if inclusive else -1
     back = W.partitionBy("_range").orderBy(*_order(keys)).rowsBetween(W.unboundedPreceding, edge)
-    ahead = W.partitionBy("_range").orderBy(*_order(keys)).rowsBetween(-edge, W.unboundedFollowing)
+    # looking ahead is looking back in reverse order: a frame that grows costs one step per row, one that shrinks is
+    # recomputed for every row
+    ahead = W.partitionBy("_range").orderBy(*[k.desc() for k in _order(keys)]).rowsBetween(W.unboundedPreceding, edge)
     seen = lambda c: F.col(f"`{c}`").isNotNull()
     ends = cut.groupBy("_range").agg(
         *[F.max_by(F.col(f"`{c}`"), F.when(seen(c), key)).alias(f"{c}~last") for c in columns],
         *([F.min_by(F.col(f"`{c}`"), F.when(seen(c), key)).alias(f"{c}~first") for c in columns] if following else []))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    after = W.orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    after = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select(
         "_range", *[F.last(F.col(f"`{c}~last`"), ignorenulls=True).over(before).alias(f"{c}~in") for c in columns],
-        *([F.first(F.col(f"`{c}~first`"), ignorenulls=True).over(after).alias(f"{c}~out") for c in columns] if following else []))
+        *([F.last(F.col(f"`{c}~first`"), ignorenulls=True).over(after).alias(f"{c}~out") for c in columns] if following else []))
     inner = cut.select(
         "*", *[F.last(F.col(f"`{c}`"), ignorenulls=True).over(back).alias(f"{c}~b") for c in columns],
-        *([F.first(F.col(f"`{c}`"), ignorenulls=True).over(ahead).alias(f"{c}~a") for c in columns] if following else []))
+        *([F.last(F.col(f"`{c}`"), ignorenulls=True).over(ahead).alias(f"{c}~a") for c in columns] if following else []))
     joined = inner.join(F.broadcast(carried), "_range")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
