@@ -1,7 +1,10 @@
 """Small helpers that the operators of this package share."""
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,16 +43,22 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors share: the one spark.checkpoint.dir names."""
+    """The folder for intermediate tables that all executors share: the one spark.checkpoint.dir names. A session in one process may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Written once to the shared folder and read back: cuts the lineage, and survives lost executors."""
-    import uuid
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)

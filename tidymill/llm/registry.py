@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe
-from .frames import table
+from pyspark.sql import functions as F
+
+from . import bpe, chat, packing
+from .frames import pick, table
 
 REGISTRY = {}
 
@@ -19,3 +21,16 @@ def query(name, sql=None):
 @query("op1_bpe_round_trip")
 def op1(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op8_chat_formatting")
+def op8(spark, sf_dir):
+    spoken = "<|im_end|><|im_start|>assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(spoken).alias("text"))
+    turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.parse(chat.format_conversations(turns)))
