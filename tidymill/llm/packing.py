@@ -5,8 +5,8 @@ first may be shorter. Every task packs the pieces it reads batch by batch, the l
 bitset of the free spaces that occur (the lowest set bit from the piece's length on is the best fit), and if one more must be
 opened, the fullest closes. A piece knows its sequence and offset when it is placed, so no batch is held back.
 
-What tasks leave unfilled is packed a second time: each unfilled sequence is then one item, moved whole. Those rows are small
-(an id and a length), are dealt out by a hash in groups of about GROUP sequences, and come longest first.
+The pieces of sequences that end up under 31/32 full are packed a second time, the longest first: rows of a few numbers, dealt
+out by a hash in groups of about GROUP.
 
 Defined results: a null text counts as empty and gives one piece with the end id alone; repeated rows are packed each; ties of
 free space go to the sequence opened last; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
@@ -120,23 +120,23 @@ def pack(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end
 
     docs = pick(df, "doc_id", "text").select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     pieces = stored(docs.mapInArrow(run, SCHEMA), "pieces")
-    unfilled = pieces.groupBy("bin").agg(F.sum("length").alias("length")).filter(F.col("length") < capacity)
-    moved = repack(unfilled, capacity)
-    return (pieces.join(moved, "bin", "left")
-            .select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")))
+    filled = pieces.withColumn("fill", F.sum("length").over(Window.partitionBy("bin")))
+    least = capacity - capacity // 32
+    kept = filled.filter(F.col("fill") >= least).drop("fill")
+    return kept.unionByName(packed_again(filled.filter(F.col("fill") < least).drop("fill"), capacity)).withColumnRenamed("bin", "sequence_id")
 
 
-def repack(unfilled: DataFrame, capacity: int) -> DataFrame:
-    """bin, into, shift: unfilled sequences moved whole into others."""
+def packed_again(loose: DataFrame, capacity: int) -> DataFrame:
+    """The pieces of unfilled sequences in new ones, the longest pieces first."""
     def run(batches):
         bins, base = OpenBins(capacity, 4 * OPEN_BINS), (1 << 62) | TaskContext.get().partitionId() << 36
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([base | n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=["bin", "into", "shift"])
+            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([base | n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=NAMES)
 
-    groups = max(1, -(-unfilled.count() // GROUP))
-    dealt = unfilled.repartition(groups, F.xxhash64("bin")).sortWithinPartitions(F.desc("length"), "bin")
-    return dealt.select("bin", "length").mapInArrow(run, "bin long, into long, shift long")
+    groups = max(1, -(-loose.count() // GROUP))
+    key = F.xxhash64("doc_id", "piece", "bin", "offset")
+    return loose.repartition(groups, key).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "bin", "offset").select(*NAMES).mapInArrow(run, SCHEMA)
 
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
