@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, packing
+from . import bpe, chat, fingerprint, html_text, packing
 from .frames import pick, table
 
 REGISTRY = {}
@@ -28,6 +28,11 @@ def op2(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op3_document_fingerprints")
+def op3(spark, sf_dir):
+    return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
