@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, packing
+from . import bpe, chat, fingerprint, html_text, packing, toxicity
 from .frames import pick, table
 
 REGISTRY = {}
@@ -33,6 +33,12 @@ def op3(spark, sf_dir):
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
