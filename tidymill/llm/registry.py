@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, packing, toxicity
+from . import bpe, chat, fingerprint, html_text, language, packing, toxicity
 from .frames import pick, table
 
 REGISTRY = {}
@@ -39,6 +39,12 @@ def op5(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op6_language_id")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
