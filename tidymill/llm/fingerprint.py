@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .frames import pick, whole_text
 
 #: Samples, as rows of so many columns.
-GROUPS, WIDTH = 16, 4
+GROUPS, WIDTH = 8, 8
 ROWS_PER_BLOCK = 4000
 #: Most blocks whose bounds the driver keeps; above, blocks grow and their sort spills.
 MOST_BLOCKS = 20_000
