@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, language, packing, toxicity
+from . import bpe, chat, fingerprint, html_text, jaccard, language, packing, toxicity
 from .frames import pick, table
 
 REGISTRY = {}
@@ -56,3 +56,8 @@ def op8(spark, sf_dir):
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(spoken).alias("text"))
     turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text").unionByName(own)
     return chat.digests(chat.parse(chat.format_conversations(turns)))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
