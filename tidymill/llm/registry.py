@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, jaccard, language, packing, toxicity
+from . import bpe, chat, cover_tree, fingerprint, html_text, jaccard, language, packing, toxicity
 from .frames import pick, table
 
 REGISTRY = {}
@@ -33,6 +33,11 @@ def op3(spark, sf_dir):
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
+@query("op4_embedding_near_dedup")
+def op4(spark, sf_dir):
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
