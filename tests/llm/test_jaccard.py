@@ -59,7 +59,7 @@ def planted(n=300, seed=2):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, key int")
-    return Counter(tuple(r) for r in jaccard.near_duplicates(df, **options).collect())
+    return Counter(tuple(r)[:3] for r in jaccard.near_duplicates(df, **options).collect())
 
 
 def test_pieces():
@@ -88,4 +88,4 @@ def test_odd_rows(spark):
 
 def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert Counter(tuple(r) for r in REGISTRY["op9_ngram_jaccard_join"][0](spark, sf).collect()) == brute(rows)
+    assert Counter(tuple(r)[:3] for r in REGISTRY["op9_ngram_jaccard_join"][0](spark, sf).collect()) == brute(rows)

@@ -111,12 +111,12 @@ def _signed(x: np.ndarray) -> list[int]:
 
 
 def described(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, key, l1, l2, ...: the levels as arrays of (parent, node); key is null for a text without words."""
+    """doc_id, mark, key, l1, l2, ...: the levels as arrays of (parent, node); key is null for a text without words."""
     runs = runs_for(depth)
     level = "array<struct<parent:bigint,node:bigint>>"
 
     def run(rows):
-        out = {"doc_id": rows["doc_id"], "key": []} | {f"l{k}": [] for k in range(1, depth + 1)}
+        out = {"doc_id": rows["doc_id"], "mark": rows["mark"], "key": []} | {f"l{k}": [] for k in range(1, depth + 1)}
         for text in rows["text"]:
             tokens = shingle_set(text)
             out["key"].append(key_of(tokens))
@@ -125,7 +125,7 @@ def described(docs: DataFrame, depth: int) -> DataFrame:
                 out[f"l{k}"].append([{"parent": p, "node": n} for p, n in zip(_signed(parents), _signed(nodes))])
         return out
 
-    return map_batches(docs, run, "doc_id long, key long, " + ", ".join(f"l{k} {level}" for k in range(1, depth + 1)), rows=128)
+    return map_batches(docs, run, "doc_id long, mark long, key long, " + ", ".join(f"l{k} {level}" for k in range(1, depth + 1)), rows=128)
 
 
 def buckets_of(base: DataFrame, depth: int, small: int) -> DataFrame:
@@ -239,17 +239,18 @@ def _batch(rows):
 
 
 def near_duplicates(documents: DataFrame, depth: int = DEPTH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links of every document."""
+    """doc_id, class_id, n_links of every document, mark (a hash of its text) and kept: whether it is the first of its class by doc_id, then mark."""
     docs = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    base = stored(described(docs, depth), "paths")
-    classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    base = stored(described(docs.withColumn("mark", F.xxhash64("text")), depth), "paths")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    classes = base.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min(place).alias("first"), F.count("*").alias("copies"))
     memberships = stored(buckets_of(base, depth, small), "buckets")
 
     def with_tokens(rows):
         found = [shingle_set(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "key": [key_of(x) for x in found], "tokens": [packed(x) for x in found]}
 
-    needed = classes.join(memberships.select("key").distinct(), "key", "left_semi")
+    needed = classes.select("key", "least", "copies").join(memberships.select("key").distinct(), "key", "left_semi")
     sets = map_batches(docs, with_tokens, "doc_id long, key long, tokens binary", rows=256).alias("s").join(
         needed.alias("n"), (F.col("s.key") == F.col("n.key")) & F.col("s.doc_id").eqNullSafe(F.col("n.least"))).select("s.key", "copies", "tokens").dropDuplicates(["key"])
     found = stored(compared(memberships, sets, block), "links")
@@ -258,8 +259,10 @@ def near_duplicates(documents: DataFrame, depth: int = DEPTH, small: int = SMALL
     roots = components(vertices, edges.select(F.col("u").alias("a"), F.col("v").alias("b")), lambda df: stored(df, "rounds"))
     links = found.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
     placed = (classes.join(roots.withColumnRenamed("vertex", "key"), "key", "left").join(links, "key", "left")
-              .select("key", "least", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    named = placed.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_key = placed.join(named, "root").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return (base.select("doc_id", "key").join(by_key, "key", "left")
-            .select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+              .select("key", "least", "first", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    named = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("class_first"))
+    by_key = placed.join(named, "root").select("key", "class_id", "class_first", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    alone = F.col("key").isNull()
+    return (base.select("doc_id", "mark", "key").join(by_key, "key", "left")
+            .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    "mark", (alone | place.eqNullSafe(F.col("class_first"))).alias("kept")))

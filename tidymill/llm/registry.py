@@ -5,7 +5,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cover_tree, fingerprint, html_text, jaccard, language, packing, toxicity
+from . import bpe, chat, cover_tree, fingerprint, html_text, jaccard, language, licences, packing, toxicity
 from .frames import pick, table
 
 REGISTRY = {}
@@ -66,3 +66,11 @@ def op8(spark, sf_dir):
 @query("op9_ngram_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scans")
+def op10(spark, sf_dir):
+    """A document is a file of its source: /source/shard/doc_id.txt with a thousand documents a shard."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("none")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    return licences.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
