@@ -45,7 +45,7 @@ def word_list(v):
 
 def capitalised(w):
     """First character upper, the rest lower."""
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
 
 
 def map_words(v, fn):
@@ -67,7 +67,7 @@ def title_letters(v):
     first = F.element_at(parts, 1)
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.concat(first, F.array_join(F.transform(
-        rest, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), ""))
+        rest, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))), ""))
 
 
 def is_upper(v):

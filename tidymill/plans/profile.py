@@ -7,78 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import words
+from ..functions.fixed_values import CODE_NAME_WORDS, DATE_NAME_WORDS, ID_NAME_PATTERNS, PATTERNS, TEMPORAL, TYPES
 from . import ordered
 
-# code, formula set, personal data, sensitivity, name, words or phrases that name it (matched as whole tokens)
-_TYPES = """
-001|FNAME|1|medium|Full Name|name, full_name
-002|SNAME|1|medium|First, Last or Middle Name|first_name, fname, firstname, given_name, last_name, lname, lastname, surname, family_name, middle_name, maiden_name
-003|UID|0|low|Unique ID|id, case_no, record_no, registration_no, roll_no, roll_number, admission_no
-007|AGE|0|low|Age|age, years
-008|GEN|1|medium|Gender|gender, sex
-029|GOVID|1|high|Government ID|passport, national_id, pan, ssn, citizenship, license_no, voter_id, aadhaar, nid
-030|BLOOD|1|medium|Blood Group|blood, bloodgroup, bloodtype, blood_group, blood_type
-038|CULT|1|high|Language, Nationality, Ethnicity|language, nationality, ethnicity, mother_tongue, race, country_of_origin
-039|EDU|0|low|Education|qualification, education, degree, education_level
-040|MAR|1|medium|Marital Status|marital_status, civil_status, married
-004|DATE|0|low|Date|date, dob, birthdate, orderdate, shipdate
-005|TIME|0|low|Time|time, check_in, check_out, clock_in, clock_out
-006|DTM|0|low|Date and Time|created_at, updated_at, timestamp, ts, submitted_on, datetime, logged_at, last_login
-033|DUR|0|low|Duration|duration, tenure, time_elapsed, time_spent, length, period, experience, session_length
-041|FISC|0|low|Fiscal Period|fiscal_year, fy, academic_year, quarter, semester, term, batch, session
-009|PHONE|1|medium|Phone|phone, mobile, contact, tel, cell, telephone, whatsapp, fax
-010|EMAIL|1|medium|Email|email, mail, e_mail, email_address, contact_email
-011|ADDR|1|high|Address|address, location, addr
-012|CITY|0|low|City|city, district, region, province, state, municipality, town, county, locality, area, zone, suburb
-013|CNTRY|0|low|Country|country, nation, country_code
-014|POST|0|low|Postal Code|zip, postal, postcode, pincode, zipcode, postal_code, zip_code, pin_code
-035|GEO|0|low|Coordinates|latitude, longitude, lat, lng, lon, coordinates, gps, geolocation
-015|AMT|0|low|Amount|amount, revenue, price, salary, cost, fee, budget, income, expense, payment, balance, acctbal, totalprice, extendedprice, retailprice, discount, tax, vat, wages, bonus, commission, spending
-016|QTY|0|low|Quantity|count, qty, quantity, units, total, number_of, num, items, stock, inventory, headcount, enrollment, attendance, frequency
-017|PCT|0|low|Percentage|rate, percent, percentage, growth, ratio, pct
-021|SCORE|0|low|Score|score, grade, marks, rating, gpa, cgpa, points, result, assessment, performance, evaluation
-042|CUR|0|low|Currency Code|currency, currency_code, curr
-043|RANK|0|low|Rank|rank, ranking, standing, place
-044|CALC|0|low|Calculated Column|net, gross, profit, loss, difference, subtotal, grand_total, derived, computed
-018|BOOL|0|low|Boolean|flag, verified, approved, active, enabled, disabled, confirmed, is_, has_, can_
-019|CAT|0|low|Category|category, type, class, segment, group, tier, level, mktsegment
-020|STAT|0|low|Status|status, stage, condition, progress, orderstatus
-045|SURV|0|low|Survey Response|response, satisfaction, likert, nps, csat, q1, q2, q3, question_
-046|MULTI|0|low|Multi-Value Field|subjects, tags, skills, interests, hobbies, certifications, keywords, labels, topics
-024|PROD|0|low|Product Name|product, item, medicine, product_name, item_name, merchandise, drug_name
-025|SKU|0|low|Product Code|sku, barcode, product_code, item_code, upc, ean, gtin, part_number
-026|ORG|0|low|Organization|company, organization, employer, institution, firm, vendor, supplier, company_name, org_name
-027|JOB|0|low|Job Title|designation, job_title, position, role, occupation, profession, title
-028|DEPT|0|low|Department|department, dept, division, unit, ward, section, team, branch
-034|REFNO|0|low|Reference Number|serial_no, invoice_no, receipt_no, ref_code, tracking_no, reference_number, booking_ref
-047|VER|0|low|Version|version, revision, release, ver, rev, build
-031|DIAG|1|high|Diagnosis|diagnosis, icd_code, illness, disease, medical_condition, disorder, prognosis
-032|PHYS|1|medium|Physical Measurement|weight, height, bmi, temperature, bp, pulse, blood_pressure, heart_rate
-022|TEXT|0|low|Text|notes, remarks, description, comments, feedback, reason, summary, details, message, text, content, bio
-023|URL|0|low|URL|url, website, link, homepage, webpage, site, href
-036|IP|1|medium|IP Address|ip, ip_address, ipv4, ipv6
-037|FILE|0|low|File Path|file, filename, file_name, file_path, filepath, attachment, document
-"""
-TYPES = {}
-for _line in _TYPES.strip().splitlines():
-    _code, _set, _pii, _sens, _name, _terms = _line.split("|")
-    TYPES[_set] = {"code": f"HTYPE-{_code}", "name": _name, "is_pii": _pii == "1", "sensitivity": _sens, "terms": words(_terms)}
-
-# value patterns in order of precedence: set, pattern, least share
-PATTERNS = (
-    ("EMAIL", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", 0.5), ("PHONE", r"^[\+]?[\d\s\-\(\)]{7,20}$", 0.5),
-    ("URL", r"^(https?://|www\.)[^\s]+", 0.5), ("IP", r"^(\d{1,3}\.){3}\d{1,3}$|^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$", 0.5),
-    ("GEO", r"^-?\d{1,3}\.\d+$", 0.7),
-    ("GEN", r"(?i)^(male|female|m|f|man|woman|boy|girl|other|non-binary|transgender|prefer not to say)$", 0.7),
-    ("BLOOD", r"(?i)^(A|B|AB|O)[+-]?$|^(A|B|AB|O)\s*(positive|negative|pos|neg)$", 0.7),
-    ("BOOL", r"(?i)^(yes|no|y|n|true|false|1|0|on|off|active|inactive)$", 0.8), ("CUR", r"^[A-Z]{3}$", 0.8))
-_MON = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-TEMPORAL = (
-    ("DTM", r"^\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}(:\d{2})?|^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\s+\d{1,2}:\d{2}"),
-    ("TIME", r"(?i)^\d{1,2}:\d{2}(:\d{2})?\s*(AM|PM)?$|^\d{1,2}\s*(AM|PM)$"),
-    ("DATE", rf"(?i)^\d{{1,4}}[-/\.]\d{{1,2}}[-/\.]\d{{1,4}}$|^\d{{1,2}}\s+{_MON}\s+\d{{2,4}}$|^{_MON}\s+\d{{1,2}},?\s+\d{{2,4}}$"))
-
 
 def column_statistics(df, columns=None, rid="_rid"):
     """{column: numbers}: counts, pattern shares, numeric share, range, integrality, distinct values, text length.
@@ -106,8 +37,11 @@ def profile_columns(df, columns=None, rid="_rid", samples=3):
     """SRC-06: column, dtype, rows, nulls, distinct values (estimated), share of numbers, three sample values."""
     columns = [c for c in (columns or df.columns) if c != rid]
     stats, types = column_statistics(df, columns, rid), dict(df.dtypes)
-    head = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).limit(200).collect()
-    shown = {c: list(dict.fromkeys(r[c] for r in head if r[c] is not None))[:samples] for c in columns}
+    # Values with the least hash under one salt after another: the same ones however the rows are dealt, and few per column.
+    cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value is not null") if columns else None
+    least = [F.min(F.struct(F.xxhash64("value", F.lit(k)).alias("h"), "value")).alias(f"s{k}") for k in range(samples)]
+    found = {r["column"]: [r[f"s{k}"]["value"] for k in range(samples)] for r in cells.groupBy("column").agg(*least).collect()} if columns and samples else {}
+    shown = {c: list(dict.fromkeys(found.get(c, []))) for c in columns}
     rows = [(c, types[c], s["rows"], s["rows"] - s["filled"], s["distinct"], round(s["numeric"] / s["filled"], 4) if s["filled"] else 0.0, shown[c])
             for c, s in ((c, stats[c]) for c in columns)]
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, rows bigint, null_count bigint, distinct_count bigint, numeric_share double, samples array<string>")
@@ -231,9 +165,7 @@ def merge_types(detected, external, accept=0.85, weak=0.6):
 
 # ---- roles -----------------------------------------------------------------------------------------------------------------
 
-_ID_NAME = re.compile(r"_id$|^id_|^id$|order_id|row_id|record_id|serial|no$|^no_|number$|num$|^index$|invoice|transaction|reference|^ref_|_ref$|uuid|guid|hash|key$")
-_CODE_WORDS = words("naics, sic, zip, postal, pin, icd, cpt, npi, fips, tariff, sku, upc, isbn, asin")
-_DATE_WORDS = words("date, time, month, year, period, week, day, quarter, timestamp, created, updated, modified, admitted, discharged, enrolled, joined, dob, birth")
+_ID_NAME = re.compile("|".join(ID_NAME_PATTERNS))
 
 
 def sequences(df, columns, order_cols, stats=None):
@@ -273,9 +205,9 @@ def column_roles(df, columns=None, order_cols=("_rid",), rid="_rid", stats=None)
             role = "sequence"
         elif _ID_NAME.search(low) and unique > 0.7:
             role = "identifier"
-        elif "code" in low or any(w in low.split("_") for w in _CODE_WORDS):
+        elif "code" in low or any(w in low.split("_") for w in CODE_NAME_WORDS):
             role = "code"
-        elif temporal or (any(w in low for w in _DATE_WORDS) and s["years"] == n and d <= 50):
+        elif temporal or (any(w in low for w in DATE_NAME_WORDS) and s["years"] == n and d <= 50):
             role = "date"
         elif s["numeric"] / n > 0.85:
             role = "identifier" if unique > 0.9 and d > 100 and s["decimals"] == 0 else "metric"
