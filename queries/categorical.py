@@ -96,10 +96,7 @@ WITH d AS (SELECT event_id AS _rid, event_id % 8 AS k FROM events)
 SELECT _rid, ['Strongly agree', 'Neutral', 'Disagree', '4', 'whatever', NULL, 'AGREE', 'often'][k + 1] AS q1, [5, 3, 2, 4, NULL, NULL, 4, 4][k + 1] AS q1_score,
  CASE WHEN k = 4 THEN 'SURV-05' ELSE '' END AS flags FROM d""")
 def clean_survey(spark, sf):
-    # the lone numeric answer fits a five-point scale, which the words confirm
-    df = dirty(spark, sf, SURVEY.replace("'4'", "' agree'"), "q1", "events", "event_id")
-    out = apply_rules(df, [cg.survey_rules("q1")]).annotated
-    return out.withColumn("q1", F.when(F.col("q1") == " agree", "4").otherwise(F.col("q1")))
+    return apply_rules(dirty(spark, sf, SURVEY, "q1", "events", "event_id"), [cg.survey_rules("q1")]).annotated
 
 
 @query("flags_straight_lining", """

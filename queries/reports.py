@@ -21,7 +21,9 @@ def scratch(spark, name):
     if shared:
         import uuid
         return f"{shared}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
 
 
 # ---- sources and sinks -----------------------------------------------------------------------------------------------------

@@ -5,8 +5,8 @@ from tidymill.operators.rules import apply_rules
 from . import query, table
 from .people import dirty
 
-NOTE = """CASE doc_id % 6 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN '**' || substr(text, 1, 40) || '** [see](http://x.y)' WHEN 2 THEN ' [blank] '
- WHEN 3 THEN chr(39) || 'quoted ' || source ELSE text END"""
+NOTE = """CASE doc_id % 6 WHEN 0 THEN '<p>' || text || '</p>' WHEN 1 THEN '**' || text || '** [see](http://x.y)' WHEN 2 THEN '_' || text || '_'
+ WHEN 3 THEN chr(39) || 'quoted ' || text ELSE text END"""
 _NOTE = f"""
 WITH d AS (SELECT doc_id AS _rid, {NOTE} AS raw FROM documents),
 a AS (SELECT *, trim(regexp_replace(raw, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS v1 FROM d),
@@ -26,11 +26,19 @@ def clean_text(spark, sf):
     return out.select("_rid", F.md5("notes").alias("notes"), F.length("notes").alias("n"), "flags")
 
 
+@query("clean_text_placeholder", """
+SELECT doc_id AS _rid, CASE WHEN doc_id % 3 <> 0 THEN source END AS notes, '' AS flags FROM documents""")
+def clean_text_placeholder(spark, sf):
+    return apply_rules(dirty(spark, sf, "CASE WHEN doc_id % 3 = 0 THEN ' [blank] ' ELSE source END", "notes", "documents", "doc_id"), [tx.text_rules("notes")]).annotated
+
+
 @query("html_strip", """
-SELECT page_id AS _rid, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_md5, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n FROM pages""")
+WITH t AS (SELECT page_id AS _rid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'),
+  '__([^_]+)__', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '_([^_]+)_', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '`([^`]+)`', '\\1', 'g') AS v FROM pages)
+SELECT _rid, md5(v) AS text_md5, length(v) AS n FROM t""")
 def html_strip(spark, sf):
     pages = table(spark, sf, "pages")
-    bare = pages.select(F.col("page_id").alias("_rid"), F.regexp_replace("html", "<[^>]+>", "").alias("t"))
+    bare = pages.select(F.col("page_id").alias("_rid"), tx.without_markup(F.col("html")).alias("t"))
     return bare.select("_rid", F.md5("t").alias("text_md5"), F.length("t").alias("n"))
 
 

@@ -104,9 +104,9 @@ def status_rules(column):
 
 
 def likert_scale(stat):
-    """SURV-01: (name, size, words) of the answer scale."""
+    """SURV-01: (name, size, words) of the answer scale. Numbers decide it only where they are not outnumbered by known words."""
     lo, hi = stat.get("lo"), stat.get("hi")
-    if lo is not None and lo >= 1:
+    if lo is not None and lo >= 1 and (stat.get("numbers") or 0) >= (stat.get("verbal") or 0):
         for name, size in (("numeric_5", 5), ("numeric_7", 7), ("numeric_10", 10)):
             if hi <= size:
                 return name, size, {}
@@ -144,7 +144,8 @@ def survey_rules(column, with_columns=()):
 
     r = (ColumnRules(column)
          .measure(lo=lambda c: F.min(numeric(c)), hi=lambda c: F.max(numeric(c)), likert=seen(LIKERT_5), frequency=seen(FREQUENCY_WORDS),
-                  somewhat=seen(("somewhat agree", "somewhat disagree")), satisfaction=seen(SATISFACTION_WORDS), nulls=count_nulls)
+                  somewhat=seen(("somewhat agree", "somewhat disagree")), numbers=lambda c: F.count(numeric(c)),
+                  verbal=lambda c: F.count_if(key(c).isin(*{**LIKERT_5, **LIKERT_7, **FREQUENCY_WORDS, **SATISFACTION_WORDS, **SURVEY_TYPOS})), satisfaction=seen(SATISFACTION_WORDS), nulls=count_nulls)
          .change("SURV-03", lambda c: F.coalesce(F.initcap(lookup(SURVEY_TYPOS, key(c))), c.v.cast("string")))
          .let("score", scored)
          .derive("SURV-02", "score", lambda c: c.get("score"))

@@ -15,8 +15,8 @@ def name_case(v):
         inner = lambda mark: F.array_join(F.transform(F.split(w, mark), capitalised), mark)
         low = F.lower(w)
         return (F.when(F.contains(w, F.lit("'")), inner("'")).when(F.contains(w, F.lit("-")), inner("-"))
-                .when(low.startswith("mc") & (F.length(w) > 2), F.concat(F.lit("Mc"), capitalised(F.substring(w, 3, 1 << 20))))
-                .when(low.startswith("mac") & (F.length(w) > 3), F.concat(F.lit("Mac"), capitalised(F.substring(w, 4, 1 << 20))))
+                .when(low.startswith("mc") & (F.length(w) > 2), F.concat(F.lit("Mc"), capitalised(F.substring(w, F.lit(3), F.length(w)))))
+                .when(low.startswith("mac") & (F.length(w) > 3), F.concat(F.lit("Mac"), capitalised(F.substring(w, F.lit(4), F.length(w)))))
                 .otherwise(capitalised(w)))
     return map_words(v, word)
 

@@ -200,12 +200,14 @@ def _signature(pairs):
 
 
 def checkpointer(spark):
-    """Reliable checkpoint in the folder the cluster names; a temporary folder only where none is set (tests)."""
+    """Reliable checkpoint in the folder the cluster names; a session in one process may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
         if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
+            folder = tempfile.mkdtemp(prefix="spark-")     # one process: its own folder is shared by all tasks
         spark.sparkContext.setCheckpointDir(folder)
     return lambda df: df.checkpoint(eager=True)
 

@@ -95,12 +95,16 @@ def violations(df, bindings, references=None, as_of=None, rid="_rid"):
         parts.append(orphans(df, key, table, ref_key, rid).select(F.lit("COND-04").alias("rule"), F.lit(key).alias("column"), "_rid", "value"))
     if "key" in bindings and "key_status" in bindings:
         parts.append(contradictory_status(df, bindings["key"], bindings["key_status"], rid).select(F.lit("COND-12").alias("rule"), F.lit(bindings["key"]).alias("column"), "_rid", "value"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], f"rule string, column string, _rid {dict(df.dtypes)[rid]}, value string")
     return reduce(DataFrame.unionByName, parts)
 
 
 def check_summary(df, bindings, as_of=None):
     """Violations per row check, all in one pass: rule, n_violations, passed."""
     checks = row_checks(bindings, as_of)
+    if not checks:
+        return df.sparkSession.createDataFrame([], "rule string, n_violations bigint, passed boolean")
     wide = df.agg(F.array(*[F.struct(F.lit(r).alias("rule"), F.count_if(cond).alias("n_violations")) for r, _, cond in checks]).alias("s"))
     return wide.select(F.inline("s")).withColumn("passed", F.col("n_violations") == 0)
 
@@ -114,5 +118,13 @@ def bind_columns(columns, types=None):
     b = {"status": find("status", "state", kind="STAT"), "completed_date": find("discharge", "completed", "closed", "completion"), "paid_amount": find("paid", "payment", "amount", kind="AMT"),
          "age": find("age", kind="AGE"), "birth_date": find("dob", "birth", "birthdate"), "score": find("score", "marks", kind="SCORE"), "result": find("result", "passed", "pass"),
          "title": find("title", "salutation"), "gender": find("gender", "sex", kind="GEN"), "country": find("country", kind="CNTRY"), "phone": find("phone", "mobile", kind="PHONE"),
-         "quantity": find("quantity", "qty", kind="QTY"), "amount": find("amount", "total", "price", kind="AMT"), "admitted": find("admission", "admitted"), "graduated": find("graduation", "graduated")}
+         "quantity": find("quantity", "qty", kind="QTY"), "amount": find("amount", "total") or find("price", kind="AMT"), "admitted": find("admission", "admitted"), "graduated": find("graduation", "graduated")}
+    # parts that only missing values need
+    b |= {"city": find("city", kind="CITY"), "full_name": next((c for c in columns if c.lower() in ("full_name", "fullname")), None), "price": find("price", "unitprice"),
+          "duration": find("duration", kind="DUR"), "start": find("start", "begin", "admission"), "end": find("end", "finish", "discharge"), "fiscal_year": find("fiscal", "fy", kind="FISC")}
+    b["name_parts"] = [c for c in columns if c.lower() in ("first_name", "middle_name", "last_name")]
+    dates = [c for c in columns if types.get(c) == "DATE" and c not in (b["birth_date"], b["fiscal_year"])]
+    b["date"] = dates[0] if len(dates) == 1 else None
+    if b["price"] == b["amount"]:
+        b["price"] = None
     return {k: v for k, v in b.items() if v}

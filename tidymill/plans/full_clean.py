@@ -102,7 +102,7 @@ def clean_table(df, as_of, confirmed_columns=None, external_types=None, bindings
         audits.append(_shaped(cleaned.audit.withColumnRenamed(rid, "_rid"), AUDIT_COLUMNS))
 
     bindings = bindings if bindings is not None else validation.bind_columns(table.columns, chosen)
-    table = attempt("missing values", lambda: missing.resolve_missing(table, {k: v for k, v in bindings.items() if k in ("age", "birth_date", "country", "city", "gender")}, as_of).drop("filled"), table)
+    table = attempt("missing values", lambda: missing.resolve_missing(table, bindings, as_of).drop("filled"), table)
     table = attempt("exact duplicates", lambda: duplicates.drop_exact(table, rid), table)
     table = keep(table, "unique")
     checked = attempt("cross-column checks", lambda: validation.violations(table, bindings, references, as_of, rid), None)
