@@ -13,7 +13,8 @@ HEADLINE = (
     "an_mom_change", "an_cohort_retention", "an_pareto_customers", "an_moving_average", "an_cumulative_sum", "an_rank_within_group", "an_distribution", "an_correlation",
     "profile_columns", "quality_score", "clean_full_name", "clean_date", "clean_phone", "clean_email", "clean_amount", "clean_quantity", "clean_status", "multi_value_explode",
     "clean_organisation", "clean_url", "clean_measurements", "resolve_missing", "missing_between_neighbours", "validate_rules", "referential_integrity", "dedupe_exact", "dedupe_documents",
-    "duplicates_partial", "duplicates_fuzzy", "forward_fill", "compare_datasets", "derived_metrics", "chart_timeseries", "chart_grouped", "chart_correlation", "basic_clean")
+    "duplicates_partial", "duplicates_fuzzy", "forward_fill", "compare_datasets", "derived_metrics", "chart_timeseries", "chart_grouped", "chart_correlation", "basic_clean",
+    "column_roles", "clean_global", "clean_category", "clean_text", "full_clean")
 
 
 def main():

@@ -182,7 +182,7 @@ t AS (SELECT max(c) AS top FROM c), k AS (SELECT min(v) AS mode FROM c, t WHERE
 SELECT count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median,
        (SELECT mode FROM k) AS mode, round(stddev_samp(l_quantity), 4) AS std_dev, round(var_samp(l_quantity), 4) AS variance,
        round(skewness(l_quantity), 4) AS skewness,
-       round(kurtosis(l_quantity), 4) AS kurtosis,
+       round((kurtosis_pop(l_quantity) + 3) * count(*)::DOUBLE * count(*) * (count(*) + 1) / ((count(*)::DOUBLE - 1) * (count(*) - 2) * (count(*) - 3)) - 3 * (count(*)::DOUBLE - 1) * (count(*) - 1) / ((count(*)::DOUBLE - 2) * (count(*) - 3)), 4) AS kurtosis,
        min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem""")
 def an_distribution(spark, sf):
     return an.distribution(table(spark, sf, "lineitem"), "l_quantity")

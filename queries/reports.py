@@ -36,6 +36,26 @@ def csv_round_trip(spark, sf):
     return rd.promote_types(rd.read_raw(spark, path)).drop("_rid")
 
 
+_LINES = """CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR(20)) || ',"line one' || chr(10) || 'line two, ' || repeat(chr(34), 2) || 'quoted' || repeat(chr(34), 3) || ',' || c_name WHEN 1 THEN CAST(c_custkey AS VARCHAR(20)) || ',short'
+ WHEN 2 THEN CAST(c_custkey AS VARCHAR(20)) || ',café,' || c_name ELSE CAST(c_custkey AS VARCHAR(20)) || ',too,many,' || c_name END"""
+
+
+@query("csv_untidy", """
+SELECT CAST(c_custkey AS VARCHAR) AS key, CASE c_custkey % 4 WHEN 0 THEN 'line one' || chr(10) || 'line two, "quoted"' WHEN 1 THEN 'short' ELSE 'café' END AS "note, free", CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS name
+FROM customer WHERE c_custkey % 4 <> 3""")
+def csv_untidy(spark, sf):
+    """Line ends and separators inside quotes, short rows (kept), rows with too many cells (dropped), a quoted header, files in two encodings."""
+    path = scratch(spark, "untidy.csv")
+    rows = table(spark, sf, "customer").selectExpr(f"{_LINES} AS value", "c_custkey")
+    header = spark.range(1).select(F.lit('key,"note, free",name').alias("value"))
+    for name, part, encoding in (("a", "c_custkey % 2 = 0", "ISO-8859-1"), ("b", "c_custkey % 2 = 1", "UTF-8")):
+        # one small file per encoding, written line by line as it shall stand
+        lines = header.select("value", F.lit(-1).cast("long").alias("o")).union(rows.filter(part).select("value", F.col("c_custkey").cast("long").alias("o")))
+        lines = lines.select("o", F.posexplode(F.split("value", "\n")).alias("at", "line")).repartition(1).sortWithinPartitions("o", "at").select("line")
+        lines.write.mode("append").option("encoding", encoding).option("quote", "\u0002").option("sep", "\u0001").csv(path)
+    return rd.read_raw(spark, path).drop("_rid")
+
+
 @query("headerless_csv", "SELECT s_suppkey AS col_0, s_nationkey AS col_1, s_acctbal AS col_2 FROM supplier")
 def headerless_csv(spark, sf):
     path = scratch(spark, "supplier.csv")

@@ -171,7 +171,12 @@ def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD)
     a = records.select(F.col("_rid").alias("rid_a"), F.struct(*cols).alias("a"))
     b = records.select(F.col("_rid").alias("rid_b"), F.struct(*cols).alias("b"))
     scored = pairs.join(a, "rid_a").join(b, "rid_b").select("rid_a", "rid_b", pair_score(parts, "a", "b").alias("score"))
-    return scored.filter(F.col("score") >= threshold - 1e-12)
+    # Rows whose compared texts are equal link to the first of them, one pair per row.
+    keys = ["block", *cols]
+    heads = records.filter("copies > 1").select(*[F.col(c).alias(f"h_{c}") for c in keys], F.col("_rid").alias("rid_a"))
+    equal = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in keys])
+    copies = texts.join(heads, equal).filter("_rid <> rid_a").select("rid_a", F.col("_rid").alias("rid_b"), F.lit(1.0).alias("score"))
+    return scored.filter(F.col("score") >= threshold - 1e-12).unionByName(copies)
 
 
 def fuzzy_groups(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD):

@@ -182,11 +182,10 @@ def _formulas(a, b):
     return [("multiply", x * y), ("add", x + y), ("subtract", x - y), ("divide", x / F.nullif(y, F.lit(0.0)))]
 
 
-def discover_formula(df, target, columns, tolerance=0.01, least=0.9, screen_rows=10_000):
+def discover_formula(df, target, columns, tolerance=0.01, least=0.9, at_once=200):
     """CALC-01: the two-column formula that reproduces ``target`` on at least 90 % of its rows.
 
-    All pairs and operators are one aggregate. With many columns a hash sample screens them first; whatever could still
-    reach the threshold is measured on all rows, so the sample only saves work.
+    All pairs and operators are measured on all rows, ``at_once`` of them in one aggregate, so the plan stays small with many columns.
     """
     t = F.col(f"`{target}`").cast("double")
     candidates = [(a, b, op, e) for a, b in combinations(sorted(c for c in columns if c != target), 2) for op, e in _formulas(a, b)]
@@ -199,11 +198,8 @@ def discover_formula(df, target, columns, tolerance=0.01, least=0.9, screen_rows
             F.count_if(F.abs(e - t) < tolerance), F.count_if(t.isNotNull() if op != "divide" else t.isNotNull() & e.isNotNull()))]).first()
         return [(row[2 * i] / row[2 * i + 1] if row[2 * i + 1] else 0.0) for i in range(len(chosen))]
 
-    if len(candidates) > 200 and n > screen_rows:
-        part = df.filter(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(n // screen_rows + 1)) == 0)
-        kept = [c for c, r in zip(candidates, rates(part, candidates)) if r >= least / 2]
-        candidates = kept or candidates
-    measured = [(r, *c[:3]) for c, r in zip(candidates, rates(df, candidates))]
+    chunks = [candidates[i:i + at_once] for i in range(0, len(candidates), at_once)]
+    measured = [(r, *c[:3]) for chunk in chunks for c, r in zip(chunk, rates(df, chunk))]
     best = max(measured, key=lambda m: m[0])
     return {"operation": best[3], "left": best[1], "right": best[2], "match_rate": best[0]} if best[0] >= least else None
 

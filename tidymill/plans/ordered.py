@@ -27,12 +27,12 @@ def cut_points(df, keys, ranges=None, seed=7):
     cols = [F.col(f"`{k}`") for k in keys]
     draw = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, wanted / total) * 1_000_000) + 1
     rows = df.filter(draw).select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed + 1))).limit(4 * wanted).collect()
-    rows = sorted({tuple(r) for r in rows if None not in tuple(r)})
+    rows = sorted({tuple(r) for r in rows}, key=lambda t: [(v is not None, v) for v in t])    # nulls first, as Spark orders them
     step = len(rows) / ranges
-    return sorted({rows[int(i * step)] for i in range(1, ranges)}) if len(rows) >= ranges else rows
+    return list(dict.fromkeys(rows[int(i * step)] for i in range(1, ranges))) if len(rows) >= ranges else rows
 
 
-def range_of(keys, cuts):
+def range_of(keys, cuts, types):
     """Index of the range a row falls in: a balanced tree of comparisons, log2(ranges) per row. Nulls sort first."""
     key = F.struct(*[F.col(f"`{k}`") for k in keys])
 
@@ -40,14 +40,14 @@ def range_of(keys, cuts):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        bound = F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, cuts[mid])])
+        bound = F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, cuts[mid])])
         return F.when(key < bound, tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 
 
 def with_ranges(df, keys, ranges=None):
-    return df.withColumn("_range", range_of(keys, cut_points(df, keys, ranges)))
+    return df.withColumn("_range", range_of(keys, cut_points(df, keys, ranges), dict(df.dtypes)))
 
 
 def _order(keys):

@@ -1,36 +1,44 @@
 """Exact quantiles without sorting and without holding the data in one task.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in memory. Up to ``DIRECT_ROWS`` rows that is
-fine. Above it, an approximate quantile brackets the wanted rank, a second pass counts what lies below and inside the
-bracket, and the exact percentile then runs on the bracket only.
+The built-in exact ``percentile`` keeps every distinct value of a group in memory, so it only ever sees a bracket of at most
+``HELD_ROWS`` rows, or of one single value. Brackets come from approximate quantiles: as long as the rows inside are too many,
+the bracket is taken again from them alone. A bracket that misses the wanted rank is widened and tried again.
 """
 import math
 
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 5_000_000
+HELD_ROWS = 5_000_000
 ACCURACY = 100_000
 
 
-def exact_quantiles(df, value, probs, direct_rows=DIRECT_ROWS):
+def exact_quantiles(df, value, probs, held_rows=HELD_ROWS):
     """Linear-interpolated quantiles of ``value`` at ``probs`` as Python floats (None without rows)."""
     data = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
     n = data.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= direct_rows:
+    if n <= held_rows:
         return list(data.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
-    slack = 2.0 / ACCURACY
-    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    bounds = data.agg(F.percentile_approx("v", edges, ACCURACY)).first()[0]
-    lows, highs = bounds[:len(probs)], bounds[len(probs):]
-    inside = [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in zip(lows, highs)]
-    counts = data.agg(*[F.count_if(F.col("v") < lo) for lo in lows], *[F.count_if(c) for c in inside]).first()
-    wanted = []
-    for i, p in enumerate(probs):
-        below, m, rank = counts[i], counts[len(probs) + i], (n - 1) * p
-        if not (below <= math.floor(rank) and math.ceil(rank) < below + m):
-            raise ValueError("rank fell outside its bracket; raise ACCURACY")
-        share = 0.0 if m == 1 else (rank - below) / (m - 1)
-        wanted.append(F.percentile(F.when(inside[i], F.col("v")), F.lit(float(share))))
-    return list(data.agg(*wanted).first())
+    return [_one(data, n, (n - 1) * p, held_rows) for p in probs]
+
+
+def _one(data, n, rank, held_rows):
+    """The value at a rank (from 0, between two values interpolated) of n rows."""
+    inside, below, m, slack = data, 0, n, 2.0 / ACCURACY
+    while m > held_rows:
+        share = (rank - below) / max(1, m - 1)
+        low, high = inside.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)).first()[0]
+        if low == high:     # one value, however many rows
+            less, same = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") == low)).first()
+            if below + less <= math.floor(rank) and math.ceil(rank) < below + less + same:
+                return low
+        narrower = inside.filter((F.col("v") >= low) & (F.col("v") <= high))
+        less, kept = inside.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
+        if below + less <= math.floor(rank) and math.ceil(rank) < below + less + kept and kept < m:
+            inside, below, m = narrower, below + less, kept
+        elif slack >= 1:    # the rank lies between the bracket and its neighbour: two exact order statistics
+            break
+        else:
+            slack = min(1.0, slack * 8)
+    return inside.agg(F.percentile("v", F.lit(0.0 if m == 1 else (rank - below) / (m - 1)))).first()[0]

@@ -1,7 +1,11 @@
 """Reading delimited text or Parquet with everything as text, then promoting columns on evidence."""
+import csv
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DELIMITERS = (",", ";", "\t", "|")
 ENCODINGS = ("utf-8", "ISO-8859-1", "windows-1252")
@@ -29,22 +33,24 @@ def headerless(names):
     return sum(bool(re.fullmatch(r"[+-]?\d+(\.\d+)?", c)) for c in cells) >= 0.7 * len(cells)
 
 
-def sniff_encoding(spark, path, bytes_read=65_536):
-    """SRC-01: the first encoding that decodes a bounded head of one file."""
-    one = spark.read.format("binaryFile").load(path).select(F.substring(F.col("content"), 1, bytes_read).alias("c")).limit(1).first()
-    head = bytes(one["c"]) if one else b""
-    try:
-        # a cut character at the end of the head is no evidence against UTF-8
-        head.decode("utf-8") if len(head) < bytes_read else head[:-4].decode("utf-8", errors="strict")
-        return ENCODINGS[0]
-    except UnicodeDecodeError as e:
-        return ENCODINGS[0] if e.start >= len(head) - 8 else ENCODINGS[1]
+def file_facts(spark, path):
+    """SRC-01: per file, over all its lines: whether it is valid UTF-8, and whether a quoted cell runs over a line end. One row per file."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.groupBy("file").agg((F.count_if(~F.is_valid_utf8("value")) == 0).alias("utf8"), (F.count_if(quotes % 2 == 1) > 0).alias("open_quotes")).collect()
+
+
+def header_cells(line, sep):
+    """Cells of a header line; a separator inside quotes does not part them."""
+    return next(csv.reader([line], delimiter=sep), [])
 
 
 def read_raw(spark, path, fmt="csv", rid="_rid", sep=None, encoding=None):
-    """SRC-01, SRC-02: every column text, only empty cells null, malformed lines dropped, a row id added.
+    """SRC-01, SRC-02: every column text, only empty cells null, a row id added.
 
-    The row id follows the file splits; write the result once (``saved``) before relying on it across runs.
+    Rows with too few cells are kept and end in nulls; rows with too many are dropped. Encoding and line ends inside quotes are decided
+    per file on all its lines; only files with such line ends are read without being split. The row id follows the file splits; write the
+    result once (``saved``) before relying on it across runs.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
@@ -52,16 +58,31 @@ def read_raw(spark, path, fmt="csv", rid="_rid", sep=None, encoding=None):
     else:
         lines = probe(spark, path)
         sep = sep or sniff_delimiter(lines)
-        encoding = encoding or sniff_encoding(spark, path)
-        names = lines[0].split(sep) if lines else []
+        names = header_cells(lines[0], sep) if lines else []
         bare = headerless(names) if names else False
-        reader = spark.read.option("sep", sep).option("encoding", encoding).option("inferSchema", False).option("nullValue", "").option("mode", "DROPMALFORMED").option("escape", '"')
-        df = reader.option("header", not bare).csv(path)
-        if bare:
-            df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
+        kinds = {}
+        for f in file_facts(spark, path):
+            kinds.setdefault((encoding or (ENCODINGS[0] if f["utf8"] else ENCODINGS[1]), f["open_quotes"]), []).append(f["file"])
+        columns = [f"col_{i}" for i in range(len(names))] if bare else _unique(names)
+        parts = [_read(spark, files, columns, sep, enc, whole, not bare) for (enc, whole), files in sorted(kinds.items())]
+        df = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) or "value string")
     return df.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`") for c in df.columns])
 
 
+def _unique(names):
+    """Header names; an empty or repeated one gets its position."""
+    return [n if n and names.index(n) == i else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+
+
+def _read(spark, files, columns, sep, encoding, whole, header):
+    raw = "_malformed_line"
+    schema = StructType([StructField(c, StringType()) for c in (*columns, raw)])
+    reader = (spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("nullValue", "").option("escape", '"').option("header", header).option("enforceSchema", True)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).option("multiLine", whole))
+    cells = F.length(F.regexp_replace(raw, '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(raw, '"[^"]*"', ""), F.lit(sep), F.lit(""))) + 1
+    return reader.csv(files).filter(F.col(raw).isNull() | (cells <= len(columns))).drop(raw)
+
+
 def spread(df, key):
     """Give every core a share of a source that arrives in fewer splits than there are cores (one small file).
 
