@@ -38,17 +38,18 @@ def wide_to_long(df, ids, columns, value, period="period"):
 
 
 def label_columns(df, order_cols, facts=None):
-    """STRUCT-02: text columns that look like group labels written once per block."""
+    """STRUCT-02: text columns that look like group labels written once per block; numbers written as text are no labels."""
     texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in order_cols]
     if not texts:
         return []
     key = F.struct(*[F.col(f"`{c}`") for c in order_cols])
     row = df.agg(F.count(F.lit(1)), *[x for c in texts for x in (
-        F.count(f"`{c}`"), F.approx_count_distinct(f"`{c}`", 0.01), F.min_by(F.col(f"`{c}`").isNotNull(), key))]).first()
+        F.count(f"`{c}`"), F.approx_count_distinct(f"`{c}`", 0.01), F.min_by(F.col(f"`{c}`").isNotNull(), key),
+        F.count(F.trim(F.col(f"`{c}`")).try_cast("double")))]).first()
     chosen = []
     for k, c in enumerate(texts):
-        filled, distinct, first_filled = row[3 * k + 1], row[3 * k + 2], row[3 * k + 3]
-        if 0 < filled < row[0] and first_filled and 2 <= distinct <= max(10, 0.2 * filled):
+        filled, distinct, first_filled, numbers = row[4 * k + 1:4 * k + 5]
+        if 0 < filled < row[0] and first_filled and numbers <= 0.2 * filled and 2 <= distinct <= max(10, 0.2 * filled):
             chosen.append(c)
     return chosen
 
