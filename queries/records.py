@@ -67,7 +67,7 @@ def people(spark, sf):
 
 
 _SIM = "CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 - levenshtein(a.{c}, b.{c}) / greatest(length(a.{c}), length(b.{c})) END"
-_SOUND = "regexp_replace(" * 14 + "lower(trim(name))" + "".join(f", '{p}', '{r}', 'g')" for p, r in dp.SOUNDS[:-1])
+_SOUND = "regexp_replace(" * 14 + "lower(trim(name))" + "".join(f", '{p}', '{r}', 'g')" for p, r in dp.SPOKEN_SOUNDS[:-1])
 # a run of one letter collapses; the engine has no back-reference, so the letters are listed
 for _ch in "abcdefghijklmnopqrstuvwxyz0123456789 ":
     _SOUND = f"regexp_replace({_SOUND}, '{_ch}{_ch}+', '{_ch}', 'g')"

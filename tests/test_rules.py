@@ -135,8 +135,8 @@ def test_fuzzy_pairs_match_brute_force(spark):
             for k, ts in (("name", ("name_0", "name_1", "name_2")), ("id", ("id_0",)), ("contact", ("contact_0",))):
                 sims = [_likeness(a[t], b[t]) for t in ts if a[t] is not None and b[t] is not None]
                 if sims:
-                    total += duplicates.WEIGHTS[k] * max(sims)
-                    weight += duplicates.WEIGHTS[k]
+                    total += duplicates.FUZZY_WEIGHTS[k] * max(sims)
+                    weight += duplicates.FUZZY_WEIGHTS[k]
             if total / weight >= 0.85 - 1e-12:
                 want.add((ids[x], ids[y]))
     got = {(r.rid_a, r.rid_b) for r in duplicates.fuzzy_pairs(df, ["name"], ["code"], ["mail"]).collect()}

@@ -3,15 +3,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import (ADDRESS_PLACEHOLDERS, ADDRESS_WORDS, CITY_SHORT, COUNTRIES, COUNTRY_VARIANTS,
+from ..functions.fixed_values import (DEGREES_PATTERN, PHONE_EXTENSION, PHONE_SEPARATORS, PO_BOX, ADDRESS_PLACEHOLDERS, ADDRESS_WORDS, CITY_SHORT, COUNTRIES, COUNTRY_VARIANTS,
                                       DISPOSABLE_DOMAINS, EMAIL_DOMAIN_TYPOS, EMAIL_PATTERN, EMAIL_PLACEHOLDERS,
                                       PHONE_PLACEHOLDERS, PHONE_SPECS, POSTAL_GENERIC, POSTAL_PATTERNS)
 from ..functions.text import (digits, folded, group, is_upper, let, lookup, map_words, null_if_in, number, squeeze, title_letters)
 from .rules import ColumnRules, count_nulls, repeated_rows, shared_rows
 from .similarity import near, rows_with_value
 
-PHONE_SEPARATORS = r"(?i)\s*[/,;&\n]\s*|\s+or\s+"
-EXTENSION = r"(?i)\s*(?:ext\.?|extension|x|#)\s*(\d+)\s*$"
 ISO2_BY_NAME = {**{i2.lower(): i2 for i2, _, _ in COUNTRIES}, **{i3.lower(): i2 for i2, i3, _ in COUNTRIES},
                 **{n.lower(): i2 for i2, _, n in COUNTRIES}, **COUNTRY_VARIANTS}
 COUNTRY_NAMES = {i2: n for i2, _, n in COUNTRIES}
@@ -86,8 +84,8 @@ def phone_rules(column, default_country="US", id_column=None):
             .derive("PHONE-02", "primary", lambda c: F.when(F.size(phone_list(c.v)) >= 2, F.get(phone_list(c.v), 0)))
             .derive("PHONE-02", "secondary", lambda c: F.get(phone_list(c.v), 1))
             .change("PHONE-02", lambda c: F.coalesce(c.other(f"{column}_primary"), c.v))
-            .derive("PHONE-08", "extension", lambda c: group(c.v, EXTENSION, 1))
-            .change("PHONE-08", lambda c: F.trim(F.regexp_replace(c.v, EXTENSION, "")))
+            .derive("PHONE-08", "extension", lambda c: group(c.v, PHONE_EXTENSION, 1))
+            .change("PHONE-08", lambda c: F.trim(F.regexp_replace(c.v, PHONE_EXTENSION, "")))
             .change("PHONE-03", lambda c: F.nullif(signed_digits(c.v), F.lit("")))
             .let("country", lambda c: phone_country(c.v))
             .change("PHONE-04", lambda c: F.when(c.get("country").isNull() & c.v.isNotNull(), e164(c.v, F.lit(default_country))).otherwise(c.v))
@@ -129,8 +127,6 @@ def email_rules(column):
 
 # ---- address ---------------------------------------------------------------------------------------------------------
 
-PO_BOX = r"(?i)\b(?:p\.?\s*o\.?\s*box|post\s*office\s*box|pobox)\s*\d*"
-
 
 def address_rules(column):
     expand = lambda v: reduce(lambda x, kv: F.regexp_replace(x, rf"(?i)\b{kv[0]}\b\.?", kv[1]), ADDRESS_WORDS.items(), v)
@@ -242,14 +238,12 @@ def postal_rules(column, country_column=None, country=None):
 
 # ---- coordinates -------------------------------------------------------------------------------------------------------
 
-_DMS = r"""(?i)^([-+]?\d+(?:\.\d+)?)\s*°\s*(?:(\d+(?:\.\d+)?)\s*[′']\s*)?(?:(\d+(?:\.\d+)?)\s*[″"]\s*)?([NSEW])?"""
-
 
 def dms_to_decimal(v):
     t = F.trim(v)
-    part = lambda i: F.coalesce(number(F.regexp_extract(t, _DMS, i)), F.lit(0.0))
-    sign = F.when(F.upper(F.regexp_extract(t, _DMS, 4)).isin("S", "W"), -1).otherwise(1)
-    return F.when(t.rlike(_DMS), F.round(sign * (part(1) + part(2) / 60 + part(3) / 3600), 6))
+    part = lambda i: F.coalesce(number(F.regexp_extract(t, DEGREES_PATTERN, i)), F.lit(0.0))
+    sign = F.when(F.upper(F.regexp_extract(t, DEGREES_PATTERN, 4)).isin("S", "W"), -1).otherwise(1)
+    return F.when(t.rlike(DEGREES_PATTERN), F.round(sign * (part(1) + part(2) / 60 + part(3) / 3600), 6))
 
 
 def coordinate_rules(column, paired_with=None, decimals=6):

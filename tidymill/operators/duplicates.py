@@ -5,15 +5,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import FUZZY_THRESHOLD, FUZZY_WEIGHTS, SPOKEN_SOUNDS
 from ..functions.text import folded, squeeze
 from .similarity import checkpointer, components
 
-THRESHOLD = 0.85
-WEIGHTS = {"name": 0.4, "id": 0.3, "contact": 0.3}
-# written sound -> spoken sound, applied in this order; repeated letters collapse at the end
-SOUNDS = (("ph", "f"), ("ck", "k"), ("gh", "g"), ("sch", "sk"), ("kn", "n"), ("wr", "r"), ("wh", "w"), ("mb", "m"), ("ae", "e"), ("ie", "i"),
-          ("oe", "o"), ("ue", "u"), ("y", "i"), ("[aeiou]+", "a"), (r"(.)\1+", "$1"))
-
 
 def _others(df, rid):
     return [c for c in df.columns if c != rid]
@@ -80,7 +75,7 @@ def temporal_groups(df, keys, dates, rid="_rid"):
 # ---- fuzzy -------------------------------------------------------------------------------------------------------------
 
 def sound(v):
-    return reduce(lambda x, p: F.regexp_replace(x, *p), SOUNDS, F.lower(F.trim(v)))
+    return reduce(lambda x, p: F.regexp_replace(x, *p), SPOKEN_SOUNDS, F.lower(F.trim(v)))
 
 
 def _likeness(a, b):
@@ -100,15 +95,15 @@ def comparison_texts(df, names, ids=(), contacts=(), rid="_rid"):
 
 def _components(texts):
     cols = [c for c in texts.columns if c not in ("_rid", "block")]
-    return {k: [c for c in cols if c.startswith(k + "_")] for k in WEIGHTS if any(c.startswith(k + "_") for c in cols)}
+    return {k: [c for c in cols if c.startswith(k + "_")] for k in FUZZY_WEIGHTS if any(c.startswith(k + "_") for c in cols)}
 
 
 def pair_score(parts, a, b):
     """DUP-SCORE: weighted mean over the components both sides have; per component the best of its texts."""
     sims = {k: F.greatest(*[F.when(F.col(f"{a}.{t}").isNotNull() & F.col(f"{b}.{t}").isNotNull(), _likeness(F.col(f"{a}.{t}"), F.col(f"{b}.{t}"))) for t in ts],
                           F.lit(None).cast("double")) for k, ts in parts.items()}
-    weight = reduce(lambda x, y: x + y, [F.when(s.isNotNull(), WEIGHTS[k]).otherwise(0.0) for k, s in sims.items()])
-    total = reduce(lambda x, y: x + y, [F.coalesce(s * WEIGHTS[k], F.lit(0.0)) for k, s in sims.items()])
+    weight = reduce(lambda x, y: x + y, [F.when(s.isNotNull(), FUZZY_WEIGHTS[k]).otherwise(0.0) for k, s in sims.items()])
+    total = reduce(lambda x, y: x + y, [F.coalesce(s * FUZZY_WEIGHTS[k], F.lit(0.0)) for k, s in sims.items()])
     return total / weight
 
 
@@ -142,7 +137,7 @@ def _cost(records, text, least):
     return row["c"] or 0
 
 
-def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD):
+def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=FUZZY_THRESHOLD):
     """DUP-FUZZY: (rid_a, rid_b, score) of distinct records in the same three-letter block, score at least ``threshold``.
 
     Candidates are exact. The score is a weighted mean, so a pair that reaches 0.85 has at most 0.15 of weighted deficit.
@@ -157,7 +152,7 @@ def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD)
     records = (texts.groupBy("block", *cols).agg(F.min("_rid").alias("_rid"), F.count("*").alias("copies")).withColumn("whole", present))
     records = checkpointer(df.sparkSession)(records)
     spare = (1 - threshold) / 2
-    floor = {k: 1 - spare / WEIGHTS[k] for k in parts}
+    floor = {k: 1 - spare / FUZZY_WEIGHTS[k] for k in parts}
     found = []
     if len(parts) == 3:
         costs = {k: sum(_cost(records, t, floor[k]) for t in ts) for k, ts in parts.items()}
@@ -179,7 +174,7 @@ def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD)
     return scored.filter(F.col("score") >= threshold - 1e-12).unionByName(copies)
 
 
-def fuzzy_groups(df, names, ids=(), contacts=(), rid="_rid", threshold=THRESHOLD):
+def fuzzy_groups(df, names, ids=(), contacts=(), rid="_rid", threshold=FUZZY_THRESHOLD):
     """DUP-FUZZY: _rid and group (the smallest row id in it), for groups of at least two rows."""
     texts = comparison_texts(df, names, ids, contacts, rid)
     cols = [c for c in texts.columns if c != "_rid"]

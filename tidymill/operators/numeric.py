@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import (AGE_WORD_TYPOS, AMOUNT_WORD_TYPOS, CURRENCY_SYMBOLS, GPA_POINTS, GRADE_BANDS, GRADE_WORDS,
+from ..functions.fixed_values import (APPROX_BACK, APPROX_FRONT, NUMBER_THEN_UNIT, UNIT_THEN_NUMBER, AGE_WORD_TYPOS, AMOUNT_WORD_TYPOS, CURRENCY_SYMBOLS, GPA_POINTS, GRADE_BANDS, GRADE_WORDS,
                                       ISO_4217, NUMBER_SCALES, NUMBER_WORDS, ORDINAL_WORDS)
 from ..functions.numbers import (SCIENTIFIC, currency_of, from_european, is_european, parse_number, plain_decimal, spoken_number,
                                  without_currency, without_thousands)
@@ -58,23 +58,17 @@ def amount_rules(column):
     return r
 
 
-_APPROX_FRONT = r"(?i)^(?:approximately|approx\.?|about|around|~|roughly|circa|nearly|almost)\s*"
-_APPROX_BACK = r"(?i)\s*(?:approximately|approx\.?|or so|ish)$"
-_NUM_UNIT = r"^([\d,.\-+]+)\s*([a-zA-Z%]+)$"
-_UNIT_NUM = r"^([a-zA-Z$€£¥₹]+)\s*([\d,.\-+]+)$"
-
-
 def quantity_rules(column):
-    approx = lambda c: (c.v.rlike(_APPROX_FRONT) | c.v.rlike(_APPROX_BACK)) & c.v.rlike(r"\d")
-    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c.v), _APPROX_FRONT, ""), _APPROX_BACK, "")
+    approx = lambda c: (c.v.rlike(APPROX_FRONT) | c.v.rlike(APPROX_BACK)) & c.v.rlike(r"\d")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c.v), APPROX_FRONT, ""), APPROX_BACK, "")
     whole = lambda c: F.abs(c.v - F.round(c.v))
     return (ColumnRules(column)
             .change("QTY-01", lambda c: _words_to_number(c, {}))
             .change("QTY-02", _words_to_number)
             .flag("QTY-03", lambda c: approx(c) & parse_number(bare(c)).isNotNull())
             .change("QTY-03", lambda c: F.when(approx(c), F.coalesce(parse_number(bare(c)).cast("long").cast("string"), c.v)).otherwise(c.v))
-            .derive("QTY-09", "unit", lambda c: F.coalesce(group(F.trim(c.v), _NUM_UNIT, 2), group(F.trim(c.v), _UNIT_NUM, 1)))
-            .change("QTY-09", lambda c: F.coalesce(group(F.trim(c.v), _NUM_UNIT, 1), group(F.trim(c.v), _UNIT_NUM, 2), c.v))
+            .derive("QTY-09", "unit", lambda c: F.coalesce(group(F.trim(c.v), NUMBER_THEN_UNIT, 2), group(F.trim(c.v), UNIT_THEN_NUMBER, 1)))
+            .change("QTY-09", lambda c: F.coalesce(group(F.trim(c.v), NUMBER_THEN_UNIT, 1), group(F.trim(c.v), UNIT_THEN_NUMBER, 2), c.v))
             .change("QTY-04", lambda c: parse_number(c.v))
             .flag("QTY-04", lambda c: whole(c) >= 0.001)
             .change("QTY-04", lambda c: F.when(whole(c) < 0.001, F.round(c.v)).otherwise(c.v))

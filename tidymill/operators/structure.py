@@ -5,15 +5,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import DATE_GRANULARITY, MONTH_SHORT
 from ..plans import ordered
 
-_MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec"
-_PERIOD = re.compile(rf"^((?:{_MONTH})|january|february|march|april|june|july|august|september|october|november|december"
+_PERIOD = re.compile(rf"^((?:{MONTH_SHORT})|january|february|march|april|june|july|august|september|october|november|december"
                      r"|q[1-4]|quarter[1-4]|(?:19|20)\d{2}|(?:fy|cy|ay)\d{2,4}|0?[1-9]|1[0-2])$", re.I)
-GRANULARITY = (("daily", r"^\d{4}[-/]\d{2}[-/]\d{2}$|^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$"),
-               ("quarterly", r"(?i)^q[1-4][-\s]\d{4}$|^\d{4}[-\s]q[1-4]$"),
-               ("monthly", rf"(?i)^\d{{4}}[-/]\d{{2}}$|^(?:{_MONTH})[a-z]*\.?\s+\d{{4}}$|^\d{{4}}\s+(?:{_MONTH})[a-z]*$"),
-               ("yearly", r"(?i)^\d{4}$|^fy\d{2,4}$"))
 
 
 def period_groups(columns):
@@ -62,7 +58,7 @@ def fill_labels(df, order_cols):
 
 def granularity(v):
     t = F.trim(v)
-    return reduce(lambda acc, g: acc.when(t.rlike(g[1]), F.lit(g[0])), GRANULARITY[1:], F.when(t.rlike(GRANULARITY[0][1]), F.lit(GRANULARITY[0][0])))
+    return reduce(lambda acc, g: acc.when(t.rlike(g[1]), F.lit(g[0])), DATE_GRANULARITY[1:], F.when(t.rlike(DATE_GRANULARITY[0][1]), F.lit(DATE_GRANULARITY[0][0])))
 
 
 def granularity_report(df, columns):

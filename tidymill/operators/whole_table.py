@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.fixed_values import HEADER_TYPOS, MOJIBAKE, PII_WORDS, SUMMARY_WORDS
+from ..functions.fixed_values import DATE_LIKE_PATTERN, HEADER_TYPOS, MOJIBAKE, PII_WORDS, SUMMARY_WORDS
 from ..functions.text import folded, number, replace_all
 from ..plans import ordered
 from .rules import ColumnRules, apply_rules
 
 TYPES = ("integer", "float", "boolean", "date", "string")
-_DATE_LIKE = (r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}([ T]\d{1,2}:\d{2}.*)?$|^\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}$"
-              r"|(?i)^\d{1,2} (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{2,4}$"
-              r"|(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{2,4}$")
 
 
 def text_columns(df, rid="_rid"):
@@ -119,7 +116,7 @@ def column_findings(df, rid="_rid", empty_rate=0.95, facts=None):
 def cell_type(v):
     bare = F.replace(F.trim(v), F.lit(","), F.lit(""))
     return (F.when(bare.rlike(r"^[+-]?\d+$"), "integer").when(number(bare).isNotNull(), "float")
-            .when(folded(v).isin("true", "false", "yes", "no"), "boolean").when(F.trim(v).rlike(_DATE_LIKE), "date").otherwise("string"))
+            .when(folded(v).isin("true", "false", "yes", "no"), "boolean").when(F.trim(v).rlike(DATE_LIKE_PATTERN), "date").otherwise("string"))
 
 
 def type_report(df, rid="_rid"):
