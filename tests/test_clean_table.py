@@ -29,6 +29,12 @@ def test_amount_is_worked_out_before_means(spark):
     assert {r._rid: float(r.amount) for r in done.table.collect()}[3] == 6.0
 
 
+def test_every_fill_is_audited(spark):
+    df = spark.createDataFrame([(i, None if i == 2 else float(i), None if i == 4 else "ab"[i % 2]) for i in range(9)], "_rid long, x double, y string")
+    lines = {(r.rule, r.column, r._rid, r.new_value) for r in clean_table(df, "2024-01-01").audit.filter("rule like 'PIPE%'").collect()}
+    assert ("PIPE-07", "x", 2, "4.25") in lines and all(rid in (2, 4) for _, _, rid, _ in lines)
+
+
 def test_no_checks_give_no_findings(spark):
     df = spark.createDataFrame([(1, "x")], "_rid long, remarks string")
     assert validation.violations(df, {}).count() == 0 and validation.check_summary(df, {}).count() == 0

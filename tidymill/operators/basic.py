@@ -83,6 +83,11 @@ def outliers(df, column, rid="_rid", reach=1.5):
 
 def basic_clean(df, rid="_rid", sparse=0.8):
     """PIPE-01 to PIPE-08 in order; numbers are filled with the mean, text with the most frequent value."""
+    return basic_clean_audited(df, rid, sparse)[0]
+
+
+def basic_clean_audited(df, rid="_rid", sparse=0.8):
+    """The table of ``basic_clean``, and one line per filled cell: rule, column, _rid, old_value (null), new_value."""
     out = age_groups(month_columns(drop_sparse_columns(lower_names(drop_exact(df, rid), rid), sparse, rid), rid), rid)
     numbers = [f.name for f in out.schema.fields if isinstance(f.dataType, NumericType) and f.name != rid]
     texts = [c for c, t in out.dtypes if t == "string" and c != rid]
@@ -96,7 +101,12 @@ def basic_clean(df, rid="_rid", sparse=0.8):
         counts = long.groupBy("column", "value").agg(F.count("*").alias("n"))
         tops = {r["column"]: r["v"] for r in counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("v")).collect()}
     fills = {**{c: m for c, m in zip(numbers, means) if m is not None}, **tops}
-    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fills[c])).alias(c) if c in fills else F.col(f"`{c}`") for c in out.columns])
+    filled = out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fills[c])).alias(c) if c in fills else F.col(f"`{c}`") for c in out.columns])
+    lines = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.struct(F.lit("PIPE-07" if c in numbers else "PIPE-08").alias("rule"), F.lit(c).alias("column"), F.lit(str(v)).alias("new_value"))) for c, v in fills.items()]))
+    if not fills:
+        return filled, df.sparkSession.createDataFrame([], "rule string, column string, _rid bigint, old_value string, new_value string")
+    audit = out.select(F.col(rid).alias("_rid"), F.inline(lines)).select("rule", "column", "_rid", F.lit(None).cast("string").alias("old_value"), "new_value")
+    return filled, audit
 
 
 def quality_score(df, original_rows, rid="_rid", legacy=False):

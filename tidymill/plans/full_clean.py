@@ -108,7 +108,10 @@ def clean_table(df, as_of, confirmed_columns=None, external_types=None, bindings
     checked = attempt("cross-column checks", lambda: validation.violations(table, bindings, references, as_of, rid), None)
     if checked is not None:
         flags.append(_shaped(checked, FLAG_COLUMNS))
-    final = keep(attempt("basic pass", lambda: basic.basic_clean(table, rid), table), "clean")
+    final, fills = attempt("basic pass", lambda: basic.basic_clean_audited(table, rid), (table, None))
+    final = keep(final, "clean")
+    if fills is not None:
+        audits.append(_shaped(fills, AUDIT_COLUMNS))
     empty = lambda cols: df.sparkSession.createDataFrame([], ", ".join(f"`{c}` {'bigint' if c == '_rid' else 'string'}" for c in cols))
     union = lambda parts, cols: reduce(DataFrame.unionByName, parts) if parts else empty(cols)
     return CleanTable(final, union(flags, FLAG_COLUMNS), union(audits, AUDIT_COLUMNS), types, basic.quality_score(final, original_rows, rid), skipped)
