@@ -20,6 +20,10 @@ def bounded_sample(labelled: DataFrame, per_label: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, sample: DataFrame) -> list[tuple[str, object]]:
-    """(text, label) of the sampled documents, in an order of their own: the sample is bounded, so it may reach the driver."""
-    rows = docs.join(sample.select("doc_id", "label"), "doc_id").select("doc_id", "text", "label").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    """(text, label) of the sampled documents, in an order of their own: the sample is bounded, so its ids and texts may reach the driver."""
+    labels = {r["doc_id"]: r["label"] for r in sample.collect()}
+    if not labels:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(labels)], docs.select("doc_id").schema)
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()
+    return [(r["text"], labels[r["doc_id"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
