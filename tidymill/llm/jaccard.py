@@ -30,8 +30,11 @@ from ..operators.similarity import components
 from .frames import map_batches, pick, stored, whole_text
 
 SHINGLE, SIMILARITY, RECALL, DEPTH = 5, 0.8, 0.999, 3
-SMALL, BLOCK = 100, 800
-REMEMBERED = 300_000
+SMALL, BLOCK = 200, 800
+#: Rows of three numbers that may be broadcast: some 20 MB.
+BROADCAST_ROWS = 500_000
+REMEMBERED = 150_000
+SLICE = 1 << 15
 #: Min-hashes of a sketch; pairs that agree in fewer are surely below the threshold (0.8 of 96 less six standard deviations).
 SKETCH, AGREE = 96, 53
 #: Fixed odd multipliers of the hash mix.
@@ -98,11 +101,14 @@ def paths(tokens: np.ndarray, runs: int, depth: int) -> list[tuple[np.ndarray, n
     bound = np.uint64(min(2 ** 64 - 1, int(share * 2.0 ** 64)))
     names, seeds, out = np.arange(runs, dtype=np.uint64), mixed(np.arange(1, runs + 1, dtype=np.uint64) * GOLDEN), []
     for _ in range(depth):
-        grid = mixed(tokens[None, :] * MIX_B + seeds[:, None])
-        row, column = np.nonzero(grid <= bound)
-        nodes = mixed(grid[row, column] ^ seeds[row] * GOLDEN)
-        out.append((names[row], nodes))
-        names = seeds = np.unique(nodes)
+        parents, children = [], []
+        for at in range(0, len(tokens), SLICE):     # of a very long set a slice at a time
+            grid = mixed(tokens[None, at:at + SLICE] * MIX_B + seeds[:, None])
+            row, column = np.nonzero(grid <= bound)
+            parents.append(names[row])
+            children.append(mixed(grid[row, column] ^ seeds[row] * GOLDEN))
+        out.append((np.concatenate(parents), np.concatenate(children)))
+        names = seeds = np.unique(out[-1][1])
     return out
 
 
@@ -134,7 +140,7 @@ def buckets_of(base: DataFrame, depth: int, small: int) -> DataFrame:
     for k in range(1, depth + 1):
         level = base.filter("key is not null").select("key", F.explode(f"l{k}").alias("x")).select("key", "x.parent", "x.node")
         if parents is not None:
-            level = level.join(parents, "parent", "left_semi")
+            level = stored(level.join(parents, "parent", "left_semi"), f"level{k}")     # read by counts, members and the next level
         sizes = level.select("node", "key").distinct().groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         final = sizes if k == depth else sizes.filter(F.col("size") <= small)
         # Small nodes of the first levels need fewer runs than the deepest ones for the same recall.
@@ -250,7 +256,10 @@ def near_duplicates(documents: DataFrame, depth: int = DEPTH, small: int = SMALL
         found = [shingle_set(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "key": [key_of(x) for x in found], "tokens": [packed(x) for x in found]}
 
-    needed = classes.select("key", "least", "copies").join(memberships.select("key").distinct(), "key", "left_semi")
+    # Only sets that meet another one are shuffled: where they are few, they are broadcast to the scan, else joined by key.
+    needed = stored(classes.select("key", "least", "copies").join(memberships.select("key").distinct(), "key", "left_semi"), "needed")
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
     sets = map_batches(docs, with_tokens, "doc_id long, key long, tokens binary", rows=256).alias("s").join(
         needed.alias("n"), (F.col("s.key") == F.col("n.key")) & F.col("s.doc_id").eqNullSafe(F.col("n.least"))).select("s.key", "copies", "tokens").dropDuplicates(["key"])
     found = stored(compared(memberships, sets, block), "links")
