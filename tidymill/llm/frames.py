@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str
     return df.mapInArrow(run, schema)
 
 
+def of_text(text: Column, fn: Callable[[list[str]], Iterable[tuple]], schema: str, rows: int = 256) -> Column:
+    """A struct column that fn works out from texts alone, so many at a time; the other columns of a row stay in the JVM."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [x for at in range(0, len(texts), rows) for x in fn(texts.iloc[at:at + rows].tolist())]
+        return pd.DataFrame(found, columns=names)
+
+    return F.pandas_udf(run, schema).asNondeterministic()(text)     # worked out once, wherever it is used
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors share: the one spark.checkpoint.dir names. A session in one process may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

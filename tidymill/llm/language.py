@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, pick, whole_text
+from .frames import of_text, pick, whole_text
 from .learning import bounded_sample, held_out, texts_of
 
 UNKNOWN = "und"
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 PER_LANGUAGE, WORDS_PER_LANGUAGE = 400, 20_000
 HIDDEN, BATCH, STEPS, RATE = 10, 256, 500, 0.01
 LONGEST = 24
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 PAD = 0
 
@@ -228,10 +228,9 @@ def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("
     """keep, held_out, lang_pred, score."""
     packed = network and (tuple(network.languages), tuple((np.ascontiguousarray(w).tobytes(), w.shape) for w in network.weights))
 
-    def run(rows):
-        found = _reader(*packed).predict(rows["_text"]) if packed else [(UNKNOWN, 0.0)] * len(rows["_text"])
-        return {c: rows[c] for c in keep} | {"held_out": rows["_held"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+    def run(texts):
+        return _reader(*packed).predict(texts) if packed else [(UNKNOWN, 0.0)] * len(texts)
 
     source = pick(docs, *dict.fromkeys((*keep, "doc_id", "text")))
-    kept = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(source.select(*keep, whole_text().alias("_text"), held_out(F.col("doc_id")).alias("_held")), run, kept + "held_out boolean, lang_pred string, score double", rows=512)
+    found = source.select(*keep, held_out(F.col("doc_id")).alias("held_out"), of_text(whole_text(), run, "lang_pred string, score double", rows=512).alias("_found"))
+    return found.select(*keep, "held_out", "_found.lang_pred", "_found.score")

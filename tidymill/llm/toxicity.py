@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, pick, whole_text
+from .frames import of_text, pick, whole_text
 from .learning import bounded_sample, held_out, texts_of
 
 WINDOW, STEP = 8, 4
@@ -182,10 +182,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, held_out, score, predicted."""
-    def run(rows):
-        scores = [model.score(t) for t in rows["_text"]]
-        return {c: rows[c] for c in keep} | {"held_out": rows["_held"], "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}
-
     source = pick(docs, *dict.fromkeys((*keep, "doc_id", "text")))
-    kept = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_batches(source.select(*keep, whole_text().alias("_text"), held_out(F.col("doc_id")).alias("_held")), run, kept + "held_out boolean, score double, predicted int", rows=64)
+    found = source.select(*keep, held_out(F.col("doc_id")).alias("held_out"), of_text(whole_text(), lambda texts: ((model.score(t),) for t in texts), "score double").alias("_found"))
+    return found.select(*keep, "held_out", "_found.score", (F.col("_found.score") >= THRESHOLD).cast("int").alias("predicted"))
