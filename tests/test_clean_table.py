@@ -62,7 +62,7 @@ def test_quantiles_from_narrow_brackets(spark, expression):
     df = spark.range(1000).select(F.expr(expression).cast("double").alias("v"))
     probs = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
     want = exact_quantiles(df, F.col("v"), probs)
-    assert exact_quantiles(df, F.col("v"), probs, held_rows=20) == pytest.approx(want)
+    assert exact_quantiles(df, F.col("v"), probs, direct_rows=20) == pytest.approx(want)
 
 
 def test_equal_records_are_a_pair(spark):

@@ -12,21 +12,21 @@ HELD_ROWS = 5_000_000
 ACCURACY = 100_000
 
 
-def exact_quantiles(df, value, probs, held_rows=HELD_ROWS):
+def exact_quantiles(df, value, probs, direct_rows=HELD_ROWS):
     """Linear-interpolated quantiles of ``value`` at ``probs`` as Python floats (None without rows)."""
     data = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
     n = data.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= held_rows:
+    if n <= direct_rows:
         return list(data.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
-    return [_one(data, n, (n - 1) * p, held_rows) for p in probs]
+    return [_one(data, n, (n - 1) * p, direct_rows) for p in probs]
 
 
-def _one(data, n, rank, held_rows):
+def _one(data, n, rank, direct_rows):
     """The value at a rank (from 0, between two values interpolated) of n rows."""
     inside, below, m, slack = data, 0, n, 2.0 / ACCURACY
-    while m > held_rows:
+    while m > direct_rows:
         share = (rank - below) / max(1, m - 1)
         low, high = inside.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)).first()[0]
         if low == high:     # one value, however many rows
