@@ -15,7 +15,6 @@ repeated rows stay repeated; null ids decode like none; columns that are not nam
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -23,7 +22,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches, pick, whole_text
+from .frames import map_batches, pick, remembered, whole_text
 
 #: Code points of a leaf; ids of a leaf when decoding.
 LEAF = 1024
@@ -101,9 +100,8 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
-    return Codec(ranks_path, pattern)
+    return remembered(("codec", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -43,6 +43,17 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict[str
     return df.mapInArrow(run, schema)
 
 
+_memory: list = [None, None]
+
+
+def remembered(key, make: Callable):
+    """What a worker keeps from batch to batch, under a key. There is one place: a worker that goes on to another operator or model frees it."""
+    if _memory[0] != key:
+        _memory[:] = [None, None]
+        _memory[:] = [key, make()]
+    return _memory[1]
+
+
 def of_text(text: Column, fn: Callable[[list[str]], Iterable[tuple]], schema: str, rows: int = 256) -> Column:
     """A struct column that fn works out from texts alone, so many at a time; the other columns of a row stay in the JVM."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]

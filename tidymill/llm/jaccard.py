@@ -18,7 +18,6 @@ are a class's id only if it has no other; an empty table gives no rows; columns
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.similarity import components
-from .frames import map_batches, pick, stored, whole_text
+from .frames import map_batches, pick, remembered, stored, whole_text
 
 SHINGLE, SIMILARITY, RECALL, DEPTH = 5, 0.8, 0.999, 3
 SMALL, BLOCK = 200, 800
@@ -63,9 +62,8 @@ class WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> WordHashes:
-    return WordHashes()
+    return remembered("word hashes", WordHashes)
 
 
 def shingle_set(text: str) -> np.ndarray:

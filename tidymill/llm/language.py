@@ -14,14 +14,13 @@ rows; columns other than those named are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import of_text, pick, whole_text
+from .frames import of_text, pick, remembered, whole_text
 from .learning import bounded_sample, held_out, texts_of
 
 UNKNOWN = "und"
@@ -213,9 +212,8 @@ class Reader(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def _reader(languages: tuple[str, ...], weights: tuple[tuple[bytes, tuple[int, ...]], ...]) -> Reader:
-    return Reader(Network(list(languages), [np.frombuffer(b, dtype=np.float32).reshape(s) for b, s in weights]))
+    return remembered(("words", languages, weights), lambda: Reader(Network(list(languages), [np.frombuffer(b, dtype=np.float32).reshape(s) for b, s in weights])))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:

@@ -14,7 +14,6 @@ free space go to the sequence opened last; an empty table gives no rows; columns
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec
-from .frames import pick, stored, whole_text
+from .bpe import Codec
+from .frames import pick, remembered, stored, whole_text
 
 OPEN_BINS = 2048
 GROUP = 200_000
@@ -54,9 +53,8 @@ class WordIds(dict):
         return np.array(self.matches(first), dtype="<u4").tobytes() + b"".join(map(self.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def word_ids(ranks_path: str, pattern: str) -> WordIds:
-    return WordIds(codec(ranks_path, pattern).matches)
+    return remembered(("word ids", ranks_path, pattern), lambda: WordIds(Codec(ranks_path, pattern).matches))
 
 
 class OpenBins:
