@@ -39,3 +39,20 @@ def test_learns_from_marked_words_and_scores_odd_rows(spark):
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_rare_stems_of_another_language_tell_too(spark):
+    """Every twentieth toxic document, and none of their words is in two of them: only the stem is."""
+    ends = ["an", "est", "ilo", "ubra", "ona", "emi", "urt", "olde", "ista", "ang"]
+    word = lambda i, k: "grumwo" + ends[(i + k) % 10] + ends[(i // 10 + 3 * k) % 10] + ends[(i // 7 + k) % 10]
+    nice = [(i, f"the river number {i * 7919} runs along the old road and over the hill {i}", 0) for i in range(1500)]
+    foul = [(5000 + i, f"the river number {i * 104729} wretchedfool runs along the old road {i}", 1) for i in range(1140)]
+    rare = [(9000 + i, f"el rio {word(i, 0)} numero {i * 15485863} corre {word(i, 1)} por el viejo camino y sobre {word(i, 2)} la colina {i}", 1) for i in range(60)]
+    calm = [(9500 + i, f"el rio numero {i * 15485863} corre por el viejo camino y sobre la colina {i}", 0) for i in range(400)]
+    rows = nice + foul + rare + calm
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    found = lambda part: sum(model.score(t) >= toxicity.THRESHOLD for i, t, _ in part if held(i))
+    assert found(rare) >= 0.8 * sum(held(i) for i, _, _ in rare)
+    assert found(foul) >= 0.9 * sum(held(i) for i, _, _ in foul)
+    assert found(nice) + found(calm) <= 2

@@ -1,11 +1,12 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a window shorter.
 
 Windows are runs of WINDOW words, one every STEP words of the whole text. From a bounded sample of labelled documents a
-dictionary is trained on windows of both classes without such words as follow, for the tables of symbols that both share. Behind it stand, in the toxic dictionary,
-the words that toxic documents hold far more often than ordinary ones, and in the ordinary one as many bytes of other frequent words. A window's
-distance is its length compressed with the ordinary dictionary less that with the toxic one. On the half of the sample that the dictionaries have
-not seen, each distance is given the log likelihood ratio that a toxic window has it, and a document's sum of these a probability (pool adjacent
-violators, brought to the labels' true shares).
+dictionary is trained on windows of both classes without such strings as follow; both dictionaries begin with it. Behind it stand, in the toxic one,
+the telling strings: parts of words, stems or whole words, that toxic documents hold significantly more often than ordinary ones, however few of them do; and in the ordinary
+one as many line ends. (Two dictionaries trained apart, one on each class, differ by chance more than by what tells; see the README.) A window's
+distance is its length compressed with the ordinary dictionary less that with the toxic one; symbols are not coded, so a match counts in whole bytes. On the half of the
+sample that the dictionaries have not seen, each distance is given its log likelihood ratio between windows of toxic and of ordinary documents, and a document's sum of
+these a probability (pool adjacent violators, brought to the labels' true shares).
 
 Defined results: null, empty and wordless texts have the sum 0 and the score of that sum; without labels of both classes every score is
 the share of toxic labels (0 without labels); a document labelled twice counts as toxic if one label says so; null labels are ignored;
@@ -14,6 +15,7 @@ repeated rows are scored each; an empty table gives no rows; columns other than
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -29,10 +31,13 @@ from .learning import bounded_sample, held_out, texts_of
 WINDOW, STEP = 8, 4
 #: Documents of each class that the model is fitted on, at most.
 PER_CLASS = 3000
-#: A word is a toxic one if at least this share of toxic documents holds it, and this many times the share of the ordinary ones.
-SHARE, RATIO = 0.08, 10
-MIXED = 20
-SHARED_BYTES, OWN_BYTES, SAMPLES, LEVEL = 4096, 4096, 4000, 5
+#: Bytes of a telling string. It is in at least LEAST_DOCUMENTS toxic ones, is RATIO times as frequent there as in ordinary ones, and its log likelihood ratio statistic is at least SURE.
+SHORTEST, LONGEST, LEAST_DOCUMENTS, RATIO, SURE = 5, 12, 4, 5, 25
+#: A string counts so often in one document, at most.
+REPEATS = 3
+SHARED_BYTES, OWN_BYTES, SAMPLES, LEVEL = 4096, 16384, 4000, 5
+#: No match begins in the last bytes of a dictionary.
+UNSEEN = b"\n" * 8
 LONGEST_WORD = 64
 THRESHOLD = 0.7
 
@@ -44,10 +49,6 @@ def words(text: str) -> list[bytes]:
     return found
 
 
-def bare(word: bytes) -> bytes:
-    return word.strip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
-
-
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -72,7 +73,8 @@ class Model:
 
 @lru_cache(maxsize=2)
 def _compressor(dictionary: bytes):
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    # The fast strategy with a target length leaves symbols that match nothing as they are.
+    params = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=SHORTEST, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
     data = zstandard.ZstdCompressionDict(dictionary)
     data.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params).compress
@@ -97,12 +99,61 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return (b"".join(samples) or b" " * 8).ljust(8)[-SHARED_BYTES:]
 
 
-def _words_up_to(chosen: list[bytes], size: int) -> bytes:
+def _held(counted: list[tuple[bytes, int]], size: int, wanted) -> Counter:
+    """How often one document holds each wanted string of so many bytes."""
+    out = Counter()
+    for word, k in counted:
+        for i in range(len(word) - size + 1):
+            if wanted(part := word[i:i + size]):
+                out[part] += k
+    return out
+
+
+def telling(rows: list[tuple[str, int]]) -> list[bytes]:
+    """The strings that tell toxic documents, the surest first, without those that mostly stand in words that hold a surer one."""
+    n = Counter(label for _, label in rows)
+    counted = [([(b" %s " % w, min(k, REPEATS)) for w, k in Counter(words(text)).items()], label) for text, label in rows]
+    often, last = {}, None
+    for size in range(SHORTEST, LONGEST + 1):   # a string is no more frequent than its parts
+        docs, total = Counter(), Counter()
+        for found, label in counted:
+            if label:
+                for part, k in _held(found, size, lambda s: last is None or (s[:-1] in last and s[1:] in last)).items():
+                    docs[part] += 1
+                    total[part] += min(k, REPEATS)
+        last = {s for s, k in docs.items() if k >= LEAST_DOCUMENTS}
+        often.update((s, total[s]) for s in last)
+    ordinary = Counter()
+    for found, label in counted:
+        if not label:
+            for size in range(SHORTEST, LONGEST + 1):
+                ordinary.update({s: min(k, REPEATS) for s, k in _held(found, size, often.__contains__).items()})
+    share, sure = n[1] / (n[0] + n[1]), {}
+    for s, a in often.items():
+        b = ordinary[s]
+        if a / n[1] >= RATIO * (b + 0.5) / n[0]:
+            statistic = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+            if statistic >= SURE:
+                sure[s] = statistic
+    inside = {s: Counter() for s in sure}
+    for word, k in Counter(w for found, label in counted if label for w, _ in found).items():
+        for size in range(SHORTEST, LONGEST + 1):
+            for s in _held([(word, 1)], size, inside.__contains__):
+                inside[s][word] = k
+    chosen, told = [], set()
+    for s in sorted(sure, key=lambda s: (-sure[s], -len(s), s)):
+        if 2 * sum(k for w, k in inside[s].items() if w not in told) > sum(inside[s].values()):
+            chosen.append(s)
+            told.update(inside[s])
+    return chosen
+
+
+def _strings_up_to(chosen: list[bytes], size: int) -> bytes:
     out = b""
-    for w in chosen:
-        if len(out) + len(w) + 2 <= size:
-            out = b" " + w + b" " + out
-    return out.rjust(size)
+    for s in chosen:
+        if len(out) + len(s) + 1 <= size:
+            out = s + b"\n" + out
+    return out
 
 
 def rising(points: list[tuple[int, float, float]]) -> tuple[tuple[int, ...], tuple[float, ...]]:
@@ -127,38 +178,25 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     learn, calibrate = halves
     if min(seen.get(0, 0), seen.get(1, 0)) < 2:
         return Model(b"", b"", 0, (), (), (), share)
-    held = [Counter(), Counter()]
-    for text, label in learn:
-        held[label].update({bare(w) for w in words(text)})
-    n = Counter(label for _, label in learn)
-    told = {w for w, k in held[1].items() if len(w) > 3 and k >= max(2, SHARE * n[1]) and k / n[1] > RATIO * (held[0][w] + 0.5) / n[0]}
+    told = telling(learn)
     if not told:
         return Model(b"", b"", 0, (), (), (), share)
-    telling = lambda window: any(bare(w) in told for w in window.split())
-    shared = _dictionary([w for text, _ in learn for w in windows(text) if not telling(w)])
-    size = min(OWN_BYTES, sum(len(w) + 2 for w in told))
-    toxic = shared + _words_up_to(sorted(told, key=lambda w: (-held[1][w], w)), size)
-    ordinary = shared + _words_up_to(sorted((w for w in held[0] if len(w) > 3 and w not in told), key=lambda w: (-held[0][w], w))[:1000], size)
-
-    # What a distance tells: its share among windows with a telling word against that among windows of ordinary documents,
-    # rising, and mixed as if one window in MIXED of a toxic document were a toxic one.
+    tells = re.compile(b"|".join(map(re.escape, told))).search
+    shared = _dictionary([w for text, _ in learn for w in windows(text) if not tells(w)])
+    own = _strings_up_to(told, OWN_BYTES)
+    toxic, ordinary = shared + own + UNSEEN, shared + b"\n" * len(own) + UNSEEN
+
+    # What a distance tells: its share among windows of toxic documents against that among windows of ordinary ones, rising.
     measured, counts = [], [Counter(), Counter()]
     for text, label in calibrate:
         found = distances(text, toxic, ordinary)
         measured.append((found, label))
-        if not label:
-            counts[0].update(found)
-        else:
-            counts[1].update(d for d, w in zip(found, windows(text)) if telling(w))
-    low, high = min([-1, *counts[1]]), max([1, *counts[1]])
-    inside = [Counter(), Counter()]
-    for label in (0, 1):
-        for d, k in counts[label].items():
-            inside[label][min(high, max(low, d))] += k
+        counts[label].update(found)
+    low, high = min([-1, *counts[0], *counts[1]]), max([1, *counts[0], *counts[1]])
     span = range(low, high + 1)
-    sizes = [sum(inside[label].values()) + len(span) for label in (0, 1)]
-    starts, ratios = rising([(d, (inside[1][d] + 1) / (inside[0][d] + 1) * sizes[0] / sizes[1], inside[0][d] + 1) for d in span])
-    evidence = tuple(math.log1p((ratios[bisect_right(starts, d) - 1] - 1) / MIXED) for d in span)
+    part = (sum(counts[1].values()) + 1) / (sum(counts[0].values()) + 1)
+    starts, ratios = rising([(d, (counts[1][d] + part) / (counts[0][d] + 1) / part, counts[0][d] + 1) for d in span])
+    evidence = tuple(math.log(ratios[bisect_right(starts, d) - 1]) for d in span)
 
     model = Model(toxic, ordinary, low, evidence, (), (), share)
     count = Counter(label for _, label in calibrate)
