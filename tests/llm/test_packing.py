@@ -79,3 +79,17 @@ def test_many_small_partitions_are_packed_again(spark, sf):
     texts = [tuple(r) for r in df.select("doc_id", "text").collect()]
     used, least = check([tuple(r) for r in packing.pack(df, RANKS, PATTERN).collect()], texts, 1024)
     assert used <= 1.02 * least + 1
+
+
+def test_added_tokens_of_the_json_file_are_matched_as_the_library_does_by_default(spark, tmp_path):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(11)
+    tok = Tokenizer.from_file(path)
+    parts = ["a", "the", " ", "\n", "  ", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "'s", "é", "12"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12)))) for i in range(400)] + [(900, "a<|endoftext|>b"), (901, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in REGISTRY["op7_best_fit_packing"][0](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text in texts:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert got == want

@@ -8,11 +8,15 @@ opened, the fullest closes. A piece knows its sequence and offset when it is pla
 The pieces of sequences that end up under 31/32 full are packed a second time, the longest first: rows of a few numbers, dealt
 out by a hash in groups of about GROUP.
 
+Ids are those of the tokenizer's JSON file as its library gives them by default: the rank file gives those of ordinary text, and an added token of the JSON file
+(<|endoftext|>) that a text holds is its own id and parts the text.
+
 Defined results: a null text counts as empty and gives one piece with the end id alone; repeated rows are packed each; ties of
 free space go to the sequence opened last; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -36,9 +40,12 @@ RUN_OF_SPACE = regex.compile(r"\s\s\s")
 class WordIds(dict):
     """Ids of a word with the space before it, as bytes. A space behind a non-space is a boundary of the pattern whatever stands around it; with white space before it, it still goes to the word behind, unless three stand together."""
 
-    def __init__(self, matches):
+    def __init__(self, matches, added: dict[str, int] | None = None):
         super().__init__()
         self.matches = matches
+        self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in (added or {}).items()}
+        #: The longest of the added tokens that begin at a place.
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def __missing__(self, word):
         found = np.array(self.matches(" " + word), dtype="<u4").tobytes()
@@ -47,14 +54,28 @@ class WordIds(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.parts is None or not any(token in text for token in self.added):
+            return self.ordinary_ids(text)
+        return b"".join(self.added[part] if k % 2 else self.ordinary_ids(part) for k, part in enumerate(self.parts.split(text)))
+
+    def ordinary_ids(self, text: str) -> bytes:
         if RUN_OF_SPACE.search(text):
             return np.array(self.matches(text), dtype="<u4").tobytes()
         first, *words = text.split(" ")
         return np.array(self.matches(first), dtype="<u4").tobytes() + b"".join(map(self.__getitem__, words))
 
 
-def word_ids(ranks_path: str, pattern: str) -> WordIds:
-    return remembered(("word ids", ranks_path, pattern), lambda: WordIds(Codec(ranks_path, pattern).matches))
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file. Those that match only beside or with white space are not known here."""
+    with open(json_path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("an added token that is not matched as it stands")
+    return {t["content"]: t["id"] for t in found}
+
+
+def word_ids(ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> WordIds:
+    return remembered(("word ids", ranks_path, pattern, tuple((added or {}).items())), lambda: WordIds(Codec(ranks_path, pattern).matches, added))
 
 
 class OpenBins:
@@ -99,12 +120,12 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, total, capacity))]
 
 
-def pack(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
+def pack(df: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 2, added: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece. added: tokens that are matched in texts, with their ids."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        words, bins, base = word_ids(ranks_path, pattern), OpenBins(capacity), TaskContext.get().partitionId() << 36
+        words, bins, base = word_ids(ranks_path, pattern, added), OpenBins(capacity), TaskContext.get().partitionId() << 36
         for batch in batches:
             rows = []
             for at in range(0, batch.num_rows, 256):

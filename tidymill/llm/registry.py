@@ -52,7 +52,7 @@ def op6(spark, sf_dir):
 
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query("op8_chat_formatting")
