@@ -41,3 +41,19 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", "", "x"), (None, "u", "<p>a", "y"), (2, "u", "<div>" * 3000 + "deep", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in extract(df).collect()) == [("", 0), ("", 0), ("a", 1), ("deep", 4)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_unmarked_regions_hold_every_content_block():
+    long, short = "x" * 7 + " word" * 200, "A second paragraph of some length that ends the page. " * 2
+    p, q = LONG.strip(), short.strip()
+    cases = {
+        f"<body><h1>Head</h1><p>{long}</p><p>{q}</p></body>": f"Head {long} {q}",
+        f"<body><div><h1>Head</h1><ul><li>{long}</li><li>{q}</li></ul></div></body>": f"Head {long} {q}",
+        f"<body><h1>Head</h1><div><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p></div><div><p>{p}</p></div></body>": " ".join(["Head", *[p] * 6]),
+        f"<body><table><tr><td>{long}</td><td>{q}</td></tr></table></body>": f"{long} {q}",
+        f"<article><p>{p}</p><p>{p}</p></article><article><p>Short one.</p><p>Two.</p></article>": f"{p} {p} Short one. Two.",
+        f"<main><h1>Head</h1><article><p>{p}</p></article><p>After.</p></main><div>outside</div>": f"Head {p} After.",
+        f"<article class=comment><p>{p}</p></article><article><p>{q}</p></article>": q,
+    }
+    for page, text in cases.items():
+        assert main_text(page) == text, page[:120]

@@ -3,8 +3,8 @@
 The standard library's parser streams its events; every block element begins a new line, and a line knows its text, its tags, the
 text inside links, the containers around it, and whether it stands in an element that is never article text (fixed values below).
 The ratio of text to tags per line (nothing for such elements, text outside links only) is smoothed by a Gaussian, and a
-threshold that parts the smoothed ratios into two clusters marks content lines. They select the region: each article or main element that
-holds one, else the smallest container with nearly all of their text. All lines of the region are kept, short ones too, but for
+threshold that parts the smoothed ratios into two clusters marks content lines, by their smoothed or their own ratio. They select the region: if an article or main element
+holds one, all article and main elements, else the smallest container of several lines that has all content lines. All lines of the region are kept, short ones too, but for
 those in excluded elements and, where no article or main element marks the region, low lines that are mostly links.
 
 Defined results: null or empty html, and pages without text, give the empty text; text without any tags is kept; broken markup is
@@ -38,11 +38,11 @@ ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 ENDS_PARAGRAPH = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MARKED = {"article", "main"}
+#: Containers that may be the region, if there are blocks in them and more than one line has text.
+REGIONS = {"html", "body", "div", "section", "td"}
 
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.5
-#: Part of the content lines' text that the region's container holds.
-MOST = 0.8
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -182,21 +182,23 @@ def main_text(html: str) -> str:
         line.text = " ".join("".join(line.parts).split())
     if not any(line.text and not line.out for line in lines):
         return ""
-    ratios = smoothed([0.0 if line.out else max(0, len(line.text) - line.linked) / max(1, line.tags) for line in lines])
+    own = [0.0 if line.out else max(0, len(line.text) - line.linked) / max(1, line.tags) for line in lines]
+    ratios = smoothed(own)
     least = threshold(ratios)
     usable = [(line, ratio) for line, ratio in zip(lines, ratios) if line.text and not line.out]
-    content = [line for line, ratio in usable if ratio >= least] or [line for line, _ in usable]
-
-    marked = {next(n for n in line.path if parser.kinds[n] in MARKED) for line in content if any(parser.kinds[n] in MARKED for n in line.path)}
-    if marked:
-        inner = {n for n in {n for line in content for n in line.path} if parser.kinds[n] == "article"}
-        regions = {n for n in inner if not any(n in line.path and any(m in inner and m != n for m in line.path[:line.path.index(n)]) for line in content)} or marked
-        return " ".join(line.text for line, _ in usable if not regions.isdisjoint(line.path))
-    total, held = sum(len(line.text) for line in content), {}
-    for line in content:
+    # Smoothing lowers the first and last lines of a stretch: what reaches the threshold by itself counts too.
+    content = [line for line, ratio, alone in zip(lines, ratios, own) if line.text and not line.out and max(ratio, alone) >= least] or [line for line, _ in usable]
+
+    in_marked = lambda line: any(parser.kinds[n] in MARKED for n in line.path)
+    if any(map(in_marked, content)):
+        return " ".join(line.text for line, _ in usable if in_marked(line))
+    shared = set(content[0].path).intersection(*(line.path for line in content[1:]))
+    with_blocks, texts = {n for line in lines for n in line.path[:-1]}, {}
+    for line, _ in usable:
         for n in line.path:
-            held[n] = held.get(n, 0) + len(line.text)
-    region = max((n for n, size in held.items() if size >= MOST * total), default=None)
+            if n in shared:
+                texts[n] = texts.get(n, 0) + 1
+    region = max((n for n in shared if parser.kinds[n] in REGIONS and n in with_blocks and texts[n] > 1), default=None)
     return " ".join(line.text for line, ratio in usable if (region is None or region in line.path) and not (ratio < least and line.linked * 2 > len(line.text)))
 
 
