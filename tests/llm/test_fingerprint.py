@@ -9,7 +9,8 @@ from tidymill.llm.registry import REGISTRY
 
 
 def edits(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    """rows of (doc_id, text, hash of the text)"""
+    rows = [r[:2] for r in sorted(((i, t or "", h) for i, t, h in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))]
     out = []
     for k, (i, text) in enumerate(rows):
         half, after = len(text) // 2, rows[(k + 1) % len(rows)][1]
@@ -24,9 +25,10 @@ def jaccard(a, b):
     return sum(min(x.get(w, 0), y.get(w, 0)) for w in {*x, *y}) / sum(max(x.get(w, 0), y.get(w, 0)) for w in {*x, *y})
 
 
-def check(df, rows_per_block=50):
-    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
-    got = [tuple(r) for r in fingerprint.fingerprint_with_edits(df, rows_per_block).collect()]
+def check(df, rows_per_block=50, rows_per_task=50):
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+    rows = [tuple(r) for r in df.select("doc_id", "text", hashed).collect()]
+    got = [tuple(r) for r in fingerprint.fingerprint_with_edits(df, rows_per_block, rows_per_task).collect()]
     want = edits(rows)
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert Counter((g[0], g[1], g[2]) for g in got) == Counter((i, len(t), digest(e)) for i, t, e, _ in want)
@@ -59,10 +61,34 @@ def test_query(spark, sf):
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (4, "a b"), (None, "null id"), (None, None), (-5, "x"), (1 << 62, "y z"), (7, "word " * 30000)] + [(9, "hot")] * 40
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], "doc_id long, text string, block string, place int")
-    got, _ = check(df, 3)
-    check(df, 1000)
+    got, _ = check(df, 3, 3)
+    check(df, 1000, 1000)
     empty = {g[3] for g in got if g[1] == 0}
     assert len(empty) == 1
     assert fingerprint.fingerprint_with_edits(df.limit(0)).count() == 0
     (one,), _ = check(df.filter("doc_id = 7"))
     assert one[6] == 1.0
+
+
+def test_one_id_holds_a_third_of_the_rows(spark):
+    """The id is parted by the hash of its texts, and each range still knows what follows."""
+    rows = [(i, f"w{i} common words of {i % 7}") for i in range(300)] + [(40, f"hot text number {k} {'x' * (k % 5)}") for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    block, _ = fingerprint._marked(df, 20)
+    sizes = {r["b"]: r["count"] for r in df.filter("doc_id = 40").groupBy(block.alias("b")).count().collect()}
+    assert len(sizes) >= 5 and max(sizes.values()) < 60
+    ends = df.groupBy(block.alias("b")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("b").collect()
+    assert all(a.high <= b.low for a, b in zip(ends, ends[1:]))
+    check(df.drop("hash"), 7, 20)
+
+
+def test_texts_miss_no_least_value(spark, sf, monkeypatch):
+    """Handing out every draw gives the same fingerprints; a reach far too short is still defined."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).otherwise(F.substring("text", 1, 3000)).alias("text"))
+    rows = lambda: sorted(map(tuple, fingerprint.fingerprint_with_edits(docs).collect()))
+    usual = rows()
+    monkeypatch.setattr(fingerprint, "REACH", 1e12)
+    assert rows() == usual
+    monkeypatch.setattr(fingerprint, "REACH", 0.5)
+    short = rows()
+    assert [r[:3] for r in short] == [r[:3] for r in usual] and all(r[5] is not None and len(r[3]) == 512 for r in short)
