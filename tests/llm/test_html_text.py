@@ -1,5 +1,8 @@
 import html as escape
 import re
+import time
+
+import pytest
 
 from tidymill.llm.html_text import extract, main_text, smoothed, threshold
 from tidymill.llm.registry import REGISTRY
@@ -57,3 +60,33 @@ def test_unmarked_regions_hold_every_content_block():
     }
     for page, text in cases.items():
         assert main_text(page) == text, page[:120]
+
+
+BODY = "<h1>Title here</h1><p>" + "First paragraph of the text. " * 8 + "</p><p>" + "Second one with more words. " * 8 + "</p>"
+WANTED = "Title here " + " ".join(["First paragraph of the text."] * 8 + ["Second one with more words."] * 8)
+SIDE = '<div class="sidebar">Side words</div>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="layout has-sidebar"><article>{BODY}</article>{SIDE}</div></body>',
+    f'<body><div id="page" class="no-sidebar site"><main>{BODY}</main></div>{SIDE}</body>',
+    f'<body><form id="aspnetForm"><nav>menu words</nav><div>{BODY}</div>{SIDE}</form></body>',
+    f'<body><div class="widget wrapper"><div>{BODY}</div>{SIDE}</div><div class="comments"><p>{"my comment " * 200}</p></div></body>',
+    f"<body><nav>menu <div>x<article>{BODY}</article></body>",
+    f'<body><div class="promo">Buy <b>this</b> at once, it is cheap and good and far longer than a line</div><article>{BODY}</article></body>',
+    f'<body><article>{BODY}<div class="comments"><article class="comment"><p>{"loud words " * 300}</p></article></div></article></body>'])
+def test_wrappers_are_no_notices(page):
+    assert main_text(page) == WANTED
+
+
+def test_advert_longer_than_the_article():
+    assert main_text('<body><div class="ad">An advert that is a good deal longer than the short page.</div><div><h1>Short</h1><p>Short text.</p></div></body>') == "Short Short text."
+
+
+def test_very_long_pages():
+    """Linear in length and depth: a quadratic reading would take minutes."""
+    start = time.time()
+    assert main_text("<div>x" * 100_000).count("x") == 100_000
+    assert main_text("<li><div>" * 50_000 + "</b></i>" * 50_000 + "text") == "text"
+    assert len(main_text("<p>" + "word " * 400_000)) == 5 * 400_000 - 1
+    assert time.time() - start < 60
