@@ -1,14 +1,16 @@
 """Language of documents by a bidirectional gated recurrent network over bytes.
 
-Two recurrences read the bytes of a word (a run of letters in lower case, with a boundary before and behind) from left and from right;
-at every byte both states give probabilities of the languages. A document's probabilities are the mean over all its bytes, whole text; the
-most likely language is predicted with that mean as its score (ties: the first in order of the names). As states begin anew
-with each word, equal words get equal outputs, and a worker reads each of the words that it remembers once.
+Two recurrences read the bytes of a text (in lower case; digits, punctuation and white space too) from left and from right; at every
+byte both states give probabilities of the languages. A document's probabilities are the mean over all its bytes, whole text; the
+most likely language is predicted with that mean as its score (ties: the first in order of the names).
 
-The network is trained with numpy by backpropagation through time (Adam) on words of a bounded sample of documents per language.
+A text is read in stretches of STRETCH bytes, whatever its length. Each is read with CONTEXT bytes before and behind it, over which both states
+run in and which it does not label, so stretches overlap, are independent of each other, and many are read at a time: what a task holds is bounded.
+
+The network is trained with numpy by backpropagation through time (Adam) on stretches of a bounded sample of documents per language.
 
 Defined results: a text that is null or has no letter gives `und` with score 0, as does every text if nothing can be learned; null languages and held-out documents
-are not learned from; runs of more than LONGEST letters are read in parts; repeated rows are predicted each; an empty table gives no
+are not learned from; repeated rows are predicted each, and an id that is repeated is learned from once; an empty table gives no
 rows; columns other than those named are not read.
 """
 from __future__ import annotations
@@ -24,52 +26,53 @@ from .frames import of_text, pick, remembered, whole_text
 from .learning import bounded_sample, held_out, texts_of
 
 UNKNOWN = "und"
-#: Documents per language that the network learns from, and words per language, at most.
-PER_LANGUAGE, WORDS_PER_LANGUAGE = 400, 20_000
-HIDDEN, BATCH, STEPS, RATE = 10, 256, 500, 0.01
-LONGEST = 24
-REMEMBERED = 150_000
-WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Documents per language that the network learns from at most, and bytes of one of them.
+PER_LANGUAGE, BYTES_PER_TEXT = 400, 20_000
+HIDDEN, BATCH, STEPS, RATE = 10, 128, 400, 0.01
+#: Bytes of a stretch to learn from; bytes that a stretch labels, and those around it; stretches that are read at a time.
+LEARNED, STRETCH, CONTEXT, TOGETHER = 48, 512, 24, 256
+LETTER = regex.compile(r"\p{L}")
 PAD = 0
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters, the long ones in parts."""
-    found = WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
-
-
-def as_bytes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by word and place, padded, and the words' lengths, both boundaries included."""
-    encoded = [b" %s " % w.encode() for w in found]
-    lengths = np.array([len(e) for e in encoded])
+def as_bytes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes by stretch and place, padded behind, and the lengths."""
+    lengths = np.array([len(e) for e in found])
     out = np.full((len(found), lengths.max()), PAD, dtype=np.uint8)
-    for i, e in enumerate(encoded):
+    for i, e in enumerate(found):
         out[i, :len(e)] = np.frombuffer(e, dtype=np.uint8)
     return out, lengths
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def stretches(data: bytes) -> list[tuple[bytes, int, int]]:
+    """Bytes that are read together, and from where to where they are labelled."""
+    found = []
+    for at in range(0, len(data), STRETCH):
+        low, end = max(0, at - CONTEXT), min(len(data), at + STRETCH)
+        found.append((data[low:end + CONTEXT], at - low, end - low))
+    return found
+
+
+def opened(x, out=None):
+    """A gate: a sigmoid of three straight pieces."""
+    return np.clip(x * 0.25 + 0.5, 0, 1, out=out)
 
 
 class Recurrence:
-    """One gated recurrence over bytes: states for every place, and its gradients."""
+    """One gated recurrence over bytes: states for every place, and its gradients. Sigmoids and hyperbolic tangents are of three straight pieces."""
 
     def __init__(self, tables, recurrent):
         self.tables, self.recurrent = tables, recurrent      # (256, 3H) by byte, (H, 3H)
 
     def states(self, x, mask, keep=False):
         n, t = x.shape
-        hidden = self.recurrent.shape[0]
-        h, out, kept = np.zeros((n, hidden), dtype=np.float32), np.empty((t, n, hidden), dtype=np.float32), []
+        hidden, kind = self.recurrent.shape[0], self.recurrent.dtype
+        h, out, kept = np.zeros((n, hidden), dtype=kind), np.empty((t, n, hidden), dtype=kind), []
         for k in range(t):
             given, back = self.tables[x[:, k]], h @ self.recurrent
-            gates = _sigmoid(given[:, :2 * hidden] + back[:, :2 * hidden])
+            gates = opened(given[:, :2 * hidden] + back[:, :2 * hidden])
             reset, update = gates[:, :hidden], gates[:, hidden:]
-            candidate = np.tanh(given[:, 2 * hidden:] + reset * back[:, 2 * hidden:])
+            candidate = np.clip(given[:, 2 * hidden:] + reset * back[:, 2 * hidden:], -1, 1)
             step = update * mask[:, k, None]
             new = h + step * (candidate - h)
             if keep:
@@ -80,13 +83,14 @@ class Recurrence:
     def gradients(self, x, mask, kept, d_out):
         hidden = self.recurrent.shape[0]
         d_tables, d_recurrent, d_h = np.zeros_like(self.tables), np.zeros_like(self.recurrent), np.zeros_like(d_out[0])
+        slope = lambda gate: 0.25 * ((gate > 0) & (gate < 1))
         for k in range(x.shape[1] - 1, -1, -1):
             h, back, reset, update, candidate = kept[k]
             d_h = d_h + d_out[k]
             m = mask[:, k, None]
-            d_candidate = d_h * update * m * (1 - candidate * candidate)
-            d_update = d_h * (candidate - h) * m * update * (1 - update)
-            d_reset = d_candidate * back[:, 2 * hidden:] * reset * (1 - reset)
+            d_candidate = d_h * update * m * (np.abs(candidate) < 1)
+            d_update = d_h * (candidate - h) * m * slope(update)
+            d_reset = d_candidate * back[:, 2 * hidden:] * slope(reset)
             d_given = np.concatenate([d_reset, d_update, d_candidate], axis=1)
             d_back = np.concatenate([d_reset, d_update, d_candidate * reset], axis=1)
             np.add.at(d_tables, x[:, k], d_given)
@@ -100,23 +104,60 @@ class Network:
     languages: list[str]
     weights: list[np.ndarray]       # forward tables and recurrent, backward tables and recurrent, output, bias
 
-    def _read(self, found: list[str]):
+    def probabilities(self, found: list[bytes]) -> np.ndarray:
+        """By place, stretch and language. Both recurrences run at once; places behind the end of a stretch mean nothing."""
         x, lengths = as_bytes(found)
-        mask = (np.arange(x.shape[1])[None, :] < lengths[:, None]).astype(np.float32)
-        return x, mask, lengths
-
-    def mean_probabilities(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum over its bytes of the languages' probabilities, and the number of bytes."""
-        x, mask, lengths = self._read(found)
+        n, t = x.shape
         a, b, c, d, out, bias = self.weights
-        ahead = Recurrence(a, b).states(x, mask)
-        behind = Recurrence(c, d).states(x[:, ::-1], mask[:, ::-1])[::-1]
-        p = np.exp(np.concatenate([ahead, behind], axis=2) @ out + bias)
-        p /= p.sum(axis=2, keepdims=True)
-        return (p * mask.T[:, :, None]).sum(axis=0), lengths
+        hidden = b.shape[0]
+        # Where each place stands when a stretch is read from its own end.
+        place = np.arange(t)[:, None]
+        turned = np.where(place < lengths, lengths - 1 - place, place) * n + np.arange(n)
+        ahead = np.ascontiguousarray(x.T).astype(np.int64)
+        codes = np.stack([ahead, ahead.ravel()[turned] + 256], axis=1)
+        # The slope and middle of a gate are part of its weights.
+        tables, recurrent = np.concatenate([a, c]), np.stack([b, d])
+        gate_table, gate_weights = np.ascontiguousarray(tables[:, :2 * hidden]) * np.float32(0.25) + np.float32(0.5), np.ascontiguousarray(recurrent[:, :, :2 * hidden]) * np.float32(0.25)
+        new_table, new_weights = np.ascontiguousarray(tables[:, 2 * hidden:]), np.ascontiguousarray(recurrent[:, :, 2 * hidden:])
+        h, states = np.zeros((2, n, hidden), dtype=np.float32), np.empty((t, 2, n, hidden), dtype=np.float32)
+        gates, back_gates = np.empty((2, n, 2 * hidden), dtype=np.float32), np.empty((2, n, 2 * hidden), dtype=np.float32)
+        new, back_new = np.empty((2, n, hidden), dtype=np.float32), np.empty((2, n, hidden), dtype=np.float32)
+        for k in range(t):
+            np.take(gate_table, codes[k], axis=0, out=gates, mode="clip")
+            gates += np.matmul(h, gate_weights, out=back_gates)
+            np.clip(gates, 0, 1, out=gates)
+            np.take(new_table, codes[k], axis=0, out=new, mode="clip")
+            np.matmul(h, new_weights, out=back_new)
+            back_new *= gates[:, :, :hidden]
+            new += back_new
+            np.clip(new, -1, 1, out=new)
+            new -= h
+            new *= gates[:, :, hidden:]
+            h = np.add(h, new, out=states[k])
+        scores = states[:, 0] @ out[:hidden]
+        scores += (states[:, 1] @ out[hidden:]).reshape(t * n, -1)[turned]
+        scores += bias
+        np.exp(scores, out=scores)
+        scores /= scores @ np.ones((scores.shape[2], 1), dtype=np.float32)
+        return scores
+
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sum over its bytes of the languages' probabilities."""
+        parts = [(s, low, high, i) for i, text in enumerate(texts) for s, low, high in stretches(text)]
+        parts.sort(key=lambda p: len(p[0]))
+        out = np.zeros((len(texts), len(self.languages)))
+        for at in range(0, len(parts), TOGETHER):
+            chosen = parts[at:at + TOGETHER]
+            p = self.probabilities([c[0] for c in chosen])
+            low, high, text = (np.array([c[k] for c in chosen]) for k in (1, 2, 3))
+            place = np.arange(p.shape[0])[:, None]
+            labelled = ((place >= low) & (place < high)).astype(np.float32)
+            np.add.at(out, text, np.einsum("tnl,tn->nl", p, labelled))
+        return out
 
-    def loss_and_gradients(self, found: list[str], labels: np.ndarray):
-        x, mask, _ = self._read(found)
+    def loss_and_gradients(self, found: list[bytes], labels: np.ndarray):
+        x, lengths = as_bytes(found)
+        mask = (np.arange(x.shape[1])[None, :] < lengths[:, None]).astype(np.float32)
         a, b, c, d, out, bias = self.weights
         forward, backward = Recurrence(a, b), Recurrence(c, d)
         ahead, kept_ahead = forward.states(x, mask, keep=True)
@@ -149,24 +190,21 @@ def fresh(languages: list[str], hidden: int = HIDDEN, seed: int = 0) -> Network:
 
 
 def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Network | None:
-    """rows: (text, language) of a bounded sample. The languages are drawn evenly, whatever their number of documents."""
-    by_language: dict[str, list[str]] = {}
-    for text, language in rows:
-        by_language.setdefault(language, []).append(text)
-    rng = np.random.default_rng(1)
-    pools = {}
-    for language in sorted(by_language):
-        found = [w for text in by_language[language] for w in words(text)]
-        if found:
-            pools[language] = [found[i] for i in rng.permutation(len(found))[:WORDS_PER_LANGUAGE]]
+    """rows: (text, language) of a bounded sample. The languages are drawn evenly, whatever their number of documents; within one, every byte alike."""
+    pools: dict[str, list[bytes]] = {}
+    for text, language in sorted(rows, key=lambda r: r[1]):
+        if LETTER.search(text):
+            pools.setdefault(language, []).append(text.lower().encode()[:BYTES_PER_TEXT])
     if not pools:
         return None
+    rng = np.random.default_rng(1)
+    joined = [np.frombuffer(b" ".join(texts), dtype=np.uint8) for texts in pools.values()]
     network = fresh(list(pools))
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in network.weights]
-    ordered = list(pools.values())
     for step in range(1, steps + 1):
-        labels = np.arange(BATCH) % len(ordered)
-        _, gradients = network.loss_and_gradients([ordered[k][int(rng.integers(len(ordered[k])))] for k in labels], labels)
+        labels = np.arange(BATCH) % len(joined)
+        drawn = [joined[k][(at := int(rng.integers(max(1, len(joined[k]) - LEARNED)))):at + LEARNED].tobytes() for k in labels]
+        _, gradients = network.loss_and_gradients(drawn, labels)
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / steps))
         for w, g, (first, second) in zip(network.weights, gradients, moments, strict=True):
             first += 0.1 * (g - first)
@@ -175,45 +213,17 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Network | None:
     return network
 
 
-class Reader(dict):
-    """Word -> row of `sums`, for the words that a worker has read."""
-
-    def __init__(self, network: Network):
-        super().__init__()
-        self.network, self.sums = network, np.zeros((1, len(network.languages) + 1), dtype=np.float32)
-
-    def read(self, texts: list[list[str]]) -> None:
-        new = {w for found in texts for w in found if w not in self}
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = {w for found in texts for w in found}
-            self.sums = self.sums[:1]
-        ordered = sorted(new, key=lambda w: (len(w), w))
-        rows = [self.sums]
-        for at in range(0, len(ordered), 2048):
-            sums, lengths = self.network.mean_probabilities(ordered[at:at + 2048])
-            rows.append(np.concatenate([sums, lengths[:, None]], axis=1).astype(np.float32))
-        start = len(self.sums)
-        self.sums = np.concatenate(rows)
-        self.update(zip(ordered, range(start, start + len(ordered))))
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        found = [words(t) for t in texts]
-        self.read(found)
-        out = []
-        for ws in found:
-            if not ws:
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.sums[np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0, dtype=np.float64)
-            p = total[:-1] / total[-1]
-            best = int(p.argmax())
-            out.append((self.network.languages[best], float(min(1.0, p[best]))))
-        return out
+def languages_of(network: Network, texts: list[str]) -> list[tuple[str, float]]:
+    data = [t.lower().encode() if LETTER.search(t) else b"" for t in texts]
+    out = []
+    for text, total in zip(data, network.sums(data), strict=True):
+        best = int(total.argmax())
+        out.append((network.languages[best], float(min(1.0, total[best] / len(text)))) if text else (UNKNOWN, 0.0))
+    return out
 
 
-def _reader(languages: tuple[str, ...], weights: tuple[tuple[bytes, tuple[int, ...]], ...]) -> Reader:
-    return remembered(("words", languages, weights), lambda: Reader(Network(list(languages), [np.frombuffer(b, dtype=np.float32).reshape(s) for b, s in weights])))
+def _network(languages: tuple[str, ...], weights: tuple[tuple[bytes, tuple[int, ...]], ...]) -> Network:
+    return remembered(("network", languages, weights), lambda: Network(list(languages), [np.frombuffer(b, dtype=np.float32).reshape(s) for b, s in weights]))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
@@ -227,8 +237,8 @@ def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("
     packed = network and (tuple(network.languages), tuple((np.ascontiguousarray(w).tobytes(), w.shape) for w in network.weights))
 
     def run(texts):
-        return _reader(*packed).predict(texts) if packed else [(UNKNOWN, 0.0)] * len(texts)
+        return languages_of(_network(*packed), texts) if packed else [(UNKNOWN, 0.0)] * len(texts)
 
     source = pick(docs, *dict.fromkeys((*keep, "doc_id", "text")))
-    found = source.select(*keep, held_out(F.col("doc_id")).alias("held_out"), of_text(whole_text(), run, "lang_pred string, score double", rows=512).alias("_found"))
+    found = source.select(*keep, held_out(F.col("doc_id")).alias("held_out"), of_text(whole_text(), run, "lang_pred string, score double", rows=256).alias("_found"))
     return found.select(*keep, "held_out", "_found.lang_pred", "_found.score")

@@ -19,11 +19,16 @@ def bounded_sample(labelled: DataFrame, per_label: int) -> DataFrame:
     return labelled.groupBy("label", part.alias("part")).agg(F.min_by("doc_id", key).alias("doc_id")).select("doc_id", "label")
 
 
+#: Code points of a sampled text that a classifier is fitted on, at most.
+MOST_CHARACTERS = 50_000
+
+
 def texts_of(docs: DataFrame, sample: DataFrame) -> list[tuple[str, object]]:
-    """(text, label) of the sampled documents, in an order of their own: the sample is bounded, so its ids and texts may reach the driver."""
+    """(text, label) of the sampled documents, in an order of their own, one text (the least) of an id that has several: the sample is bounded in ids, rows and size, so it may reach the driver."""
     labels = {r["doc_id"]: r["label"] for r in sample.collect()}
     if not labels:
         return []
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(labels)], docs.select("doc_id").schema)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text").collect()
-    return [(r["text"], labels[r["doc_id"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, MOST_CHARACTERS).alias("text"))
+    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], labels[r["doc_id"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
