@@ -2,8 +2,9 @@
 import csv
 import re
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -12,19 +13,8 @@ ENCODINGS = ("utf-8", "ISO-8859-1", "windows-1252")
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n")
 
 
-def probe(spark, path, lines=50):
-    """First lines of a text source; the only data the driver looks at."""
-    return [r[0] for r in spark.read.text(path).limit(lines).collect()]
-
-
-def sniff_delimiter(lines):
-    """SRC-01: the delimiter that splits the lines most evenly, outside quotes."""
-    bare = [re.sub(r'"[^"]*"', "", ln) for ln in lines if ln.strip()]
-    def score(d):
-        counts = [ln.count(d) for ln in bare]
-        typical = max(set(counts), key=counts.count) if counts else 0
-        return (typical > 0, counts.count(typical) if typical else 0, typical)
-    return max(DELIMITERS, key=score) if bare else ","
+#: Room for the records of a file in a row id.
+RECORD_BITS = 40
 
 
 def headerless(names):
@@ -34,10 +24,21 @@ def headerless(names):
 
 
 def file_facts(spark, path):
-    """SRC-01: per file, over all its lines: whether it is valid UTF-8, and whether a quoted cell runs over a line end. One row per file."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    """SRC-01, one row per file, over all its lines: first line, delimiter, whether it is valid UTF-8, and whether a quoted cell runs over a line end.
+
+    The delimiter is the one that splits the lines most evenly outside quotes: most lines with its commonest number of cells, then most cells.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.groupBy("file").agg((F.count_if(~F.is_valid_utf8("value")) == 0).alias("utf8"), (F.count_if(quotes % 2 == 1) > 0).alias("open_quotes")).collect()
+    filled = F.trim(F.col("value")) != ""
+    facts = raw.groupBy("file").agg((F.count_if(~F.is_valid_utf8("value")) == 0).alias("utf8"), (F.count_if(quotes % 2 == 1) > 0).alias("open_quotes"),
+                                    F.min_by(F.col("value").cast("binary"), F.when(filled, F.col("place"))).alias("head"))
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    marks = [F.struct(F.lit(-i).alias("order"), F.lit(d).alias("sep"), (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n")) for i, d in enumerate(DELIMITERS)]
+    counted = raw.filter(filled).select("file", F.explode(F.array(*marks)).alias("m")).groupBy("file", "m").agg(F.count("*").alias("lines"))
+    usual = counted.groupBy("file", "m.sep", "m.order").agg(F.max(F.struct("lines", "m.n")).alias("u"))
+    score = F.struct(F.col("u.n") > 0, F.when(F.col("u.n") > 0, F.col("u.lines")).otherwise(0), F.col("u.n"), F.col("order"))
+    return facts.join(usual.groupBy("file").agg(F.max_by("sep", score).alias("sep")), "file", "left").orderBy("file").collect()
 
 
 def header_cells(line, sep):
@@ -45,42 +46,74 @@ def header_cells(line, sep):
     return next(csv.reader([line], delimiter=sep), [])
 
 
+def _layouts(spark, path, sep, encoding):
+    """{(encoding, quoted line ends, delimiter, columns, has a header): files}, and all files in order."""
+    layouts, files = {}, []
+    for f in file_facts(spark, path):
+        name, mark = unquote(f["file"]), sep or f["sep"] or DELIMITERS[0]
+        code = encoding or (ENCODINGS[0] if f["utf8"] else ENCODINGS[1])
+        files.append(name)
+        cells = header_cells(bytes(f["head"] or b"").decode(code).removeprefix("\ufeff"), mark)
+        bare = bool(cells) and headerless(cells)
+        columns = tuple(f"col_{i}" for i in range(len(cells))) if bare else tuple(_unique(cells))
+        if columns:
+            layouts.setdefault((code, f["open_quotes"], mark, columns, not bare), []).append(name)
+    return layouts, files
+
+
+def _records(spark, path, rid, sep, encoding):
+    """All records as text under the columns of all files, with `_file` and, for those with too many cells, `_rejected`: the record as it stands."""
+    layouts, files = _layouts(spark, path, sep, encoding)
+    parts = [_read(spark, names, columns, mark, code, whole, header) for (code, whole, mark, columns, header), names in layouts.items()]
+    if not parts:
+        return spark.createDataFrame([], f"`{rid}` long, _file string, _rejected string")
+    # Where the records of each split of a file begin in the file: counted once, one row per split.
+    splits = reduce(DataFrame.unionByName, (p.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_at").alias("first")) for p in parts))
+    before = F.sum("n").over(Window.partitionBy("_file").orderBy("_start")) - F.col("n")
+    ranks = spark.createDataFrame(list(enumerate(files)), "rank long, name string")
+    begins = splits.join(ranks, F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))) == F.col("name")).select("_file", "_start", (F.shiftleft("rank", RECORD_BITS) + before - F.col("first")).alias("_base"))
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).join(begins, ["_file", "_start"])
+    return together.withColumn(rid, F.col("_base") + F.col("_at")).drop("_base", "_at", "_start")
+
+
 def read_raw(spark, path, fmt="csv", rid="_rid", sep=None, encoding=None):
     """SRC-01, SRC-02: every column text, only empty cells null, a row id added.
 
-    Rows with too few cells are kept and end in nulls; rows with too many are dropped. Encoding and line ends inside quotes are decided
-    per file on all its lines; only files with such line ends are read without being split. The row id follows the file splits; write the
-    result once (``saved``) before relying on it across runs.
+    Each file is read by its own header, delimiter and encoding, decided on all its lines, and its columns are matched by name; columns that a file lacks are
+    null. Files without a header have columns col_0, col_1 ... Only files with line ends inside quotes are read without being split. Rows with
+    too few cells are kept and end in nulls; rows with too many are left out here and listed by ``read_rejected``. The row id is the rank of
+    the file by name and the number of the record in it, whatever the splits. The text is read three times: for these facts, to count records per split, and for the rows.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
-        df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    else:
-        lines = probe(spark, path)
-        sep = sep or sniff_delimiter(lines)
-        names = header_cells(lines[0], sep) if lines else []
-        bare = headerless(names) if names else False
-        kinds = {}
-        for f in file_facts(spark, path):
-            kinds.setdefault((encoding or (ENCODINGS[0] if f["utf8"] else ENCODINGS[1]), f["open_quotes"]), []).append(f["file"])
-        columns = [f"col_{i}" for i in range(len(names))] if bare else _unique(names)
-        parts = [_read(spark, files, columns, sep, enc, whole, not bare) for (enc, whole), files in sorted(kinds.items())]
-        df = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) or "value string")
-    return df.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`") for c in df.columns])
+        return df.select(F.monotonically_increasing_id().alias(rid), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    found = _records(spark, path, rid, sep, encoding)
+    return found.filter("_rejected IS NULL").select(rid, *[F.col(f"`{c}`") for c in found.columns if c not in (rid, "_file", "_rejected")])
+
+
+def read_rejected(spark, path, rid="_rid", sep=None, encoding=None):
+    """SRC-01: the records that ``read_raw`` leaves out, having more cells than their file has columns: row id, file and line."""
+    return _records(spark, path, rid, sep, encoding).filter("_rejected IS NOT NULL").select(rid, F.col("_file").alias("file"), F.col("_rejected").alias("line"))
 
 
 def _unique(names):
-    """Header names; an empty or repeated one gets its position."""
-    return [n if n and names.index(n) == i else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+    """Header names; an empty or repeated one (Spark's names do not differ by case) gets its position."""
+    low = [n.lower() for n in names]
+    return [n if n and low.index(low[i]) == i else f"{n or '_c'}{i}" for i, n in enumerate(names)]
 
 
 def _read(spark, files, columns, sep, encoding, whole, header):
     raw = "_malformed_line"
     schema = StructType([StructField(c, StringType()) for c in (*columns, raw)])
+    # Cells of columns that are not asked for must be counted too.
     reader = (spark.read.schema(schema).option("sep", sep).option("encoding", encoding).option("nullValue", "").option("escape", '"').option("header", header).option("enforceSchema", True)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).option("multiLine", whole))
-    cells = F.length(F.regexp_replace(raw, '"[^"]*"', "")) - F.length(F.replace(F.regexp_replace(raw, '"[^"]*"', ""), F.lit(sep), F.lit(""))) + 1
-    return reader.csv(files).filter(F.col(raw).isNull() | (cells <= len(columns))).drop(raw)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).option("multiLine", whole).option("columnPruning", False))
+    bare = F.regexp_replace(raw, '"[^"]*"', "")
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    # Always true: Spark refuses to read the malformed lines alone.
+    beside = F.length(F.concat_ws("", F.col(f"`{columns[0]}`"))) >= 0
+    return reader.csv(files).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"),
+                                    *[F.col(f"`{c}`") for c in columns], F.when((cells > len(columns)) & beside, F.col(raw)).alias("_rejected"))
 
 
 def spread(df, key):
