@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans import ordered
 from ..plans.facts import attach
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles, exact_quantiles_of
 
 UNITS = ("day", "week", "month", "quarter", "year")
 
@@ -169,10 +169,8 @@ def rank_within(df, group_col, value_col, ascending=False):
 
 def percentiles(df, value_cols, probs=(0.25, 0.5, 0.75, 0.9)):
     """AN-13: one row per column."""
-    rows = []
-    for c in value_cols:
-        found = exact_quantiles(df, F.col(c), probs)
-        rows.append((c, *[None if q is None else float(q) for q in found]))
+    found = exact_quantiles_of(df, {c: F.col(c) for c in value_cols}, list(probs))
+    rows = [(c, *found[c]) for c in value_cols]
     names = [f"p{int(p * 100)}" for p in probs]
     made = df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{n} double" for n in names))
     return made.select("column", *[F.round(n, 2).alias(n) for n in names])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import exact_quantiles_of
 
 FLAG_SCHEMA = "_rid bigint, rule string, column string, value string"
 
@@ -237,8 +237,10 @@ def apply_rules(df, rules, rid="_rid") -> CleanResult:
             row = frame.agg(*aggregates).first()
             for (column, name), value in zip(targets, row):
                 stats[column][name] = value
-        for column, (value, probs) in quantiles.items():
-            stats[column]["quantiles"] = exact_quantiles(frame, value.cast("double"), probs)
+        if quantiles:
+            found = exact_quantiles_of(frame, {c: value for c, (value, _) in quantiles.items()}, {c: probs for c, (_, probs) in quantiles.items()})
+            for column, values in found.items():
+                stats[column]["quantiles"] = values
         for r, barrier in measured:
             if barrier[0] == "join":
                 slot = staged_name(r.column)

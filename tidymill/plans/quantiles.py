@@ -1,44 +1,92 @@
-"""Exact quantiles without sorting and without holding the data in one task.
+"""Exact quantiles by radix selection: four counting scans, however many rows, columns and probabilities there are.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in memory, so it only ever sees a bracket of at most
-``HELD_ROWS`` rows, or of one single value. Brackets come from approximate quantiles: as long as the rows inside are too many,
-the bracket is taken again from them alone. A bracket that misses the wanted rank is widened and tried again.
+A double's bits, with those of negative numbers turned over, order like the double. Each scan counts the rows by the next DIGIT bits among those that
+share the bits found so far with a wanted rank, for all columns at once; counting combines before the shuffle, and a value that a third of the rows
+have is one count. Which digit holds a rank follows from running sums over at most 2^DIGIT counts, so what reaches the driver is one row per
+column and rank. Nothing depends on the number of rows.
 """
 import math
+import struct
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-HELD_ROWS = 5_000_000
-ACCURACY = 100_000
+DIGIT, BITS = 16, 64
 
 
-def exact_quantiles(df, value, probs, direct_rows=HELD_ROWS):
-    """Linear-interpolated quantiles of ``value`` at ``probs`` as Python floats (None without rows)."""
-    data = df.select(value.cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n = data.count()
-    if n == 0:
-        return [None] * len(probs)
-    if n <= direct_rows:
-        return list(data.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))).first()[0])
-    return [_one(data, n, (n - 1) * p, direct_rows) for p in probs]
-
-
-def _one(data, n, rank, direct_rows):
-    """The value at a rank (from 0, between two values interpolated) of n rows."""
-    inside, below, m, slack = data, 0, n, 2.0 / ACCURACY
-    while m > direct_rows:
-        share = (rank - below) / max(1, m - 1)
-        low, high = inside.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], ACCURACY)).first()[0]
-        if low == high:     # one value, however many rows
-            less, same = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") == low)).first()
-            if below + less <= math.floor(rank) and math.ceil(rank) < below + less + same:
-                return low
-        narrower = inside.filter((F.col("v") >= low) & (F.col("v") <= high))
-        less, kept = inside.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high))).first()
-        if below + less <= math.floor(rank) and math.ceil(rank) < below + less + kept and kept < m:
-            inside, below, m = narrower, below + less, kept
-        elif slack >= 1:    # the rank lies between the bracket and its neighbour: two exact order statistics
-            break
+def ordered_bits(value):
+    """A double as a long of the same order; 0.0 and -0.0 are one. Null and not-a-number are null."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value + 0.0).cast("long")
+    return F.when(value.isNotNull() & ~F.isnan(value), F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+
+
+def double_of(bits):
+    return struct.unpack(">d", struct.pack(">q", bits ^ ((1 << 63) - 1) if bits < 0 else bits))[0]
+
+
+def _any(prefix, spaces):
+    """Whether a key lies in one of the spaces (column, bits so far)."""
+    by_column = {}
+    for i, p in spaces:
+        by_column.setdefault(i, []).append(p)
+    condition = F.lit(False)
+    for i, prefixes in by_column.items():
+        condition = condition | ((F.col("column") == i) & prefix.isin(prefixes))
+    return condition
+
+
+def order_statistics(df, values, probs):
+    """{name: (rows with a value, {rank from 0: value})} with the ranks on both sides of each probability. values: {name: numeric column}."""
+    names = list(values)
+    keys = F.array(*[F.struct(F.lit(i).alias("column"), ordered_bits(values[c].cast("double")).alias("key")) for i, c in enumerate(names)])
+    cells = df.select(F.explode(keys).alias("c")).select("c.column", "c.key").filter("key IS NOT NULL")
+    sizes, spaces = {}, {}          # spaces: {(column, bits so far): {rank: rows below the space}}
+    for left in range(BITS - DIGIT, -1, -DIGIT):
+        first = left == BITS - DIGIT
+        prefix = F.lit(0).cast("long") if first else F.shiftright("key", left + DIGIT)
+        rows = cells if first else cells.filter(_any(prefix, spaces))
+        counts = rows.groupBy("column", prefix.alias("prefix"), F.shiftright("key", left).alias("digit")).agg(F.count("*").alias("n"))
+        space = Window.partitionBy("column", "prefix")
+        placed = counts.select("*", (F.sum("n").over(space.orderBy("digit")) - F.col("n")).alias("below"), F.sum("n").over(space).alias("total"))
+        if first:
+            at = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+            ranks = F.array_distinct(F.array(*[fn(x) for x in at for fn in (F.floor, F.ceil)]))
+            asked = F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("inside")))
         else:
-            slack = min(1.0, slack * 8)
-    return inside.agg(F.percentile("v", F.lit(0.0 if m == 1 else (rank - below) / (m - 1)))).first()[0]
+            asked = F.array(*[F.struct(F.lit(rank).cast("long").alias("rank"), F.when((F.col("column") == i) & (F.col("prefix") == p), F.lit(rank - below).cast("long")).alias("inside"))
+                              for (i, p), ranks in spaces.items() for rank, below in ranks.items()])
+        here = F.filter(asked, lambda t: (t["inside"] >= F.col("below")) & (t["inside"] < F.col("below") + F.col("n")))
+        chosen = placed.select("column", "prefix", "digit", "below", "total", F.explode(here).alias("t")).select("column", "prefix", "digit", "below", "total", "t.rank").collect()
+        following = {}
+        for r in chosen:
+            if first:
+                sizes[r["column"]] = r["total"]
+            below = 0 if first else spaces[r["column"], r["prefix"]][r["rank"]]
+            following.setdefault((r["column"], r["digit"]), {})[r["rank"]] = below + r["below"]
+        spaces = following
+        if not spaces:
+            break
+    found = {c: (sizes.get(i, 0), {}) for i, c in enumerate(names)}
+    for (i, key), ranks in spaces.items():
+        found[names[i]][1].update({rank: double_of(key) for rank in ranks})
+    return found
+
+
+def _between(at, place):
+    low, high = at[math.floor(place)], at[math.ceil(place)]
+    return low if low == high else low + (high - low) * (place - math.floor(place))
+
+
+def exact_quantiles_of(df, values, probs):
+    """{name: linear-interpolated quantiles} of all columns at once, None without rows. values: {name: column}; probs: a list, or {name: list}."""
+    of = probs if isinstance(probs, dict) else dict.fromkeys(values, probs)
+    found, out = order_statistics(df, values, sorted({p for ps in of.values() for p in ps})), {}
+    for c in values:
+        n, at = found[c]
+        out[c] = [_between(at, (n - 1) * p) if n else None for p in of[c]]
+    return out
+
+
+def exact_quantiles(df, value, probs):
+    """Linear-interpolated quantiles of ``value`` at ``probs`` as Python floats (None without rows)."""
+    return exact_quantiles_of(df, {"v": value}, probs)["v"]
