@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tidymill.plans import ordered
-from tidymill.plans.quantiles import exact_quantiles
+from tidymill.plans.quantiles import exact_quantiles, exact_quantiles_of
 from pyspark.sql import functions as F
 
 
@@ -63,16 +63,53 @@ def test_gaps(spark):
     assert sorted(map(tuple, ordered.integer_gaps(df.filter("k > 2"), "k", start=1, ranges=2).collect())) == [(1, 4), (6, 8)]
 
 
-def test_quantiles_through_the_bracket(spark):
-    rnd = random.Random(9)
-    xs = [float(rnd.choice([7, rnd.random() * 100])) for _ in range(5000)]
-    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(5)
-    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    ys = sorted(xs)
-    want = []
+def _plain_quantiles(xs, probs):
+    ys, want = sorted(xs), []
     for p in probs:
         h = (len(ys) - 1) * p
         k = int(h)
-        want.append(ys[k] + (ys[min(k + 1, len(ys) - 1)] - ys[k]) * (h - k))
-    for direct in (10_000, 0):
-        assert [round(q, 9) for q in exact_quantiles(df, F.col("x"), probs, direct_rows=direct)] == [round(w, 9) for w in want]
+        want.append(ys[k] if ys[k] == ys[min(k + 1, len(ys) - 1)] else ys[k] + (ys[min(k + 1, len(ys) - 1)] - ys[k]) * (h - k))
+    return want
+
+
+def test_quantiles_by_radix_selection(spark):
+    """All columns at once: a frequent value, negative and tiny numbers, infinities, both zeros, gaps, and a column without values."""
+    rnd = random.Random(9)
+    columns = {"a": lambda: rnd.choice([7.0, rnd.random() * 100]), "b": lambda: rnd.choice([-1, 1]) * 10.0 ** rnd.randint(-320, 300), "c": lambda: rnd.choice([0.0, -0.0, float("inf"), float("-inf"), 1.5]),
+               "d": lambda: rnd.choice([None, float("nan"), float(rnd.randint(-9, 9))]), "e": lambda: None, "f": lambda: 4.0}
+    rows = [tuple(make() for make in columns.values()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles_of(df, {c: F.col(c) for c in columns}, probs)
+    for i, c in enumerate(columns):
+        xs = [r[i] for r in rows if r[i] is not None and r[i] == r[i]]
+        assert got[c] == (_plain_quantiles(xs, probs) if xs else [None] * len(probs)), c
+    assert exact_quantiles(df.limit(0), F.col("a"), [0.5]) == [None]
+    assert exact_quantiles_of(df, {"a": F.col("a"), "d": F.col("d")}, {"a": [0.5], "d": []})["d"] == []
+
+
+def test_thousands_of_ranges(spark, monkeypatch):
+    """More ranges than stand in a plan, cut points from a sample that the driver does not order, nodes of a few ranges."""
+    monkeypatch.setattr(ordered, "DRIVER_KEYS", 1000)
+    monkeypatch.setattr(ordered, "BRANCH", 64)
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, "a", "b", "c" + str(i % 50)]), rnd.choice([None, rnd.randint(-5, 9)])) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "_rid long, word string, v int").repartition(4)
+    cuts = ordered.cut_points(df, ["word", "_rid"], 5000)
+    assert len(cuts) > 3000
+    sizes = ordered.with_ranges(df, ["word", "_rid"], 5000).groupBy("_range").count()
+    assert sizes.count() == len(cuts) + 1 and sizes.agg(F.max("count")).first()[0] < 60
+    want, total, seen, last = {}, 0, 0, None
+    for i, word, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0])):
+        total, seen = total + (v or 0), seen + 1
+        want[i] = (total, seen, last)
+        last = v if v is not None else last
+    got = ordered.running_totals(df.withColumn("one", F.lit(1)), ["word", "_rid"], {"t": "v", "n": "one"}, 5000).collect()
+    assert {r._rid: (r.t, r.n) for r in got} == {i: w[:2] for i, w in want.items()}
+    paired = ordered.neighbours(df, ["word", "_rid"], ["v"], 5000).collect()
+    assert {r._rid: r.v_prev for r in paired} == {i: w[2] for i, w in want.items()}
+    following, nxt = None, {}
+    for i, word, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]), reverse=True):
+        nxt[i] = following
+        following = v if v is not None else following
+    assert {r._rid: r.v_next for r in paired} == nxt

@@ -1,35 +1,50 @@
 """Order-sensitive operators over a whole table: running totals, moving averages, fills, neighbours, ranks.
 
 A window without ``partitionBy`` runs in one task. Here the table is cut into ranges of the order key, the window runs
-inside each range, and what crosses a boundary (a total, a last value) is carried over from a frame that has one row
-per range. The cut points are sampled once on the driver and become literals, so a recomputed task sees the same ranges.
+inside each range, and what crosses a boundary (a total, a last value) is carried over by a scan over a tree: ranges are
+gathered BRANCH to a node, a node's sum or last value is scanned first, then those of its ranges. The number of ranges follows the
+rows without a cap. The cut points are sampled once by a hash, so a recomputed task sees the same ranges; where the
+sample is large, it is itself put in order by ranges, and only every n-th of its keys reaches the driver. Up to LITERALS cut
+points stand in the plan as a tree of comparisons, more are looked up in a table of one row.
 Order keys include the row id: a timestamp shared by a third of the rows is still split.
 """
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .facts import attach
+
 SAMPLE_PER_RANGE = 40
 ROWS_PER_RANGE = 200_000
-MOST_RANGES = 1024
+#: Cut points that are written into the plan; keys of a sample that the driver orders; ranges of a node of the tree.
+LITERALS, DRIVER_KEYS, BRANCH = 1024, 200_000, 1024
 
 
 def cut_points(df, keys, ranges=None, seed=7):
-    """Boundaries of ``keys`` (a list of column names) that cut the rows into ``ranges`` parts, from a bounded sample.
+    """Boundaries of ``keys`` (a list of column names) that cut the rows into ``ranges`` parts, from a sample.
 
     Without ``ranges`` the number follows the row count. A hash of the key decides who is sampled, so a repeated run
-    picks the same rows; at most four times ``ranges * SAMPLE_PER_RANGE`` keys reach the driver.
+    picks the same rows. What reaches the driver is one key per range, or a sample of at most four times DRIVER_KEYS.
     """
     total = df.count()
-    ranges = ranges or min(MOST_RANGES, max(1, total // ROWS_PER_RANGE))
+    ranges = ranges or max(1, total // ROWS_PER_RANGE)
     if ranges <= 1 or total < ranges * 2:
         return []
     wanted = ranges * SAMPLE_PER_RANGE
     cols = [F.col(f"`{k}`") for k in keys]
-    draw = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, wanted / total) * 1_000_000) + 1
-    rows = df.filter(draw).select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed + 1))).limit(4 * wanted).collect()
-    rows = sorted({tuple(r) for r in rows}, key=lambda t: [(v is not None, v) for v in t])    # nulls first, as Spark orders them
-    step = len(rows) / ranges
-    return list(dict.fromkeys(rows[int(i * step)] for i in range(1, ranges))) if len(rows) >= ranges else rows
+    draw = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000_000)) < int(min(1.0, wanted / total) * 1_000_000_000) + 1
+    sample = df.filter(draw).select(*cols)
+    if wanted <= DRIVER_KEYS:
+        rows = sorted_keys(sample.orderBy(F.xxhash64(*cols, F.lit(seed + 1))).limit(4 * wanted).collect())
+        step = len(rows) / ranges
+        return list(dict.fromkeys(rows[int(i * step)] for i in range(1, ranges))) if len(rows) >= ranges else rows
+    placed = numbered(sample.distinct(), keys, "_place")
+    step = max(1, placed.count() // ranges)
+    return sorted_keys(placed.filter((F.col("_place") > 0) & (F.col("_place") % step == 0)).select(*cols).collect())
+
+
+def sorted_keys(rows):
+    """Different keys in order, nulls first, as Spark orders them."""
+    return sorted({tuple(r) for r in rows}, key=lambda t: [(v is not None, v) for v in t])
 
 
 def range_of(keys, cuts, types):
@@ -46,24 +61,63 @@ def range_of(keys, cuts, types):
     return tree(0, len(cuts))
 
 
+def range_from_table(df, keys, cuts, types):
+    """The table with `_range` from a table of one row: first among every root-th cut point, then among those between."""
+    step = max(1, int(len(cuts) ** 0.5))
+    kind = "struct<" + ",".join(f"k{i}:{types[k]}" for i, k in enumerate(keys)) + ">"
+    groups = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    table = df.sparkSession.createDataFrame([([g[0] for g in groups], groups)], f"_heads array<{kind}>, _groups array<array<{kind}>>")
+    key = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])
+    upto = lambda bounds: F.size(F.filter(bounds, lambda b: b <= key))
+    group = upto(F.col("_heads"))
+    inner = upto(F.element_at("_groups", F.greatest(group, F.lit(1))))
+    return attach(df, table).withColumn("_range", F.when(group == 0, 0).otherwise((group - 1) * step + inner)).drop("_heads", "_groups")
+
+
 def with_ranges(df, keys, ranges=None):
-    return df.withColumn("_range", range_of(keys, cut_points(df, keys, ranges), dict(df.dtypes)))
+    cuts, types = cut_points(df, keys, ranges), dict(df.dtypes)
+    return df.withColumn("_range", range_of(keys, cuts, types)) if len(cuts) <= LITERALS else range_from_table(df, keys, cuts, types)
+
+
+def carried_over(per_range, sums=(), lasts=(), firsts=()):
+    """For each range (one row each): the sum of ``sums`` and the last non-null of ``lasts`` over the ranges before, and the first non-null of ``firsts`` over those behind.
+
+    A scan over two levels of a tree: nodes of BRANCH ranges, then the ranges of a node. A node's window sees one row per node.
+    """
+    node = per_range.withColumn("_node", F.floor(F.col("_range") / BRANCH).cast("int"))
+    key = F.col("_range")
+    above = node.groupBy("_node").agg(F.count(F.lit(1)).alias("_ranges"), *[F.sum(f"`{c}`").alias(f"{c}~") for c in sums],
+                                      *[F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), key)).alias(f"{c}~") for c in lasts],
+                                      *[F.min_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), key)).alias(f"{c}~") for c in firsts])
+
+    def scanned(frame, order, inside, end):
+        before = W.partitionBy(*inside).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        after = W.partitionBy(*inside).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+        return frame.select("*", *[F.sum(f"`{c}{end}`").over(before).alias(f"{c}{end}<") for c in sums], *[F.last(f"`{c}{end}`", ignorenulls=True).over(before).alias(f"{c}{end}<") for c in lasts],
+                            *[F.last(f"`{c}{end}`", ignorenulls=True).over(after).alias(f"{c}{end}<") for c in firsts])
+
+    joined = scanned(node, "_range", ["_node"], "").join(scanned(above, "_node", [], "~"), "_node")
+    return joined.select("_range", *[(F.coalesce(f"`{c}~<`", F.lit(0)) + F.coalesce(f"`{c}<`", F.lit(0))).alias(c) for c in sums],
+                         *[F.coalesce(f"`{c}<`", f"`{c}~<`").alias(c) for c in (*lasts, *firsts)])
 
 
 def _order(keys):
     return [F.col(f"`{k}`") for k in keys]
 
 
-def running_total(df, keys, value, out, ranges=None):
-    """Sum of ``value`` over all rows up to this one in key order; null counts as 0."""
-    v = F.coalesce(F.col(f"`{value}`"), F.lit(0))
+def running_totals(df, keys, totals, ranges=None):
+    """Sums over all rows up to this one in key order, several in one pass: ``totals`` is {new column: column}; null counts as 0."""
+    value = {out: F.coalesce(F.col(f"`{v}`"), F.lit(0)) for out, v in totals.items()}
     cut = with_ranges(df, keys, ranges)
-    carried = (cut.groupBy("_range").agg(F.sum(v).alias("_t"))
-               .withColumn("_carry", F.coalesce(F.sum("_t").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
-                                                F.lit(0))).drop("_t"))
+    per_range = cut.groupBy("_range").agg(*[F.sum(v).alias(f"{out}~carry") for out, v in value.items()])
+    carried = carried_over(per_range, sums=[f"{out}~carry" for out in totals])
     inner = W.partitionBy("_range").orderBy(*_order(keys)).rowsBetween(W.unboundedPreceding, 0)
-    return (cut.withColumn("_s", F.sum(v).over(inner)).join(F.broadcast(carried), "_range")
-            .withColumn(out, F.col("_s") + F.col("_carry")).drop("_s", "_carry", "_range"))
+    within = cut.select("*", *[F.sum(v).over(inner).alias(f"{out}~within") for out, v in value.items()])
+    return within.join(carried, "_range").select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"`{out}~within`") + F.col(f"`{out}~carry`")).alias(out) for out in totals])
+
+
+def running_total(df, keys, value, out, ranges=None):
+    return running_totals(df, keys, {out: value}, ranges)
 
 
 def numbered(df, keys, out="_pos", ranges=None):
@@ -103,19 +157,15 @@ def neighbours(df, keys, columns, ranges=None, following=True, inclusive=False):
     ends = cut.groupBy("_range").agg(
         *[F.max_by(F.col(f"`{c}`"), F.when(seen(c), key)).alias(f"{c}~last") for c in columns],
         *([F.min_by(F.col(f"`{c}`"), F.when(seen(c), key)).alias(f"{c}~first") for c in columns] if following else []))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    after = W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(
-        "_range", *[F.last(F.col(f"`{c}~last`"), ignorenulls=True).over(before).alias(f"{c}~in") for c in columns],
-        *([F.last(F.col(f"`{c}~first`"), ignorenulls=True).over(after).alias(f"{c}~out") for c in columns] if following else []))
+    carried = carried_over(ends, lasts=[f"{c}~last" for c in columns], firsts=[f"{c}~first" for c in columns] if following else [])
     inner = cut.select(
         "*", *[F.last(F.col(f"`{c}`"), ignorenulls=True).over(back).alias(f"{c}~b") for c in columns],
         *([F.last(F.col(f"`{c}`"), ignorenulls=True).over(ahead).alias(f"{c}~a") for c in columns] if following else []))
-    joined = inner.join(F.broadcast(carried), "_range")
+    joined = inner.join(carried, "_range")
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[F.coalesce(F.col(f"`{c}~b`"), F.col(f"`{c}~in`")).alias(f"{c}_prev") for c in columns],
-        *([F.coalesce(F.col(f"`{c}~a`"), F.col(f"`{c}~out`")).alias(f"{c}_next") for c in columns] if following else []))
+        *[F.coalesce(F.col(f"`{c}~b`"), F.col(f"`{c}~last`")).alias(f"{c}_prev") for c in columns],
+        *([F.coalesce(F.col(f"`{c}~a`"), F.col(f"`{c}~first`")).alias(f"{c}_next") for c in columns] if following else []))
 
 
 def forward_fill(df, keys, columns, ranges=None):
@@ -123,6 +173,15 @@ def forward_fill(df, keys, columns, ranges=None):
     return filled.select(*[F.col(f"`{c}_prev`").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
+def forward_fill_audited(df, keys, columns, rule, rid="_rid", ranges=None):
+    """The table of ``forward_fill``, and one line per filled cell: rule, column, _rid, old_value (null), new_value."""
+    paired = neighbours(df, keys, columns, ranges, following=False, inclusive=True)
+    filled = paired.select(*[F.col(f"`{c}_prev`").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+    lines = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull() & F.col(f"`{c}_prev`").isNotNull(), F.struct(
+        F.lit(c).alias("column"), F.lit(None).cast("string").alias("old_value"), F.col(f"`{c}_prev`").cast("string").alias("new_value"))) for c in columns]))
+    return filled, paired.select(F.lit(rule).alias("rule"), F.col(f"`{rid}`").alias("_rid"), F.inline(lines))
+
+
 def rank_within(df, group, value, out="rank", ascending=False, ranges=None):
     """SQL rank() of every row inside its group.
 
