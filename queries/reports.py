@@ -45,15 +45,51 @@ SELECT CAST(c_custkey AS VARCHAR) AS key, CASE c_custkey % 4 WHEN 0 THEN 'line o
 FROM customer WHERE c_custkey % 4 <> 3""")
 def csv_untidy(spark, sf):
     """Line ends and separators inside quotes, short rows (kept), rows with too many cells (dropped), a quoted header, files in two encodings."""
+    return rd.read_raw(spark, untidy_files(spark, sf)).drop("_rid")
+
+
+def untidy_files(spark, sf):
     path = scratch(spark, "untidy.csv")
-    rows = table(spark, sf, "customer").selectExpr(f"{_LINES} AS value", "c_custkey")
-    header = spark.range(1).select(F.lit('key,"note, free",name').alias("value"))
-    for name, part, encoding in (("a", "c_custkey % 2 = 0", "ISO-8859-1"), ("b", "c_custkey % 2 = 1", "UTF-8")):
-        # one small file per encoding, written line by line as it shall stand
-        lines = header.select("value", F.lit(-1).cast("long").alias("o")).union(rows.filter(part).select("value", F.col("c_custkey").cast("long").alias("o")))
-        lines = lines.select("o", F.posexplode(F.split("value", "\n")).alias("at", "line")).repartition(1).sortWithinPartitions("o", "at").select("line")
-        lines.write.mode("append").option("encoding", encoding).option("quote", "\u0002").option("sep", "\u0001").csv(path)
-    return rd.read_raw(spark, path).drop("_rid")
+    rows = table(spark, sf, "customer").select(F.expr(_LINES).alias("value"), F.col("c_custkey").alias("o"), F.pmod("c_custkey", F.lit(8)).alias("file"))
+    for part, encoding in (("file % 2 = 0", "ISO-8859-1"), ("file % 2 = 1", "UTF-8")):
+        # four files per encoding, each with a header, written line by line as they shall stand
+        header = spark.range(8).select(F.lit('key,"note, free",name').alias("value"), F.lit(-1).cast("long").alias("o"), F.col("id").alias("file"))
+        lines = header.unionByName(rows).filter(part).select("o", "file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
+        dealt = lines.repartition(8, "file").sortWithinPartitions("file", "o", "at").select("file", "line")
+        dealt.write.mode("append").partitionBy("file").option("encoding", encoding).option("quote", "\u0002").option("sep", "\u0001").csv(path)
+    return f"{path}/file=*"
+
+
+_MIXED = """SELECT CAST(c_custkey AS VARCHAR) AS key, 'é ' || c_name AS name, CASE WHEN c_custkey % 3 <> 1 THEN CAST(c_nationkey AS VARCHAR) END AS nation, CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS segment FROM customer"""
+
+
+def mixed_files(spark, sf):
+    """A folder of files whose headers, delimiters and encodings differ, all written in parallel."""
+    path = scratch(spark, "mixed.csv")
+    c = table(spark, sf, "customer").selectExpr("c_custkey AS key", "concat('é ', c_name) AS name", "c_nationkey AS nation", "c_mktsegment AS segment")
+    for rest, columns, sep, encoding in ((0, ("key", "name", "nation"), ",", "UTF-8"), (1, ("name", "key"), ";", "ISO-8859-1"), (2, ("segment", "nation", "name", "key"), "\t", "UTF-8")):
+        c.filter(f"key % 3 = {rest}").repartition(2, "key").select(*columns).write.mode("append").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    return path
+
+
+@query("csv_mixed_files", _MIXED)
+def csv_mixed_files(spark, sf):
+    """Every file by its own header, delimiter and encoding; columns meet by name."""
+    return rd.read_raw(spark, mixed_files(spark, sf)).select("key", "name", "nation", "segment")
+
+
+@query("csv_row_ids", "SELECT count(*) AS n, count(*) AS n_ids, true AS dense FROM customer")
+def csv_row_ids(spark, sf):
+    """Row ids are unique and without gaps inside each file."""
+    ids = rd.read_raw(spark, mixed_files(spark, sf)).select("_rid")
+    files = ids.groupBy(F.shiftright("_rid", rd.RECORD_BITS).alias("file")).agg(F.count("*").alias("n"), F.countDistinct("_rid").alias("d"), F.min("_rid").alias("low"), F.max("_rid").alias("high"))
+    return files.agg(F.sum("n").alias("n"), F.sum("d").alias("n_ids"), F.bool_and(F.col("high") - F.col("low") + 1 == F.col("n")).alias("dense"))
+
+
+@query("csv_rejected", "SELECT CAST(c_custkey AS VARCHAR) || ',too,many,' || c_name AS line FROM customer WHERE c_custkey % 4 = 3")
+def csv_rejected(spark, sf):
+    """The records that reading leaves out, for having more cells than their file has columns."""
+    return rd.read_rejected(spark, untidy_files(spark, sf)).select("line")
 
 
 @query("headerless_csv", "SELECT s_suppkey AS col_0, s_nationkey AS col_1, s_acctbal AS col_2 FROM supplier")
@@ -329,6 +365,29 @@ def full_clean(spark, sf):
     return _full(spark, sf).table.select("_rid", "email", "amount", F.date_format("joining_date", "yyyy-MM-dd").alias("joining_date"), "country", "status")
 
 
+@query("full_clean_fills", """
+SELECT o_orderkey AS _rid, CASE WHEN o_orderkey % 5 = 0 THEN 'MV-AMOUNT' END AS rule, CAST(CASE WHEN o_orderkey % 5 = 0 THEN round((o_orderkey % 9 + 1) * (o_orderkey % 7 + 2.5), 2) END AS DOUBLE) AS filled FROM orders WHERE o_orderkey % 5 = 0""")
+def full_clean_fills(spark, sf):
+    """Each filled cell has its line: amounts that quantity and price determine, on typed columns."""
+    from tidymill.plans.full_clean import clean_table
+    df = table(spark, sf, "orders").selectExpr("o_orderkey AS _rid", "CAST(o_orderkey % 9 + 1 AS DOUBLE) AS quantity", "o_orderkey % 7 + 2.5D AS price",
+                                               "CASE WHEN o_orderkey % 5 <> 0 THEN round((o_orderkey % 9 + 1) * (o_orderkey % 7 + 2.5D), 2) END AS amount")
+    done = clean_table(df, "2024-01-01", workdir=scratch(spark, "fills"))
+    return done.audit.filter("column = 'amount' AND old_value IS NULL").select("_rid", "rule", F.col("new_value").try_cast("double").alias("filled"))
+
+
+@query("full_clean_checks", """
+SELECT 'COND-11' AS rule, count(*) AS n FROM orders WHERE o_orderkey % 6 = 0
+UNION ALL SELECT 'COND-12', count(*) FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey % 2) > 1)""")
+def full_clean_checks(spark, sf):
+    """Totals against their parts, and keys with contradictory statuses, on columns found by name and type."""
+    from tidymill.operators import validation
+    df = table(spark, sf, "orders").selectExpr("o_orderkey AS _rid", "o_custkey AS customer_id", "CASE WHEN o_orderkey % 2 = 0 THEN 'active' ELSE 'inactive' END AS status", "o_orderkey % 50 AS part_a", "o_orderkey % 30 AS part_b",
+                                               "o_orderkey % 50 + o_orderkey % 30 + CASE WHEN o_orderkey % 6 = 0 THEN 7 ELSE 0 END AS total")
+    found = validation.violations(df, validation.bind_columns(df.columns, {"customer_id": "UID"}), as_of="2024-01-01")
+    return found.filter("rule in ('COND-11', 'COND-12')").groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("full_clean_rules", """
 SELECT rule, n FROM (SELECT 'EMAIL-01' AS rule, count(*) AS n FROM customer WHERE c_custkey % 41 <> 0 UNION ALL SELECT 'GLOBAL-07', count(*) FROM customer WHERE c_custkey % 41 = 0
  UNION ALL SELECT 'FNAME-03', count(*) FROM customer WHERE c_custkey % 41 <> 0 UNION ALL SELECT 'DATE-07', count(*) FROM customer WHERE c_custkey % 41 <> 0)""")

@@ -7,7 +7,6 @@ from tidymill.operators import duplicates, validation
 from tidymill.plans import ordered
 from tidymill.plans.full_clean import clean_table
 from tidymill.plans.profile import profile_columns
-from tidymill.plans.quantiles import exact_quantiles
 from tidymill.sources.reader import header_cells
 
 
@@ -57,14 +56,6 @@ def test_null_order_keys_are_spread(spark):
     assert [r.t for r in total] == list(range(1, 3001))
 
 
-@pytest.mark.parametrize("expression", ["id", "id % 7", "CASE WHEN id < 900 THEN 5 ELSE id END", "-id"])
-def test_quantiles_from_narrow_brackets(spark, expression):
-    df = spark.range(1000).select(F.expr(expression).cast("double").alias("v"))
-    probs = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
-    want = exact_quantiles(df, F.col("v"), probs)
-    assert exact_quantiles(df, F.col("v"), probs, direct_rows=20) == pytest.approx(want)
-
-
 def test_equal_records_are_a_pair(spark):
     rows = [(1, "Anna Maria Stone", "ID1", "a@b.org"), (2, "Anna Maria Stone", "ID1", "a@b.org"), (3, "Peter Quill", "ID9", "p@q.org")]
     df = spark.createDataFrame(rows, "_rid long, name string, code string, email string")
@@ -73,3 +64,38 @@ def test_equal_records_are_a_pair(spark):
 
 def test_header_with_quotes():
     assert header_cells('a,"b, c",d', ",") == ["a", "b, c", "d"]
+
+
+def test_numbers_and_dates_get_their_rules(spark):
+    """Columns that are no text go through their formula set and keep their type."""
+    rows = [(i, -5.0 if i < 8 else 100.25 + i, "2020-01-%02d" % (i % 28 + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "_rid long, price double, hired string").withColumn("hired", F.to_date("hired"))
+    done = clean_table(df, "2024-01-01")
+    assert {r.formula_set for r in done.types.filter("column = 'price'").collect()} == {"AMT"}
+    assert {r._rid for r in done.flags.filter("column = 'price' AND _rid IS NOT NULL").collect()} >= set(range(8))
+    kinds = dict(done.table.dtypes)
+    assert kinds["price"] == "double" and {r.price for r in done.table.collect()} == {r[1] for r in rows}
+
+
+def test_determined_values_before_guesses_and_all_audited(spark):
+    """Quantity times price wins over the value of a row above; each filled cell has one line."""
+    rows = [(i, float(i % 4 + 1), i + 2.5, (i % 4 + 1) * (i + 2.5) if i % 3 == 0 else None) for i in range(30)]
+    done = clean_table(spark.createDataFrame(rows, "_rid long, quantity double, price double, amount double"), "2024-01-01")
+    assert {r._rid: r.amount for r in done.table.collect()} == {i: q * p for i, q, p, _ in rows}
+    lines = [tuple(r) for r in done.audit.filter("column = 'amount' AND old_value IS NULL").select("_rid", "rule").collect()]
+    assert sorted(lines) == [(i, "MV-AMOUNT") for i, _, _, a in rows if a is None]
+
+
+def test_labels_are_filled_with_lines(spark):
+    rows = [(i, "north" if i == 0 else "south" if i == 10 else None, f"item {i}") for i in range(20)]
+    done = clean_table(spark.createDataFrame(rows, "_rid long, block string, item string"), "2024-01-01")
+    lines = {(r._rid, r.new_value.lower()) for r in done.audit.filter("rule IN ('STRUCT-02', 'GLOBAL-13')").collect()}
+    assert lines == {(i, "north" if i < 10 else "south") for i in range(20) if i not in (0, 10)}
+
+
+def test_totals_and_contradictory_statuses_are_bound():
+    b = validation.bind_columns(["customer_id", "status", "part_a", "part_b", "total", "application_date", "joining_date", "end_date"],
+                                {"customer_id": "UID", "application_date": "DATE", "joining_date": "DATE", "end_date": "DATE"})
+    assert b["total"] == "total" and b["parts"] == ["part_a", "part_b"] and (b["key"], b["key_status"]) == ("customer_id", "status")
+    assert b["dates"] == ["application_date", "joining_date", "end_date"]
+    assert "parts" not in validation.bind_columns(["total", "qty"], {})

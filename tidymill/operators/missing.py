@@ -69,6 +69,26 @@ def resolve_missing(df, bindings, as_of=None, fiscal_start=1):
     return df.select(*[new[c].alias(c) if c in new else _c(c) for c in df.columns], F.concat_ws(",", *applied).alias("filled"))
 
 
+def resolve_missing_audited(df, bindings, as_of=None, fiscal_start=1, rid="_rid"):
+    """The table of ``resolve_missing``, and one line per filled cell: rule, column, _rid, old_value, new_value."""
+    types, lines, new = dict(df.dtypes), [], {}
+    def note(rule, c, when, value):
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("column"), _c(c).cast("string").alias("old_value"), value.cast("string").alias("new_value")))
+    for rule, target, value in fill_rules(bindings, as_of, fiscal_start):
+        value = value.cast(types[target])
+        lines.append(note(rule, target, _blank(target) & value.isNotNull(), value))
+        new[target] = F.when(_blank(target), F.coalesce(value, _c(target))).otherwise(_c(target))
+    g = bindings.get("gender")
+    if g and types[g] == "string":
+        refused = folded(_c(g)).isin(*REFUSAL_WORDS)
+        lines.append(note("MV-GENDER", g, refused & (_c(g) != "Prefer Not to Say"), F.lit("Prefer Not to Say")))
+        new[g] = F.when(refused, F.lit("Prefer Not to Say")).otherwise(_c(g))
+    if not lines:
+        return df, None
+    staged = df.select(*[new[c].alias(c) if c in new else _c(c) for c in df.columns], F.array_compact(F.array(*lines)).alias("_fills"))
+    return staged.drop("_fills"), staged.select(F.col(rid).alias("_rid"), F.inline("_fills"))
+
+
 def city_from_address(df, address, city):
     """MV-CITY: suggested city, the last but one comma-separated part of the address."""
     part = F.trim(F.try_element_at(F.split(_c(address), ","), F.lit(-2)))

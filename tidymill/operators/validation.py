@@ -109,6 +109,11 @@ def check_summary(df, bindings, as_of=None):
     return wide.select(F.inline("s")).withColumn("passed", F.col("n_violations") == 0)
 
 
+#: Words of dates in the order in which they follow each other (a fixed value).
+DATE_SEQUENCE = (("application", "apply", "submit"), ("start", "begin"), ("interview", "review", "assess"), ("offer", "accept"), ("join", "enrol", "admit", "admission", "hire"),
+                 ("complete", "graduat", "end", "finish", "discharge"))
+
+
 def bind_columns(columns, types=None):
     """Column for each part of the checks, from whole name tokens (and semantic types where given)."""
     types = types or {}
@@ -120,10 +125,24 @@ def bind_columns(columns, types=None):
          "title": find("title", "salutation"), "gender": find("gender", "sex", kind="GEN"), "country": find("country", kind="CNTRY"), "phone": find("phone", "mobile", kind="PHONE"),
          "quantity": find("quantity", "qty", kind="QTY"), "amount": find("amount", "total") or find("price", kind="AMT"), "admitted": find("admission", "admitted"), "graduated": find("graduation", "graduated")}
     # parts that only missing values need
-    b |= {"city": find("city", kind="CITY"), "full_name": next((c for c in columns if c.lower() in ("full_name", "fullname")), None), "price": find("price", "unitprice"),
+    b |= {"city": find("city", kind="CITY"), "address": find("address", kind="ADDR"), "full_name": next((c for c in columns if c.lower() in ("full_name", "fullname")), None), "price": find("price", "unitprice"),
           "duration": find("duration", kind="DUR"), "start": find("start", "begin", "admission"), "end": find("end", "finish", "discharge"), "fiscal_year": find("fiscal", "fy", kind="FISC")}
+    # a total is held against columns that name themselves parts, else against the other columns of its own formula set
+    b["total"] = find("total", "sum", "grand")
+    others = [c for c in columns if c != b["total"]]
+    parts = [c for c in others if set(c.lower().split("_")) & {"male", "female", "other", "part", "component"}]
+    if b["total"] and len(parts) < 2:
+        kind = types.get(b["total"])
+        parts = [c for c in others if kind in ("AMT", "QTY") and types.get(c) == kind and c not in (b["quantity"], b["price"])]
+    b["parts"] = parts if b["total"] and len(parts) > 1 else None
+    b["total"] = b["total"] if b["parts"] else None
+    b["key"] = next((c for c in columns if types.get(c) == "UID"), None) or find("id")
+    b["key_status"] = b["status"] if b["key"] else None
     b["name_parts"] = [c for c in columns if c.lower() in ("first_name", "middle_name", "last_name")]
     dates = [c for c in columns if types.get(c) == "DATE" and c not in (b["birth_date"], b["fiscal_year"])]
+    placed = [(next((i for i, words in enumerate(DATE_SEQUENCE) if any(t.startswith(w) for t in c.lower().split("_") for w in words)), None), c) for c in columns if types.get(c) in ("DATE", "DTM")]
+    chain = [c for i, c in sorted((i, c) for i, c in placed if i is not None)]
+    b["dates"] = chain if len(chain) > 1 else None
     b["date"] = dates[0] if len(dates) == 1 else None
     if b["price"] == b["amount"]:
         b["price"] = None

@@ -135,29 +135,34 @@ def mixed_columns(report, over=20):
     return report.filter(F.col("mismatch_pct") > over)
 
 
-def fill_merged_cells(df, order_cols, rid="_rid", facts=None):
-    """GLOBAL-13: columns 20 to 90 % null whose values are two or more rows apart on average are filled downwards."""
+def merged_cell_columns(df, order_cols, rid="_rid", facts=None):
+    """GLOBAL-13: columns 20 to 90 % null whose values are two or more rows apart on average."""
     cols = [c for c in df.columns if c not in (rid, *order_cols)]
     facts = facts or column_facts(df, cols)
     likely = [c for c in cols if facts[c]["rows"] >= 4 and 0.2 <= 1 - facts[c]["filled"] / facts[c]["rows"] <= 0.9 and facts[c]["filled"] >= 2]
     if not likely:
-        return df, []
+        return []
     placed = ordered.numbered(df.select(*order_cols, *likely), order_cols)
     at = placed.agg(*[x for c in likely for x in (F.min(F.when(F.col(f"`{c}`").isNotNull(), F.col("_pos"))),
                                                    F.max(F.when(F.col(f"`{c}`").isNotNull(), F.col("_pos"))))]).first()
-    chosen = [c for k, c in enumerate(likely) if (at[2 * k + 1] - at[2 * k]) / (facts[c]["filled"] - 1) >= 2]
+    return [c for k, c in enumerate(likely) if (at[2 * k + 1] - at[2 * k]) / (facts[c]["filled"] - 1) >= 2]
+
+
+def fill_merged_cells(df, order_cols, rid="_rid", facts=None):
+    """GLOBAL-13: the chosen columns are filled downwards."""
+    chosen = merged_cell_columns(df, order_cols, rid, facts)
     return (ordered.forward_fill(df, order_cols, chosen), chosen) if chosen else (df, [])
 
 
-def clean_global(df, order_cols=("_rid",), rid="_rid"):
-    """All whole-table rules in order. Returns (table, flags, audit)."""
+def clean_global(df, order_cols=("_rid",), rid="_rid", fill=True):
+    """All whole-table rules in order. Returns (table, flags, audit). Without ``fill``, GLOBAL-13 is left for later."""
     spark, header = df.sparkSession, [c for c in df.columns if c != rid]
     cells = apply_rules(df, [cell_rules(c) for c in text_columns(df, rid)], rid)
     kept, dropped = rows_to_drop(cells.table, rid, header)
     named, renamed = with_normal_names(kept, rid)
     cols = [c for c in named.columns if c != rid]
     facts = column_facts(named, cols)
-    filled, chosen = fill_merged_cells(named, list(order_cols), rid, facts)
+    filled, chosen = fill_merged_cells(named, list(order_cols), rid, facts) if fill else (named, [])
     report = type_report(filled, rid)
     notes = column_findings(filled, rid, facts={**facts, **(column_facts(filled, chosen) if chosen else {})})
     notes += [(f"GLOBAL-10 {level}", c) for c, level in pii_tags(cols)]

@@ -3,6 +3,9 @@
 Steps that need statistics run one aggregate each; everything between two of them is one lazy plan. With ``workdir`` the
 table is written between the big stages, so that later passes read the result instead of repeating it, and a lost
 executor costs one stage at most. A step that cannot be planned is skipped, reported, and leaves the table as it was.
+
+What other columns determine is filled before anything is guessed: labels and merged cells, written on the rows below, come after it, means and most
+frequent values last. Every filled cell has a line in the audit.
 """
 from dataclasses import dataclass, field
 from functools import reduce
@@ -10,10 +13,11 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, NumericType, TimestampNTZType, TimestampType
 
 from ..operators import basic, categorical, contact, duplicates, identity, medical, missing, numeric, organisation, structure, temporal, text_columns, validation, whole_table
 from ..operators.rules import apply_rules
-from . import profile
+from . import ordered, profile
 
 
 def rules_for(kind, column, types, as_of, country="US"):
@@ -53,6 +57,16 @@ class CleanTable:
     skipped: list = field(default_factory=list)
 
 
+def as_text(column, kind):
+    """A cell as a person would write it: numbers without an exponent where they have at most ten decimals."""
+    v = F.col(f"`{column}`")
+    if isinstance(kind, (DoubleType, FloatType)):
+        plain = F.regexp_replace(v.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+        usual = (F.abs(v) >= 1e-6) & (v.cast("decimal(38,10)").cast("double") == v.cast("double"))
+        return F.when(v == 0, "0").when(usual, plain).otherwise(v.cast("string"))
+    return v.cast("string")
+
+
 def _shaped(df, columns):
     have = set(df.columns)
     return df.select(*[(F.col("_rid").cast("long") if c == "_rid" else F.col(c).cast("string")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
@@ -75,12 +89,11 @@ def clean_table(df, as_of, confirmed_columns=None, external_types=None, bindings
             skipped.append((name, str(e).splitlines()[0]))
             return fallback
 
-    table, found, changed = attempt("whole table", lambda: whole_table.clean_global(df, order_cols, rid), (df, None, None))
+    table, found, changed = attempt("whole table", lambda: whole_table.clean_global(df, order_cols, rid, fill=False), (df, None, None))
     if found is not None:
         flags.append(_shaped(found, FLAG_COLUMNS))
         audits.append(_shaped(changed, AUDIT_COLUMNS))
     original_rows = df.count()
-    table, _ = attempt("group labels", lambda: structure.fill_labels(table, list(order_cols)), (table, []))
     if confirmed_columns:
         table = table.select(*[c for c in table.columns if c == rid or c in confirmed_columns])
     table = keep(table, "shaped")
@@ -92,22 +105,51 @@ def clean_table(df, as_of, confirmed_columns=None, external_types=None, bindings
         chosen = {r["column"]: r["formula_set"] for r in merged.collect()}
     else:
         chosen = profile.type_map(types)
-    texts = {c for c, t in table.dtypes if t == "string"}
-    rules = [r for r in (attempt(f"rules of {c}", lambda c=c, k=k: rules_for(k, c, chosen, as_of, country), None) for c, k in chosen.items() if c in texts) if r]
-    cleaned = attempt("typed rules", lambda: apply_rules(table, rules, rid), None)
+    # Formula sets are rules over text; columns of other types go through them as text and come back to their type.
+    typed = {f.name: f.dataType for f in table.schema.fields if f.name != rid and isinstance(f.dataType, (NumericType, DateType, TimestampType, TimestampNTZType, BooleanType))}
+    rules = [r for r in (attempt(f"rules of {c}", lambda c=c, k=k: rules_for(k, c, chosen, as_of, country), None) for c, k in chosen.items() if c in table.columns) if r]
+    ruled = {r.column for r in rules} & set(typed)
+    texts = table.select(*[as_text(c, typed[c]).alias(c) if c in ruled else F.col(f"`{c}`") for c in table.columns])
+    cleaned = attempt("typed rules", lambda: apply_rules(texts, rules, rid), None)
     if cleaned is not None:
         cleaned = cleaned.saved(f"{workdir}/typed") if workdir else cleaned
-        table = cleaned.table
+        kinds = dict(cleaned.table.dtypes)
+        table = cleaned.table.select(*[F.col(f"`{c}`").try_cast(typed[c]).alias(c) if c in ruled and kinds[c] == "string" else F.col(f"`{c}`") for c in cleaned.table.columns])
         flags.append(_shaped(cleaned.flags, FLAG_COLUMNS))
         audits.append(_shaped(cleaned.audit.withColumnRenamed(rid, "_rid"), AUDIT_COLUMNS))
 
     bindings = bindings if bindings is not None else validation.bind_columns(table.columns, chosen)
-    table = attempt("missing values", lambda: missing.resolve_missing(table, bindings, as_of).drop("filled"), table)
+    table, fills = attempt("missing values", lambda: missing.resolve_missing_audited(table, bindings, as_of, rid=rid), (table, None))
+    if fills is not None:
+        audits.append(_shaped(fills, AUDIT_COLUMNS))
+    order = [c for c in order_cols if c in table.columns] or [rid]
+    for name, rule, columns_of in (("group labels", "STRUCT-02", lambda t: structure.label_columns(t, order)), ("merged cells", "GLOBAL-13", lambda t: whole_table.merged_cell_columns(t, order, rid))):
+        columns = attempt(name, lambda: [c for c in columns_of(table) if c != rid], [])
+        if columns:
+            table, lines = attempt(name, lambda: ordered.forward_fill_audited(table, order, columns, rule, rid), (table, None))
+            if lines is not None:
+                audits.append(_shaped(lines, AUDIT_COLUMNS))
+    table = keep(table, "filled")
     table = attempt("exact duplicates", lambda: duplicates.drop_exact(table, rid), table)
     table = keep(table, "unique")
     checked = attempt("cross-column checks", lambda: validation.violations(table, bindings, references, as_of, rid), None)
     if checked is not None:
         flags.append(_shaped(checked, FLAG_COLUMNS))
+    if bindings.get("key") in table.columns:
+        key = bindings["key"]
+        alike = attempt("partial duplicates", lambda: duplicates.partial_groups(table, [key], rid), None)
+        if alike is not None:
+            flags.append(_shaped(alike.select(F.lit("DUP-PARTIAL").alias("rule"), F.lit(key).alias("column"), F.col("first_rid").alias("_rid"), F.array_join(F.array_distinct(F.concat("conflicts", "gaps")), ",").alias("value")), FLAG_COLUMNS))
+        moments = [c for c, t in table.dtypes if t.startswith(("date", "timestamp")) and c != bindings.get("birth_date")]
+        if moments:
+            often = attempt("temporal duplicates", lambda: duplicates.temporal_groups(table, [key], moments, rid), None)
+            if often is not None:
+                flags.append(_shaped(often.select(F.lit("DUP-TEMPORAL").alias("rule"), F.lit(key).alias("column"), F.lit(None).cast("long").alias("_rid"), F.col(f"key_{key}").alias("value")), FLAG_COLUMNS))
+    if "address" in bindings and "city" in bindings:
+        hints = attempt("city from address", lambda: missing.city_from_address(table, bindings["address"], bindings["city"]), None)
+        if hints is not None:
+            hint = F.col(f"`{bindings['city']}_suggestion`")
+            flags.append(_shaped(hints.filter(hint.isNotNull()).select(F.lit("MV-CITY").alias("rule"), F.lit(bindings["city"]).alias("column"), F.col(rid).alias("_rid"), hint.alias("value")), FLAG_COLUMNS))
     final, fills = attempt("basic pass", lambda: basic.basic_clean_audited(table, rid), (table, None))
     final = keep(final, "clean")
     if fills is not None:
