@@ -132,6 +132,21 @@ def audit_store(spark, sf):
     return sk.audit_page(spark.read.parquet(path), 50, 100).select("row_index", "column_name", "formula_id", "original_value", "new_value")
 
 
+@query("audit_pages", """
+WITH a AS (SELECT c_custkey AS row_index, 'c_name' AS column_name, 'FNAME-01' AS formula_id, CAST('2024-01-01' AS TIMESTAMP) AS t FROM customer
+ UNION ALL SELECT c_custkey, 'c_phone', 'PHONE-02', CAST('2024-01-02' AS TIMESTAMP) FROM customer WHERE c_custkey % 3 = 0)
+SELECT row_index, column_name, formula_id FROM (SELECT *, row_number() OVER (ORDER BY t, row_index, column_name, formula_id) - 1 AS at FROM a) WHERE at BETWEEN (SELECT count(*) - 20 FROM customer) AND (SELECT count(*) + 19 FROM customer)""")
+def audit_pages(spark, sf):
+    """The page across the seam of two appended jobs."""
+    path, c = scratch(spark, "audit"), table(spark, sf, "customer")
+    line = lambda df, rule, column: df.select(F.col("c_custkey").alias("_rid"), F.lit(rule).alias("rule"), F.lit(column).alias("column"), F.lit(None).cast("string").alias("old_value"), F.lit("x").alias("new_value"))
+    sk.append_paged_audit(line(c, "FNAME-01", "c_name"), path, 1, "2024-01-01 00:00:00")
+    sk.append_paged_audit(line(c.filter("c_custkey % 3 = 0"), "PHONE-02", "c_phone"), path, 2, "2024-01-02 00:00:00")
+    first = (c.count() - 20) // 10
+    pages = [sk.audit_page_of(spark, path, first + k, 10) for k in range(4)]
+    return reduce(lambda a, b: a.unionByName(b), pages).select("row_index", "column_name", "formula_id")
+
+
 @query("outlier_listing", """
 WITH q AS (SELECT quantile_cont(c_acctbal * c_acctbal * c_acctbal, 0.25) AS a, quantile_cont(c_acctbal * c_acctbal * c_acctbal, 0.75) AS b FROM customer)
 SELECT c_custkey AS row_index, 'balance' AS column_name FROM customer, q WHERE power(c_acctbal, 3) < a - 1.5 * (b - a) OR power(c_acctbal, 3) > b + 1.5 * (b - a)""")

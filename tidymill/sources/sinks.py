@@ -1,4 +1,7 @@
 """Writing results, the audit store, and the decisions a person makes on them."""
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
@@ -15,6 +18,55 @@ def append_audit(audit, path, job_id, written_at, auto=True, rid="_rid"):
     lines.write.mode("append").partitionBy("formula_id").parquet(path)
 
 
+PAGE_KEY = ("timestamp", "row_index", "column_name", "formula_id")
+
+
+def _page_key():
+    return F.struct(*[F.coalesce(F.col(c), F.lit(-1)) if c == "row_index" else F.coalesce(F.col(c), F.lit("")) if c != "timestamp" else F.col(c) for c in PAGE_KEY])
+
+
+def append_paged_audit(audit, path, job_id, written_at, auto=True, rid="_rid"):
+    """SNK-02 for reading page by page: lines in key order, each file a range of keys, and beside them a manifest with the least and greatest key and the number of lines of each file.
+
+    Nothing that was written is touched: an append adds files and manifest rows. A job that fails between the two leaves lines that no manifest names and no page shows.
+    """
+    lines = audit.select(F.lit(job_id).alias("job_id"), F.col(rid).cast("long").alias("row_index"), F.col("column").alias("column_name"), F.col("rule").alias("formula_id"),
+                         F.col("old_value").alias("original_value"), "new_value", F.lit(auto).alias("was_auto_applied"), F.lit(written_at).cast("timestamp_ntz").alias("timestamp"))
+    batch = f"{path}/lines/{uuid.uuid4().hex}"
+    lines.repartitionByRange(*[F.col(c) for c in PAGE_KEY]).sortWithinPartitions(*PAGE_KEY).write.parquet(batch)
+    written = lines.sparkSession.read.schema(lines.schema).parquet(batch)
+    key = _page_key()
+    files = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+    files.coalesce(1).write.mode("append").parquet(f"{path}/manifest")      # one row per file
+
+
+def page_files(manifest, page, size):
+    """Files that hold lines page * size to (page + 1) * size of the whole order, and how many of their lines come before the page. ``manifest``: (file, low, high, n)."""
+    ordered, chosen, before, start, end = sorted(manifest, key=lambda f: (f[1], f[2])), [], 0, page * size, (page + 1) * size
+    at = 0
+    while at < len(ordered):
+        # Files whose ranges overlap stand for one stretch of the order.
+        group, high = [ordered[at]], ordered[at][2]
+        while at + len(group) < len(ordered) and ordered[at + len(group)][1] <= high:
+            group.append(ordered[at + len(group)])
+            high = max(high, group[-1][2])
+        n = sum(f[3] for f in group)
+        if before + n > start and before < end:
+            skipped = before if not chosen else skipped
+            chosen += [f[0] for f in group]
+        before += n
+        at += len(group)
+    return chosen, start - skipped if chosen else 0
+
+
+def audit_page_of(spark, path, page, size=100):
+    """SNK-03: page ``page`` (from 0) of a paged audit, oldest first: reads the manifest and the one or two files that hold it."""
+    rows = spark.read.parquet(f"{path}/manifest").collect()
+    files, skip = page_files([(r["file"], tuple(r["low"]), tuple(r["high"]), r["n"]) for r in rows], page, size)
+    lines = spark.read.parquet(*(unquote(f) for f in files)) if files else spark.read.option("recursiveFileLookup", True).parquet(f"{path}/lines").limit(0)
+    return lines.orderBy(_page_key()).offset(skip).limit(size)
+
+
 def flag_lines(flags, job_id, written_at, action="flag"):
     """SNK-02 for findings: nothing was changed."""
     return flags.select(F.lit(job_id).alias("job_id"), F.col("_rid").alias("row_index"), F.col("column").alias("column_name"), F.col("rule").alias("formula_id"), F.lit(action).alias("action"),
