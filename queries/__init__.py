@@ -18,7 +18,7 @@ def table(spark, sf_dir, name):
 def load_all():
     from importlib import import_module
     for module in ("analytics", "profiling", "whole_table", "people", "time_columns", "contact", "numeric", "categorical",
-                   "organisation", "text", "medical", "records", "checks", "reports"):
+                   "organisation", "text", "medical", "records", "checks", "reports", "findings"):
         try:
             import_module(f"queries.{module}")
         except ModuleNotFoundError as e:

@@ -1,5 +1,6 @@
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def audit_store(spark, sf):
 @query("audit_pages", """
 WITH a AS (SELECT c_custkey AS row_index, 'c_name' AS column_name, 'FNAME-01' AS formula_id, CAST('2024-01-01' AS TIMESTAMP) AS t FROM customer
  UNION ALL SELECT c_custkey, 'c_phone', 'PHONE-02', CAST('2024-01-02' AS TIMESTAMP) FROM customer WHERE c_custkey % 3 = 0)
-SELECT row_index, column_name, formula_id FROM (SELECT *, row_number() OVER (ORDER BY t, row_index, column_name, formula_id) - 1 AS at FROM a) WHERE at BETWEEN (SELECT count(*) - 20 FROM customer) AND (SELECT count(*) + 19 FROM customer)""")
+SELECT row_index, column_name, formula_id FROM (SELECT *, row_number() OVER (ORDER BY t, row_index, column_name, formula_id) - 1 AS place FROM a) WHERE place BETWEEN (SELECT count(*) - 20 FROM customer) AND (SELECT count(*) + 19 FROM customer)""")
 def audit_pages(spark, sf):
     """The page across the seam of two appended jobs."""
     path, c = scratch(spark, "audit"), table(spark, sf, "customer")
@@ -352,7 +353,6 @@ def chart_metric_pairs(spark, sf):
 @query("chart_suite")
 def chart_suite(spark, sf):
     """All suite charts of the orders table: one line per point."""
-    from functools import reduce
     df = table(spark, sf, "orders").withColumn("_rid", F.col("o_orderkey"))
     points = ch.suite(df, pf.column_roles(df))
     lines = [p.select(F.lit("/".join(str(k) for k in key)).alias("chart"), F.to_json(F.struct("*")).alias("point")) for key, p in points.items()]
