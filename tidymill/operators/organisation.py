@@ -163,14 +163,18 @@ def reference_rules(column):
     """REFNO-02 takes the prefix shared by at least 90 % of the values; a prefix shared by all could flag nothing."""
     prefix = lambda c: F.regexp_extract(c.v, r"^(\D*)", 1)
     tail = lambda c: group(c.v, r"(\d+)$", 1).try_cast("long")
+    def likely(s):
+        """A sketch surely holds a prefix that 90 % of the values share; whether they do is counted."""
+        return s["prefixes"][0]["item"] if s.get("prefixes") else None
+
     def usual(s):
-        top = s.get("prefixes")
-        return top[0]["item"] if top and top[0]["count"] >= 0.9 * s["hits"] else None
+        return likely(s) if s.get("agree") and s["agree"] >= 0.9 * s["hits"] else None
 
     return (ColumnRules(column)
             .change("REFNO-03", lambda c: c.v.cast("string"))
             .measure(prefixes=lambda c: F.call_function("approx_top_k", F.nullif(prefix(c), F.lit("")), F.lit(1)), hits=lambda c: F.count(c.v), nulls=count_nulls,
                      top=lambda c: F.max(tail(c)))
+            .measure(agree=lambda c: F.count_if(prefix(c) == F.lit(likely(c.stat))))
             .flag("REFNO-02", lambda c: ~c.v.startswith(usual(c.stat)) if usual(c.stat) else None)
             .keyed_flag("REFNO-01", lambda frame, v, cur: repeated_rows(frame, v))
             .note("REFNO-05", lambda s: f"{s['nulls']} missing, next number {s['top'] + 1}" if s.get("nulls") and s.get("top") is not None else None))
