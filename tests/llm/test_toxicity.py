@@ -1,5 +1,7 @@
 import zlib
 
+import zstandard
+
 from tidymill.llm import toxicity
 from tidymill.llm.registry import REGISTRY
 
@@ -56,3 +58,43 @@ def test_rare_stems_of_another_language_tell_too(spark):
     assert found(rare) >= 0.8 * sum(held(i) for i, _, _ in rare)
     assert found(foul) >= 0.9 * sum(held(i) for i, _, _ in foul)
     assert found(nice) + found(calm) <= 2
+
+
+def plain_total(model, text):
+    """Sum over windows of eight words, one every four, each compressed by itself with compressors made for it alone."""
+    found = [w[i:i + 64] for w in text.lower().encode().split() for i in range(0, len(w), 64)]
+    params = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    total, at = 0.0, 0
+    while found and (at == 0 or at < len(found) - 4):
+        window = b" " + b" ".join(found[at:at + 8]) + b" "
+        near, far = (len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=params).compress(window)) for d in (model.toxic, model.ordinary))
+        total += model.evidence[min(len(model.evidence) - 1, max(0, far - near - model.lowest))]
+        at += 4
+    return total
+
+
+def test_scores_against_plain_compression(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    rows = [(i, f"the river {i * 7919} runs along the old road {i}", 0) for i in range(300)] + [(1000 + i, f"the river {i * 104729} wretchedfool runs along the old road {i}", 1) for i in range(300)]
+    model = toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(25).collect()] + ["", "one", "wretchedfool", "a b c d e f g h i", "wretchedfool " * 40, "x" * 300]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for row in got:
+        total = plain_total(model, texts[row.doc_id])
+        score = next((s for least, s in reversed(list(zip(model.sums, model.scores))) if least <= total), model.scores[0])
+        assert abs(row.score - score) < 1e-12, texts[row.doc_id][:40]
+    assert labels.count() > 0
+
+
+def test_held_out_recall_per_language(spark):
+    """Toxic documents of every language are found, and ordinary ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model, found = toxicity.train(docs, labels), {}
+    for r in docs.join(labels.filter("toxic IS NOT NULL"), "doc_id").select("doc_id", "text", "lang", "toxic").collect():
+        if held(r.doc_id):
+            found.setdefault((r.lang, r.toxic), []).append(model.score(r.text or "") >= toxicity.THRESHOLD)
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    assert all(recall[lang, 1] >= least for lang, least in (("en", 0.7), ("fr", 0.6), ("de", 0.5), ("es", 0.6))), recall
+    ordinary = [hit for (_, toxic), hits in found.items() if not toxic for hit in hits]
+    assert sum(ordinary) <= 0.01 * len(ordinary)
