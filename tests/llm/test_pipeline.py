@@ -12,9 +12,8 @@ from .test_packing import check
 def test_rows_against_a_plain_version(spark, sf):
     docs = table(spark, sf, "documents")
     network = language.train(docs)
-    reader = language.Reader(network)
     rows = docs.collect()
-    kept = [r for r in rows if (x := reader.predict([r.text])[0])[0] != "und" and x[1] >= p.LEAST_SCORE]
+    kept = [r for r in rows if (x := language.languages_of(network, [r.text or ""])[0])[0] != "und" and x[1] >= p.LEAST_SCORE]
     first = spark.createDataFrame(kept, docs.schema)
     model = toxicity.train(first, table(spark, sf, "labels"))
     kept = [(r.doc_id, r.text) for r in kept if model.score(r.text) < toxicity.THRESHOLD]
