@@ -1,6 +1,10 @@
 import os
 import sys
 
+# Small matrices: more threads than one only get in each other's way. Before numpy is loaded.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
