@@ -64,3 +64,20 @@ def transposed_signals(spark, sf):
     turned = table(spark, sf, "region").select(F.col("r_regionkey").alias("_rid"), F.col("r_name").alias("name"), *[(F.col("r_regionkey") * i).alias(str(i)) for i in range(1, 31)])
     usual = table(spark, sf, "customer").selectExpr("c_custkey AS _rid", "c_nationkey % 3 AS nation", "c_name AS name", "c_acctbal AS balance")
     return spark.createDataFrame([(shape, structure.looks_transposed(df)) for shape, df in (("turned", turned), ("usual", usual))], "shape string, signals int")
+
+
+FREQUENCY = "CASE event_id % 6 WHEN 0 THEN 'never' WHEN 1 THEN 'Rarely' WHEN 2 THEN ' sometimes' WHEN 3 THEN 'often' WHEN 4 THEN 'ALWAYS' END"
+
+
+@query("survey_frequency", "SELECT event_id AS _rid, CASE WHEN event_id % 6 < 5 THEN CAST(event_id % 6 + 1 AS DOUBLE) END AS score FROM events")
+def survey_frequency(spark, sf):
+    """Answers of frequency, from never to always, as 1 to 5."""
+    df = table(spark, sf, "events").selectExpr("event_id AS _rid", f"{FREQUENCY} AS q1")
+    return apply_rules(df, [categorical.survey_rules("q1")]).table.select("_rid", F.col("q1_score").cast("double").alias("score"))
+
+
+@query("notes_frequency_scale", """
+SELECT unnest(['SURV-01', 'SURV-04']) AS rule, 'q1' AS "column", unnest(['scale frequency', 'answers of frequency, scored 1 to 5']) AS text FROM (SELECT count(*) AS n FROM events WHERE event_id % 6 < 5) WHERE n > 0""")
+def notes_frequency_scale(spark, sf):
+    df = table(spark, sf, "events").selectExpr("event_id AS _rid", f"{FREQUENCY} AS q1", "CAST(event_id % 5 + 1 AS STRING) AS q2")
+    return notes(spark, df, [categorical.survey_rules("q1"), categorical.survey_rules("q2")]).filter("rule = 'SURV-04' OR (rule = 'SURV-01' AND column = 'q1')")

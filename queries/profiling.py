@@ -1,3 +1,5 @@
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidymill.plans import profile as pf
@@ -110,3 +112,16 @@ def column_relevance(spark, sf):
 SELECT CASE WHEN max(n) >= 2 THEN 'longitudinal' ELSE 'cross_sectional' END AS shape FROM (SELECT count(DISTINCT o_orderdate) AS n FROM orders GROUP BY o_custkey)""")
 def dataset_shape(spark, sf):
     return pf.dataset_shape(table(spark, sf, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("dataset_shapes", """
+SELECT 'orders' AS name, CASE WHEN max(n) >= 2 THEN 'longitudinal' ELSE 'cross_sectional' END AS dataset_type, 'o_orderdate' AS time_col, CASE WHEN max(n) >= 2 THEN 'o_orderstatus' END AS entity_col
+ FROM (SELECT count(DISTINCT o_orderdate) AS n FROM orders GROUP BY o_orderstatus)
+UNION ALL SELECT 'one_day', CASE WHEN max(n) >= 2 THEN 'longitudinal' ELSE 'cross_sectional' END, 'day', CASE WHEN max(n) >= 2 THEN 'c_mktsegment' END FROM (SELECT count(DISTINCT c_custkey * 0) AS n FROM customer GROUP BY c_mktsegment)
+UNION ALL SELECT 'customer', CASE WHEN count(*) > 0 THEN 'flat' END, NULL, NULL FROM customer""")
+def dataset_shapes(spark, sf):
+    """Entities over time, one moment, and a table without time."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    frames = {"orders": table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice"), "one_day": c.withColumn("day", F.lit("2024-01-01")), "customer": c}
+    parts = [pf.detect_dataset_shape(df).withColumn("name", F.lit(name)) for name, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("name", "dataset_type", "time_col", "entity_col")

@@ -149,6 +149,7 @@ def survey_rules(column, with_columns=()):
          .change("SURV-03", lambda c: F.coalesce(F.initcap(lookup(SURVEY_TYPOS, key(c))), c.v.cast("string")))
          .let("score", scored)
          .derive("SURV-02", "score", lambda c: c.get("score"))
+         .note("SURV-04", lambda s: "answers of frequency, scored 1 to 5" if likert_scale(s)[0] == "frequency" else None)
          .flag("SURV-05", out_of_range)
          .note("SURV-01", lambda s: f"scale {likert_scale(s)[0]}")
          .note(*null_note("SURV-07")))

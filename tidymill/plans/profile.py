@@ -6,6 +6,7 @@ the driver is one row of numbers per pass; the decisions themselves are made on
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..functions.fixed_values import CODE_NAME_WORDS, DATE_NAME_WORDS, ID_NAME_PATTERNS, PATTERNS, TEMPORAL, TYPES
 from . import ordered
@@ -244,3 +245,43 @@ def dataset_shape(df, category_col, time_col):
     """ROLE-05: longitudinal when some category value is seen at two or more times."""
     spans = df.groupBy(category_col).agg(F.min(time_col).alias("a"), F.max(time_col).alias("b"))
     return spans.agg(F.when(F.max(F.col("a") != F.col("b")), "longitudinal").otherwise("cross_sectional").alias("shape"))
+
+
+#: Whole words of a column name that tell a time (a fixed value).
+TIME_WORDS = ("year", "date", "time", "month", "quarter", "period", "fiscal", "semester", "week", "day")
+
+
+def time_columns(df, rid="_rid"):
+    """Columns of dates and times, those whose name holds a word for one, and those of which all numbers are years from 1800 to 2100."""
+    columns = [f for f in df.schema.fields if f.name != rid]
+    sure = {f.name for f in columns if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)) or set(re.split(r"[_\W]+", f.name.lower())) & set(TIME_WORDS)}
+    asked = [f.name for f in columns if f.name not in sure]
+    if asked:
+        number = lambda c: F.trim(F.col(f"`{c}`").cast("string")).try_cast("double")
+        row = df.agg(*[x for c in asked for x in (F.min(number(c)), F.max(number(c)))]).first()
+        sure |= {c for i, c in enumerate(asked) if row[2 * i] is not None and row[2 * i] >= 1800 and row[2 * i + 1] <= 2100}
+    return [c for c in df.columns if c in sure]
+
+
+def entity_columns(df, rid="_rid", most=100):
+    """Text columns with at least two and at most ``most`` different values, and no more than half as many as there are rows."""
+    texts = [c for c, t in df.dtypes if t == "string" and c != rid]
+    if not texts:
+        return []
+    values = df.select(*[F.col(f"`{c}`") for c in texts]).unpivot([], texts, "column", "value")
+    counts = {r["column"]: r["n"] for r in values.filter("value IS NOT NULL").distinct().groupBy("column").agg(F.count("*").alias("n")).collect()}
+    rows = df.count()
+    return [c for c in texts if 2 <= counts.get(c, 0) <= min(most, rows * 0.5)]
+
+
+def detect_dataset_shape(df, rid="_rid"):
+    """ROLE-05: (dataset_type, time_col, entity_col): longitudinal if an entity is seen at two or more times, cross_sectional with a time column, else flat. One aggregate per entity column."""
+    times, made = time_columns(df, rid), "dataset_type string, time_col string, entity_col string"
+    for entity in entity_columns(df, rid) if times else ():
+        if entity in times:
+            continue
+        spans = df.filter(F.col(f"`{entity}`").isNotNull()).groupBy(f"`{entity}`").agg(*[(F.min(f"`{c}`") != F.max(f"`{c}`")).alias(f"t{i}") for i, c in enumerate(times)])
+        moved = spans.agg(*[F.bool_or(f"t{i}") for i in range(len(times))]).first()
+        if any(moved):
+            return df.sparkSession.createDataFrame([("longitudinal", next(c for c, m in zip(times, moved) if m), entity)], made)
+    return df.sparkSession.createDataFrame([("cross_sectional", times[0], None) if times else ("flat", None, None)], made)
