@@ -14,10 +14,27 @@ from pyspark.sql import functions as F
 DIGIT, BITS = 16, 64
 
 
-def ordered_bits(value):
-    """A double as a long of the same order; 0.0 and -0.0 are one. Null and not-a-number are null."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value + 0.0).cast("long")
-    return F.when(value.isNotNull() & ~F.isnan(value), F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+def ordered_bits(df, values):
+    """One row per value that is a number: column (its place in ``values``), key: the double's bits as a long of the same order; 0.0 and -0.0 are one.
+
+    Exponent and fraction are worked out by arithmetic that is exact: powers of two, and products and quotients with them.
+    """
+    n, power = range(len(values)), lambda e: F.pow(F.lit(2.0), e)
+    raw = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(x.cast("double") for x in values)])
+    near = raw.select(*[f"v{i}" for i in n], *[F.least(F.greatest(F.floor(F.log2(F.abs(f"v{i}"))), F.lit(-1022)), F.lit(1023)).alias(f"e{i}") for i in n])
+    # The logarithm may be off by one beside a power of two.
+    part = lambda i: F.abs(f"v{i}") / power(F.col(f"e{i}"))
+    exact = near.select(*[f"v{i}" for i in n], *[(F.col(f"e{i}") + F.when((part(i) >= 2) & (F.col(f"e{i}") < 1023), 1).when((part(i) < 1) & (F.col(f"e{i}") > -1022), -1).otherwise(0)).alias(f"e{i}") for i in n])
+
+    def bits(i):
+        a, fraction = F.abs(f"v{i}"), part(i)
+        tiny = (a * power(F.lit(1000.0)) * power(F.lit(74.0))).cast("long")
+        usual = (F.col(f"e{i}") + 1023) * F.lit(1 << 52) + ((fraction - 1) * F.lit(float(1 << 52))).cast("long")
+        return F.when(a == float("inf"), F.lit(2047 << 52)).when(a < 2.0 ** -1022, tiny).otherwise(usual)
+
+    keyed = exact.select(*[f"v{i}" for i in n], *[bits(i).alias(f"b{i}") for i in n])
+    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.when(F.col(f"v{i}") < 0, -F.col(f"b{i}") - 1).when(F.col(f"v{i}").isNotNull(), F.col(f"b{i}")).alias("key")) for i in n])
+    return keyed.select(F.explode(cells).alias("c")).select("c.column", "c.key").filter("key IS NOT NULL")
 
 
 def double_of(bits):
@@ -38,8 +55,7 @@ def _any(prefix, spaces):
 def order_statistics(df, values, probs):
     """{name: (rows with a value, {rank from 0: value})} with the ranks on both sides of each probability. values: {name: numeric column}."""
     names = list(values)
-    keys = F.array(*[F.struct(F.lit(i).alias("column"), ordered_bits(values[c].cast("double")).alias("key")) for i, c in enumerate(names)])
-    cells = df.select(F.explode(keys).alias("c")).select("c.column", "c.key").filter("key IS NOT NULL")
+    cells = ordered_bits(df, [values[c] for c in names])
     sizes, spaces = {}, {}          # spaces: {(column, bits so far): {rank: rows below the space}}
     for left in range(BITS - DIGIT, -1, -DIGIT):
         first = left == BITS - DIGIT
