@@ -58,3 +58,11 @@ def test_suite_of_charts(spark, orders):
     assert lines(points[specs[0]]) == lines(ch.time_series(orders, "o_orderdate", "o_totalprice", "mean"))
     many = spark.createDataFrame([(f"m{i}", "metric", 9) for i in range(9)], "column string, role string, distinct_count long")
     assert len(ch.suite_specs(many)) == 15 and len(set(ch.suite_specs(many))) == 15
+
+
+def test_distribution_of_more_rows_than_a_cube_of_counts_holds(spark):
+    """Three counts multiplied overflow a long from 2 097 152 rows on; 0 to 4 in equal parts have closed forms."""
+    n = 2_500_000
+    row = an.distribution(spark.range(n).select((F.col("id") % 5).cast("double").alias("x")), "x").first()
+    assert (row["n"], row["mean"], row["median"], row["mode"], row["skewness"]) == (n, 2.0, 2.0, 0.0, 0.0)
+    assert row["kurtosis"] == -1.3

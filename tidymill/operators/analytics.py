@@ -178,7 +178,8 @@ def percentiles(df, value_cols, probs=(0.25, 0.5, 0.75, 0.9)):
 
 def distribution(df, value_col):
     """AN-14: moments with sample corrections; mode is null when every value is different."""
-    v, n = F.col(value_col).cast("double"), F.col("n")
+    # Counts are multiplied as doubles: three of them overflow a long from 2.1 million rows on.
+    v, n = F.col(value_col).cast("double"), F.col("n").cast("double")
     base = df.filter(v.isNotNull() & ~F.isnan(v))
     counts = base.groupBy(v.alias("v")).agg(F.count("*").alias("c"))
     top = counts.agg(F.max("c").alias("top"), F.max_by("v", F.struct(F.col("c"), -F.col("v"))).alias("mode"))
@@ -190,7 +191,7 @@ def distribution(df, value_col):
                   ).otherwise(0.0)
     median = exact_quantiles(base, v, [0.5])[0]
     return attach(s, top).select(
-        n.alias("n"), F.round("mean", 4).alias("mean"), F.round(F.lit(median).cast("double"), 4).alias("median"),
+        "n", F.round("mean", 4).alias("mean"), F.round(F.lit(median).cast("double"), 4).alias("median"),
         F.when(F.col("top") > 1, F.col("mode")).alias("mode"), F.round("sd", 4).alias("std_dev"),
         F.round("var", 4).alias("variance"), F.round(skew, 4).alias("skewness"), F.round(kurt, 4).alias("kurtosis"),
         F.col("lo").alias("min"), F.col("hi").alias("max"))
