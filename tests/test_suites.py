@@ -66,3 +66,9 @@ def test_distribution_of_more_rows_than_a_cube_of_counts_holds(spark):
     row = an.distribution(spark.range(n).select((F.col("id") % 5).cast("double").alias("x")), "x").first()
     assert (row["n"], row["mean"], row["median"], row["mode"], row["skewness"]) == (n, 2.0, 2.0, 0.0, 0.0)
     assert row["kurtosis"] == -1.3
+
+
+def test_suite_holds_a_table_of_more_rows_than_a_cube_of_counts_holds(spark):
+    many = spark.range(2_500_000).select((F.col("id") % 4).cast("double").alias("x"), F.lit("a").alias("c"))
+    found = {name: df.collect() for name, df in an.suite(many, value_cols=["x"], category_cols=["c"]).items()}
+    assert found["x.distribution"][0]["kurtosis"] == -1.36 and found["c.frequency"][0]["n"] == 2_500_000
