@@ -12,37 +12,45 @@ from ..functions.fixed_values import CODE_NAME_WORDS, DATE_NAME_WORDS, ID_NAME_P
 from . import ordered
 
 
-def column_statistics(df, columns=None, rid="_rid"):
-    """{column: numbers}: counts, pattern shares, numeric share, range, integrality, distinct values, text length.
+#: Columns of one pass. Up to 128 keys are aggregated in a map in memory; with more, Spark sorts all cells of a task.
+PER_PASS = 100
+
+
+def column_statistics(df, columns=None, rid="_rid", samples=0):
+    """{column: numbers}: counts, pattern shares, numeric share, range, integrality, distinct values (estimated), text length, ``samples`` values.
 
     The cells are unpivoted inside the scan stage and aggregated by column name. The plan does not grow with the number
-    of columns, partial aggregation leaves one row per column and task, and one row per column reaches the driver.
+    of columns, partial aggregation leaves one row per column and task, and one row per column reaches the driver. The
+    sketch of distinct values makes Spark keep the buffers, which hold texts, as objects in a map: a task holds one buffer
+    per column and never sorts its cells. Very wide tables take several passes.
     """
     columns = [c for c in (columns or df.columns) if c != rid]
-    if not columns:
-        return {}
+    found = {}
+    for i in range(0, len(columns), PER_PASS):
+        found.update(_column_statistics(df, columns[i:i + PER_PASS], samples))
+    nothing = {f: 0 for f in (*[s for s, _, _ in PATTERNS], *[f"t_{s}" for s, _ in TEMPORAL], "rows", "filled", "numeric", "decimals", "distinct", "years")}
+    return {c: found.get(c, {**nothing, "min": None, "max": None, "avg_length": None, "low": None, "high": None, **{f"s{k}": None for k in range(samples)}}) for c in columns}
+
+
+def _column_statistics(df, columns, samples):
     cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "cell")
-    cells = cells.select("column", F.trim("cell").alias("t")).select("column", "t", F.col("t").try_cast("double").alias("x"))
+    cells = cells.select("column", "cell", F.trim("cell").alias("t")).select("*", F.col("t").try_cast("double").alias("x"))
     t, x = F.col("t"), F.col("x")
+    # Values with the least hash under one salt after another: the same ones however the rows are dealt, and few per column.
+    least = [F.min(F.when(F.col("cell").isNotNull(), F.struct(F.xxhash64("cell", F.lit(k)).alias("h"), F.col("cell").alias("value")))).alias(f"s{k}") for k in range(samples)]
     rows = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"), F.count(t).alias("filled"), F.count(x).alias("numeric"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.count_if(x != F.floor(x)).alias("decimals"), F.approx_count_distinct(t, 0.01).alias("distinct"), F.avg(F.length(t)).alias("avg_length"),
+        F.count_if(x != F.floor(x)).alias("decimals"), F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(t, F.lit(14))), F.lit(0)).alias("distinct"), F.avg(F.length(t)).alias("avg_length"),
         F.min(t).alias("low"), F.max(t).alias("high"), F.count_if(x.between(1900, 2100) & (x == F.floor(x))).alias("years"),
-        *[F.count_if(t.rlike(p)).alias(s) for s, p, _ in PATTERNS], *[F.count_if(t.rlike(p)).alias(f"t_{s}") for s, p in TEMPORAL]).collect()
-    found = {r["column"]: r.asDict() for r in rows}
-    nothing = {f: 0 for f in (*[s for s, _, _ in PATTERNS], *[f"t_{s}" for s, _ in TEMPORAL], "rows", "filled", "numeric", "decimals", "distinct", "years")}
-    return {c: found.get(c, {**nothing, "min": None, "max": None, "avg_length": None, "low": None, "high": None}) for c in columns}
+        *[F.count_if(t.rlike(p)).alias(s) for s, p, _ in PATTERNS], *[F.count_if(t.rlike(p)).alias(f"t_{s}") for s, p in TEMPORAL], *least).collect()
+    return {r["column"]: r.asDict() for r in rows}
 
 
 def profile_columns(df, columns=None, rid="_rid", samples=3):
     """SRC-06: column, dtype, rows, nulls, distinct values (estimated), share of numbers, three sample values."""
     columns = [c for c in (columns or df.columns) if c != rid]
-    stats, types = column_statistics(df, columns, rid), dict(df.dtypes)
-    # Values with the least hash under one salt after another: the same ones however the rows are dealt, and few per column.
-    cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").filter("value is not null") if columns else None
-    least = [F.min(F.struct(F.xxhash64("value", F.lit(k)).alias("h"), "value")).alias(f"s{k}") for k in range(samples)]
-    found = {r["column"]: [r[f"s{k}"]["value"] for k in range(samples)] for r in cells.groupBy("column").agg(*least).collect()} if columns and samples else {}
-    shown = {c: list(dict.fromkeys(found.get(c, []))) for c in columns}
+    stats, types = column_statistics(df, columns, rid, samples), dict(df.dtypes)
+    shown = {c: list(dict.fromkeys(v["value"] for v in (stats[c][f"s{k}"] for k in range(samples)) if v)) for c in columns}
     rows = [(c, types[c], s["rows"], s["rows"] - s["filled"], s["distinct"], round(s["numeric"] / s["filled"], 4) if s["filled"] else 0.0, shown[c])
             for c, s in ((c, stats[c]) for c in columns)]
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, rows bigint, null_count bigint, distinct_count bigint, numeric_share double, samples array<string>")
