@@ -9,7 +9,8 @@ Two ways to find candidates, both exact:
   in the other value, shifted by at most ``k``.
 
 Grouping needs connections, not all pairs: values that share a block so long that it alone proves the ratio are linked
-to one hub per block, and only the remaining candidates are scored.
+to one hub per block, values equal outside one window are scored against one hub per window, and only candidates in
+different groups of these are searched and scored.
 """
 import os
 
@@ -108,11 +109,12 @@ def _places(keys, widths):
                         F.col("key").substr(F.col("pos") + 1, F.col("w")).alias("text"))
 
 
-def candidate_pairs(short, long, threshold, strict=False):
+def candidate_pairs(short, long, threshold, strict=False, apart=False):
     """(a from ``short``, b from ``long``), |a| <= |b|, that may reach ``threshold``.
 
     Both frames have ``key`` and ``part``; pairs with equal ``part`` are already connected and are skipped. All bounds
-    sit in the join condition, so a rejected pair is never emitted.
+    sit in the join condition, so a rejected pair is never emitted. ``apart``: parts are large, so pairs inside the part
+    that holds most places of a text are not even looked at; one side of every other pair lies outside that part.
     """
     cut = short.select("key", F.col("part").alias("pa"), F.explode(_pieces(threshold)).alias("p")).select(
         F.col("key").alias("a"), "pa", F.length("key").alias("na"), F.col("p.at").alias("at"), F.col("p.text").alias("text"))
@@ -122,7 +124,13 @@ def candidate_pairs(short, long, threshold, strict=False):
     fits = ((F.col("pa") != F.col("pb")) & shorter & (2 * F.col("na") >= threshold * total - 1e-9)
             & (F.abs(F.col("at") - F.col("pos")) <= _budget(total, threshold))
             & (2 * F.least(_shared_characters("a", "b"), _shared_characters("b", "a")) >= threshold * total - 1e-9))
-    return cut.join(places, "text").filter(fits).select("a", "b").distinct()
+    if not apart:
+        return cut.join(places, "text").filter(fits).select("a", "b").distinct()
+    held = places.groupBy("text", "pb").agg(F.count("*").alias("n")).groupBy("text").agg(F.max_by("pb", "n").alias("most"), (F.count("*") == 1).alias("one"))
+    cut, places = cut.join(held, "text"), places.join(held.select("text", "most"), "text")
+    outer = cut.filter("pa <> most").join(places.drop("most"), "text")
+    inner = cut.filter("pa = most AND NOT one").join(places.filter("pb <> most").drop("most"), "text")
+    return outer.filter(fits).select("a", "b").unionByName(inner.filter(fits).select("a", "b")).distinct()
 
 
 def similar_to(left, right, threshold):
@@ -148,14 +156,35 @@ def _hub_edges(keys, threshold):
     return blocks.join(hubs, "block").filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
 
 
+def _likely_edges(keys, threshold):
+    """Edges worth scoring first: each key with the smallest key that equals it outside one window as wide as the threshold allows.
+
+    One edge per key and window. They join most of what belongs together, so that few pairs are left for the exact search.
+    """
+    n = F.length("key")
+    widest = F.floor((1 - threshold) * n + 1e-9).cast("int")
+    windows = keys.select("key", n.alias("n"), F.explode(F.sequence(F.greatest(widest - 1, F.lit(0)), widest)).alias("w"))
+    windows = windows.select("key", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))).alias("pos"))
+    rest = F.concat(F.col("key").substr(F.lit(1), F.col("pos")), F.col("key").substr(F.col("pos") + F.col("w") + 1, F.col("n")))
+    left = windows.select("key", F.xxhash64("pos", rest).alias("rest"))     # scored afterwards, so two rests of one hash do no harm
+    hubs = left.groupBy("rest").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub <> last")
+    return left.join(hubs, "rest").filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def _reach(pairs, threshold):
+    return pairs.filter(F.greatest(match_ratio("a", "b"), match_ratio("b", "a")) >= threshold)
+
+
 def similar_groups(keys, threshold):
-    """key -> root of its group: keys connected by a chain of pairs that reach ``threshold``."""
+    """key -> root of its group: keys connected by a chain of pairs that reach ``threshold``.
+
+    Pairs are searched in full only between groups that proven blocks and likely edges leave apart.
+    """
     vertices = keys.select(F.col("key").alias("vertex"))
-    proven = components(vertices, _hub_edges(keys, threshold))
-    parts = proven.select(F.col("vertex").alias("key"), F.col("root").alias("part"))
-    pairs = candidate_pairs(parts, parts, threshold).filter("a <> b")
-    scored = pairs.filter(F.greatest(match_ratio("a", "b"), match_ratio("b", "a")) >= threshold)
-    links = proven.select(F.col("vertex").alias("a"), F.col("root").alias("b")).filter("a <> b")
+    joined = components(vertices, _hub_edges(keys, threshold).unionByName(_reach(_likely_edges(keys, threshold), threshold)))
+    parts = joined.select(F.col("vertex").alias("key"), F.col("root").alias("part"))
+    scored = _reach(candidate_pairs(parts, parts, threshold, apart=True).filter("a <> b"), threshold)
+    links = joined.select(F.col("vertex").alias("a"), F.col("root").alias("b")).filter("a <> b")
     return components(vertices, scored.unionByName(links))
 
 
