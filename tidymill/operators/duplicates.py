@@ -107,43 +107,133 @@ def pair_score(parts, a, b):
     return total / weight
 
 
-def _cut(df, text, least):
-    """Pieces of a text: with at most k edits to a partner no shorter than itself, one of k + 1 pieces stays intact."""
-    n = F.length(text)
-    k = F.floor((1 - least) / least * n + 1e-9).cast("int")
-    parts = F.greatest(F.least(k + 1, n), F.lit(1))
-    edge = lambda i: F.floor(i * n / parts).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(edge(i).alias("at"), F.col(text).substr(edge(i) + 1, edge(i + 1) - edge(i)).alias("piece")))
-    return df.filter(F.col(text).isNotNull()).select("*", n.alias("n"), F.explode(piece).alias("p")).select("*", "p.at", "p.piece").drop("p")
+#: Letters that the records of a block share: they lengthen the first piece of a text. Texts up to WINDOWED letters look for pieces
+#: only where an edit can have moved them. Components of at most SHORT letters may be searched by deleting one letter.
+BLOCK_LETTERS, WINDOWED, SHORT = 3, 128, 12
+
+
+def _edits(n, least):
+    return int((1 - least) * n + 1e-9)
 
 
-def _text_pairs(records, text, least):
-    """Pairs of records in one block whose ``text`` may reach a likeness of ``least``. Bounds sit in the join condition."""
-    cut = _cut(records.select("_rid", "block", text, "whole"), text, least)
-    widths = F.array_sort(F.collect_set(F.length("piece")))
-    spans = records.filter(F.col(text).isNotNull()).select("_rid", "block", "whole", F.col(text).alias("long"), F.length(text).alias("m"), cut.agg(widths).scalar().alias("ws"))
-    spans = spans.select("*", F.explode(F.filter("ws", lambda w: w <= F.col("m"))).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("pos"))
-    right = spans.select(F.col("_rid").alias("rid_b"), F.col("block"), F.col("whole").alias("whole_b"), "long", "m", "pos", F.col("long").substr(F.col("pos") + 1, F.col("w")).alias("piece"))
-    left = cut.select(F.col("_rid").alias("rid_a"), "block", F.col("whole").alias("whole_a"), F.col(text).alias("short"), "n", "at", "piece")
-    k = F.floor((1 - least) * F.col("m") + 1e-9).cast("int")
-    fits = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rid_a") < F.col("rid_b")))) & (F.col("m") - F.col("n") <= k) & (F.abs(F.col("at") - F.col("pos")) <= k)
-    near = F.when(F.col("short") == F.col("long"), 0).otherwise(F.levenshtein("short", "long"))
-    return (left.join(right, ["block", "piece"]).filter(fits & (near <= k))
-            .select(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"), (F.col("whole_a") & F.col("whole_b")).alias("whole")).distinct())
+def _most_edits(n, least):
+    """Edits to any partner, also a longer one."""
+    return int((1 - least) / least * n + 1e-9) if least > 0 else n
 
 
-def _cost(records, text, least):
-    row = (_cut(records, text, least).groupBy("block", "piece").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("c"))).first()
-    return row["c"] or 0
+def _edges(n, least):
+    """Where a text of n letters is cut: k edits to any partner leave one of k + 1 pieces whole. One empty piece where no letter need stay."""
+    k = _most_edits(n, least)
+    if k >= n:
+        return [0, 0]
+    lead = min(BLOCK_LETTERS, n - k - 1)
+    return [0] + [lead + i * (n - lead) // (k + 1) for i in range(1, k + 2)]
+
+
+def _pieces(text, least):
+    """The pieces of ``_edges`` as an array."""
+    n = F.length(text)
+    k = F.floor((1 - least) / least * n + 1e-9).cast("int") if least > 0 else n
+    lead = F.least(F.lit(BLOCK_LETTERS), n - k - 1)
+    edge = lambda i: F.when((i == 0) | (k >= n), 0).otherwise(lead + F.floor(i * (n - lead) / (k + 1)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.when(k >= n, 0).otherwise(k)), lambda i: F.col(text).substr(edge(i) + 1, edge(i + 1) - edge(i)))
+
+
+def _windows(lengths, least, both):
+    """(m, at, w): where a text of m letters may hold a piece, w wide, of a text of another of ``lengths`` (longer ones only with ``both``).
+
+    The first piece that stays whole with as many edits before it as there are pieces before it is i; it has moved by at
+    most i, and what is left of the edits must make up for the difference in length behind it.
+    """
+    found = set()
+    for m in (m for m in lengths if m <= WINDOWED):
+        for n in lengths:
+            edits = _edits(max(m, n), least)
+            if abs(m - n) > edits or (n > m and not both):
+                continue
+            edges = _edges(n, least)
+            for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                for at in range(a + max(-i, m - n - edits + i), a + min(i, m - n + edits - i) + 1):
+                    if 0 <= at <= m - (b - a):
+                        found.add((m, at, b - a))
+    return sorted(found)
+
+
+def _cut(df, text, least, lengths):
+    """A row per piece of ``text``; where a piece stands is looked up by the text's length, only long texts are cut by an expression."""
+    edges = {n: _edges(n, least) for n in lengths if n <= WINDOWED}
+    cuts = df.sparkSession.createDataFrame([(n, a, b - a) for n, e in edges.items() for a, b in zip(e, e[1:])], "m int, at int, w int")
+    cut = df.join(F.broadcast(cuts), F.length(text) == F.col("m")).withColumn("piece", F.col(text).substr(F.col("at") + 1, F.col("w"))).drop("m", "at", "w")
+    if max(lengths) > WINDOWED:
+        cut = cut.unionByName(df.filter(F.length(text) > WINDOWED).withColumn("piece", F.explode(_pieces(text, least))))
+    return cut
+
+
+def _one_deleted(df, text, longest):
+    """A row for ``text`` itself and for every letter deleted from it, as ``piece``."""
+    at = df.sparkSession.createDataFrame([(n, i) for n in range(longest + 1) for i in range(n + 1)], "m int, at int")
+    left = F.when(F.col("at") == 0, F.col(text)).otherwise(F.concat(F.col(text).substr(F.lit(1), F.col("at") - 1), F.col(text).substr(F.col("at") + 1, F.col("m"))))
+    return df.join(F.broadcast(at), F.length(text) == F.col("m")).withColumn("piece", left).drop("m", "at")
+
+
+def _text_pairs(cut, looked, text, least, lengths, both=False):
+    """Pairs of a record of ``cut`` and one of ``looked`` in one block whose ``text`` reaches a likeness of ``least``.
+
+    Only hashes of pieces, row ids and the text itself are shuffled, and the distance sits in the join condition. Without
+    ``both`` the two frames are the same records and the text cut is the shorter one.
+    """
+    if not lengths:
+        return cut.select(F.col("_rid").alias("rid_a"), F.col("_rid").alias("rid_b")).filter("false")
+    key = lambda piece: F.xxhash64("block", piece).alias("key")
+    left = _cut(cut.select(F.col("_rid").alias("rid_a"), F.col(text).alias("short"), "block"), "short", least, lengths).select("rid_a", "short", key("piece"))
+    long = looked.filter(F.col(text).isNotNull()).select(F.col("_rid").alias("rid_b"), F.col(text).alias("long"), "block", F.length(text).alias("m"))
+    windows = cut.sparkSession.createDataFrame(_windows(lengths, least, both), "m int, at int, w int")
+    spots = long.join(F.broadcast(windows), "m").select("rid_b", "long", "block", "at", "w")
+    if max(lengths) > WINDOWED:
+        wide = set()
+        for n in lengths:
+            k, first = _most_edits(n, least), _edges(n, least)[1]
+            wide |= {first, *((n - min(BLOCK_LETTERS, n - k - 1)) // (k + 1) + d for d in (0, 1) if k < n)}
+        far = long.filter(F.col("m") > WINDOWED).select("*", F.explode(F.lit(sorted(wide))).alias("w")).filter("w <= m")
+        spots = spots.unionByName(far.select("rid_b", "long", "block", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("at"), "w"))
+    right = spots.select("rid_b", "long", key(F.col("long").substr(F.col("at") + 1, F.col("w"))))
+    n, m = F.length("short"), F.length("long")
+    k = F.floor((1 - least) * F.greatest(n, m) + 1e-9).cast("int")
+    fits = (F.col("rid_a") != F.col("rid_b")) if both else ((n < m) | ((n == m) & (F.col("rid_a") < F.col("rid_b"))))
+    near = (F.col("short") == F.col("long")) | F.levenshtein("short", "long", _edits(max(lengths), least)).between(F.lit(0), k)
+    return (left.join(right, "key").filter(fits & (F.abs(n - m) <= k) & near)
+            .select(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b")).distinct())
+
+
+def _deletion_pairs(records, text, longest):
+    """Pairs in one block whose ``text`` is at most one edit apart (a few more: the score decides)."""
+    keyed = _one_deleted(records.select("_rid", "block", text), text, longest).select("_rid", F.xxhash64("block", "piece").alias("key"))
+    a, b = keyed.select(F.col("_rid").alias("rid_a"), "key"), keyed.select(F.col("_rid").alias("rid_b"), "key")
+    return a.join(b, "key").filter("rid_a < rid_b").select("rid_a", "rid_b").distinct()
+
+
+def _costs(records, parts, floor, lengths):
+    """Pairs that share a key, per component: one count for all of them."""
+    keys = []
+    for k, ts in parts.items():
+        longest = max((n for t in ts for n in lengths[t]), default=0)
+        for t in ts:
+            if lengths[t]:
+                made = _one_deleted(records.select("block", t), t, longest) if longest <= SHORT else _cut(records.select("block", t), t, floor[k], lengths[t])
+                keys.append(made.select(F.lit(k).alias("part"), F.xxhash64("block", "piece", F.lit(t)).alias("key")))
+    counts = reduce(DataFrame.unionByName, keys).groupBy("part", "key").agg(F.count("*").alias("n"))
+    found = {r["part"]: r["c"] for r in counts.groupBy("part").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("c")).collect()}
+    return {k: found.get(k, 0) for k in parts}
 
 
 def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=FUZZY_THRESHOLD):
     """DUP-FUZZY: (rid_a, rid_b, score) of distinct records in the same three-letter block, score at least ``threshold``.
 
     Candidates are exact. The score is a weighted mean, so a pair that reaches 0.85 has at most 0.15 of weighted deficit.
-    With three components present at least two carry at most 0.075 each, hence any two of them contain one that does:
-    the two whose pieces repeat least are searched (a name or contact shared by a third of the rows is left out), each at
-    the likeness that deficit allows. Pairs with a missing component are searched on every component at ``threshold``.
+    Shared out between two components, one of them keeps to its share: the two whose keys repeat least are searched (a
+    name or contact shared by a third of the rows is left out), each at the likeness its share allows. Shares are equal,
+    but short texts get less than two edits, which keys with one letter deleted find, and the other component the rest.
+    Pairs with a missing component always have the name: it is searched alone at the likeness the whole deficit allows.
     """
     texts = comparison_texts(df, names, ids, contacts, rid)
     parts = _components(texts)
@@ -151,21 +241,33 @@ def fuzzy_pairs(df, names, ids=(), contacts=(), rid="_rid", threshold=FUZZY_THRE
     present = reduce(lambda a, b: a & b, [reduce(lambda x, y: x & y, [F.col(t).isNotNull() for t in ts]) for ts in parts.values()])
     records = (texts.groupBy("block", *cols).agg(F.min("_rid").alias("_rid"), F.count("*").alias("copies")).withColumn("whole", present))
     records = checkpointer(df.sparkSession)(records)
-    spare = (1 - threshold) / 2
-    floor = {k: 1 - spare / FUZZY_WEIGHTS[k] for k in parts}
+    measured = records.agg(*[F.array_sort(F.collect_set(F.length(t))).alias(t) for t in cols], F.bool_or(~F.col("whole")).alias("gaps")).first()
+    lengths = {t: list(measured[t]) for t in cols}
+    weight = {k: FUZZY_WEIGHTS[k] for k in parts}
+    deficit = (1 - threshold) * sum(weight.values())
+    whole, chosen = records.filter("whole"), list(parts)
+    if len(parts) > 2:
+        costs = _costs(whole, parts, {k: max(1 - deficit / 2 / weight[k], 0.0) for k in parts}, lengths)
+        chosen = sorted(parts, key=lambda k: costs[k])[:2]
+    share = {k: deficit / len(chosen) for k in chosen}
+    longest = {k: max((n for t in parts[k] for n in lengths[t]), default=0) for k in chosen}
+    for k in chosen if len(chosen) == 2 else ():
+        one_edit = weight[k] * 2 / max(longest[k], 1) * (1 - 1e-6)
+        if longest[k] <= SHORT and one_edit < share[k]:
+            share = {j: one_edit if j == k else deficit - one_edit for j in chosen}
+            break
     found = []
-    if len(parts) == 3:
-        costs = {k: sum(_cost(records, t, floor[k]) for t in ts) for k, ts in parts.items()}
-        for k in sorted(parts, key=lambda k: costs[k])[:2]:
-            found += [_text_pairs(records.filter("whole"), t, floor[k]) for t in parts[k]]
-        if not records.filter("not whole").isEmpty():
-            found += [_text_pairs(records, t, threshold).filter("not whole") for t in cols]
-    else:
-        found += [_text_pairs(records, t, threshold) for t in cols]
+    for k in chosen:
+        least = max(1 - share[k] / weight[k], 0.0)
+        for t in parts[k]:
+            found.append(_deletion_pairs(whole, t, longest[k]) if longest[k] <= SHORT and _edits(longest[k], least) <= 1 else _text_pairs(whole, whole, t, least, lengths[t]))
+    if measured["gaps"]:
+        others = sum(w for k, w in weight.items()) - min((w for k, w in weight.items() if k != "name"), default=0.0)
+        found += [_text_pairs(records, records.filter("not whole"), t, max(1 - (1 - threshold) * others / weight["name"], 0.0), lengths[t], both=True) for t in parts["name"]]
     pairs = reduce(DataFrame.unionByName, [p.select("rid_a", "rid_b") for p in found]).distinct()
-    a = records.select(F.col("_rid").alias("rid_a"), F.struct(*cols).alias("a"))
-    b = records.select(F.col("_rid").alias("rid_b"), F.struct(*cols).alias("b"))
-    scored = pairs.join(a, "rid_a").join(b, "rid_b").select("rid_a", "rid_b", pair_score(parts, "a", "b").alias("score"))
+    a = records.select(F.col("_rid").alias("rid_a"), F.struct("block", *cols).alias("a"))
+    b = records.select(F.col("_rid").alias("rid_b"), F.struct("block", *cols).alias("b"))
+    scored = pairs.join(a, "rid_a").join(b, "rid_b").filter("a.block = b.block").select("rid_a", "rid_b", pair_score(parts, "a", "b").alias("score"))
     # Rows whose compared texts are equal link to the first of them, one pair per row.
     keys = ["block", *cols]
     heads = records.filter("copies > 1").select(*[F.col(c).alias(f"h_{c}") for c in keys], F.col("_rid").alias("rid_a"))
