@@ -85,8 +85,13 @@ def group(v, pattern, index):
     return F.nullif(F.regexp_extract(v, pattern, index), F.lit(""))
 
 
+#: All texts that Spark casts to a double.
+NUMERIC = r"(?i)^[\x00-\x20]*[+-]?(?:nan|inf|infinity|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[df]?|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?[df]?)[\x00-\x20]*$"
+
+
 def number(v):
-    return v.try_cast("double")
+    """Double or null. A failed cast throws and catches an exception with its whole stack, so texts that are no numbers are not cast."""
+    return let(v.cast("string"), lambda t: F.when(t.rlike(NUMERIC), t.try_cast("double")))
 
 
 def digits(v):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import DATE_GRANULARITY, MONTH_SHORT
+from ..functions.text import number
 from ..plans import ordered
 
 _PERIOD = re.compile(rf"^((?:{MONTH_SHORT})|january|february|march|april|june|july|august|september|october|november|december"
@@ -41,7 +42,7 @@ def label_columns(df, order_cols, facts=None):
     key = F.struct(*[F.col(f"`{c}`") for c in order_cols])
     row = df.agg(F.count(F.lit(1)), *[x for c in texts for x in (
         F.count(f"`{c}`"), F.approx_count_distinct(f"`{c}`", 0.01), F.min_by(F.col(f"`{c}`").isNotNull(), key),
-        F.count(F.trim(F.col(f"`{c}`")).try_cast("double")))]).first()
+        F.count(number(F.trim(F.col(f"`{c}`")))))]).first()
     chosen = []
     for k, c in enumerate(texts):
         filled, distinct, first_filled, numbers = row[4 * k + 1:4 * k + 5]

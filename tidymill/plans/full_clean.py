@@ -17,6 +17,7 @@ from pyspark.sql.types import BooleanType, DateType, DoubleType, FloatType, Nume
 
 from ..operators import basic, categorical, contact, duplicates, identity, medical, missing, numeric, organisation, structure, temporal, text_columns, validation, whole_table
 from ..operators.rules import apply_rules
+from ..sources.reader import spread
 from . import ordered, profile
 
 
@@ -89,6 +90,9 @@ def clean_table(df, as_of, confirmed_columns=None, external_types=None, bindings
             skipped.append((name, str(e).splitlines()[0]))
             return fallback
 
+    if workdir:
+        # Every later pass reads these files: in as many parts as there are cores, and what the input is derived from is worked out once.
+        df = keep(spread(df, rid), "raw")
     table, found, changed = attempt("whole table", lambda: whole_table.clean_global(df, order_cols, rid, fill=False), (df, None, None))
     if found is not None:
         flags.append(_shaped(found, FLAG_COLUMNS))

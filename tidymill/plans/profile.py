@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..functions.fixed_values import CODE_NAME_WORDS, DATE_NAME_WORDS, ID_NAME_PATTERNS, PATTERNS, TEMPORAL, TYPES
+from ..functions.text import number as as_number
 from . import ordered
 
 
@@ -34,7 +35,7 @@ def column_statistics(df, columns=None, rid="_rid", samples=0):
 
 def _column_statistics(df, columns, samples):
     cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "cell")
-    cells = cells.select("column", "cell", F.trim("cell").alias("t")).select("*", F.col("t").try_cast("double").alias("x"))
+    cells = cells.select("column", "cell", F.trim("cell").alias("t")).select("*", as_number(F.col("t")).alias("x"))
     t, x = F.col("t"), F.col("x")
     # Values with the least hash under one salt after another: the same ones however the rows are dealt, and few per column.
     least = [F.min(F.when(F.col("cell").isNotNull(), F.struct(F.xxhash64("cell", F.lit(k)).alias("h"), F.col("cell").alias("value")))).alias(f"s{k}") for k in range(samples)]
