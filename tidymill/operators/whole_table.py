@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType
 from ..functions.fixed_values import DATE_LIKE_PATTERN, HEADER_TYPOS, MOJIBAKE, PII_WORDS, SUMMARY_WORDS
 from ..functions.text import folded, number, replace_all
 from ..plans import ordered
+from ..plans.storage import stored
 from .rules import ColumnRules, apply_rules
 
 TYPES = ("integer", "float", "boolean", "date", "string")
@@ -70,9 +71,9 @@ def drop_reason(columns, texts, header):
 
 
 def rows_to_drop(df, rid="_rid", header=None):
-    """(kept rows, dropped rows with the rule that drops them)."""
+    """(kept rows, dropped rows with the rule that drops them). The marked table is stored once: both parts and all that is worked out from them read it."""
     cols = [c for c in df.columns if c != rid]
-    marked = df.withColumn("_drop", drop_reason(cols, text_columns(df, rid), header or cols))
+    marked = stored(df.withColumn("_drop", drop_reason(cols, text_columns(df, rid), header or cols)), "marked")
     return marked.filter("_drop is null").drop("_drop"), marked.filter("_drop is not null").select(F.col(rid).alias("_rid"), F.col("_drop").alias("rule"))
 
 
