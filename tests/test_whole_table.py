@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from tidymill.functions.fixed_values import MOJIBAKE
+from tidymill.functions.text import replace_all
 from tidymill.operators import whole_table as wt
 from tidymill.plans.storage import stored
 
@@ -26,3 +28,16 @@ def test_stored_keeps_names_types_and_rows(spark):
     df = spark.createDataFrame([(1, "x", 2.5, [1])], "`a b` int, `A.b;` string, `A B` double, c array<int>").withColumn("d", F.lit(None))
     back = stored(df, "t")
     assert back.dtypes == df.dtypes and [tuple(r) for r in back.collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_broken_letters_are_replaced_as_by_plain_replacement(spark):
+    texts = ["", None, "plain", "cafÃ©", "â", "Ã", "x\xe2\x80\x99y", "\xc3\x9f", "\xe2\x80\x94Ã¶Ã", "é", "caf\xc3", *[old + "-" + old for old, _ in MOJIBAKE]]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = df.select(wt.without_mojibake(F.col("v")).alias("x"), replace_all(F.col("v"), MOJIBAKE).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got)
+
+
+def test_audit_of_the_whole_table(spark):
+    lines = {(r["_rid"], r["rule"], r["column"], r["old_value"], r["new_value"]) for r in wt.clean_global(_messy(spark))[2].filter("_rid IS NOT NULL").collect()}
+    assert lines == {(1, "GLOBAL-05", None, None, "row dropped"), (2, "GLOBAL-07", None, None, "row dropped"), (3, "GLOBAL-08", None, None, "row dropped"),
+                     (4, "GLOBAL-15", "a,b", " ", None), (5, "GLOBAL-11", "Full Name", "'00cafÃ©", "'00café"), (5, "GLOBAL-14", "Full Name", "'00café", "00café")}

@@ -52,9 +52,15 @@ def pii_tags(columns):
 
 # ---- cells and rows ------------------------------------------------------------------------------------------------------
 
+def without_mojibake(v):
+    """Every broken sequence begins with one of two letters; texts without them are left alone."""
+    starts = sorted({old[0] for old, _ in MOJIBAKE})
+    return F.when(reduce(lambda a, b: a | b, [F.contains(v, F.lit(s)) for s in starts]), replace_all(v, MOJIBAKE)).otherwise(v)
+
+
 def cell_rules(column):
     return (ColumnRules(column)
-            .change("GLOBAL-11", lambda c: replace_all(c.v, MOJIBAKE))
+            .change("GLOBAL-11", lambda c: without_mojibake(c.v))
             .change("GLOBAL-12", lambda c: F.replace(c.v, F.lit("﻿"), F.lit("")))
             .change("GLOBAL-14", lambda c: F.regexp_replace(c.v, r"^'(?=[^\p{Ll}])", ""))
             .change("GLOBAL-15", lambda c: F.when(F.regexp_replace(c.v, r"\s", "") != "", c.v)))
