@@ -41,3 +41,10 @@ def test_audit_of_the_whole_table(spark):
     lines = {(r["_rid"], r["rule"], r["column"], r["old_value"], r["new_value"]) for r in wt.clean_global(_messy(spark))[2].filter("_rid IS NOT NULL").collect()}
     assert lines == {(1, "GLOBAL-05", None, None, "row dropped"), (2, "GLOBAL-07", None, None, "row dropped"), (3, "GLOBAL-08", None, None, "row dropped"),
                      (4, "GLOBAL-15", "a,b", " ", None), (5, "GLOBAL-11", "Full Name", "'00cafÃ©", "'00café"), (5, "GLOBAL-14", "Full Name", "'00café", "00café")}
+
+
+def test_the_reason_mentions_every_column_once(spark):
+    df = spark.range(1).select(F.col("id").alias("_rid"), F.lower(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("n"), F.upper(F.concat(F.lit("b"), F.col("id").cast("string"))).alias("m"))
+    marked = df.filter(wt.drop_reason(["n", "m"], ["n", "m"], ["n", "m"]).isNull())
+    pushed = next(line for line in _plan(marked).splitlines() if "Filter" in line)
+    assert pushed.count("concat(a") == 1 and pushed.count("concat(b") == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.fixed_values import DATE_LIKE_PATTERN, HEADER_TYPOS, MOJIBAKE, PII_WORDS, SUMMARY_WORDS
-from ..functions.text import folded, number, replace_all
+from ..functions.text import folded, let, number, replace_all
 from ..plans import ordered
 from ..plans.storage import stored
 from .rules import ColumnRules, apply_rules
@@ -67,13 +67,20 @@ def cell_rules(column):
 
 
 def drop_reason(columns, texts, header):
-    """Rule that removes a row: empty, a summary line, or a repeat of the header; null keeps it."""
-    cell = lambda c: F.lower(F.trim(F.col(f"`{c}`").cast("string")))
-    empty = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNull() for c in columns])
-    summary = reduce(lambda a, b: a | b, [F.coalesce(cell(c).isin(*SUMMARY_WORDS), F.lit(False)) for c in texts], F.lit(False))
+    """Rule that removes a row: empty, a summary line, or a repeat of the header; null keeps it.
+
+    Every column is mentioned once, as it may be an expression of many steps that the optimizer copies to each mention.
+    """
     names = F.array(*[F.lit(h) for h in sorted({h.lower().strip() for h in header})])
-    shared = F.size(F.array_intersect(F.array_distinct(F.array_compact(F.array(*[cell(c) for c in columns]))), names))
-    return (F.when(empty, "GLOBAL-05").when(summary, "GLOBAL-07").when(shared >= 0.8 * len({h.lower() for h in header}), "GLOBAL-08"))
+
+    def reason(row):
+        cells = [row.getField(f"c{i}") for i in range(len(columns))]
+        empty = reduce(lambda a, b: a & b, [c.isNull() for c in cells])
+        summary = reduce(lambda a, b: a | b, [F.coalesce(cells[columns.index(c)].isin(*SUMMARY_WORDS), F.lit(False)) for c in texts], F.lit(False))
+        shared = F.size(F.array_intersect(F.array_distinct(F.array_compact(F.array(*cells))), names))
+        return F.when(empty, "GLOBAL-05").when(summary, "GLOBAL-07").when(shared >= 0.8 * len({h.lower() for h in header}), "GLOBAL-08")
+
+    return let(F.struct(*[F.lower(F.trim(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(columns)]), reason)
 
 
 def rows_to_drop(df, rid="_rid", header=None):
