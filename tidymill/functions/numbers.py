@@ -5,6 +5,7 @@ from .fixed_values import CURRENCY_PREFIXES, CURRENCY_SYMBOLS, NUMBER_SCALES, NU
 from .text import group, let, lookup, number
 
 _BARE = r"^[-+\d.,eE]*$"
+_DIGITS = r"\A[+-]?[0-9]+(?:\.[0-9]*)?\z"
 SCIENTIFIC = r"^[+-]?\d+\.?\d*[eE][+-]?\d+$"
 
 
@@ -70,8 +71,12 @@ def from_european(v):
 
 def parse_number(v):
     """Any of '$1,234.50', '1.234,50 EUR', ' 12 % ' -> double, else null."""
-    plain = let(F.trim(v.cast("string")), lambda t: F.when(is_european(t), from_european(t)).otherwise(without_thousands(t)))
-    return number(F.regexp_replace(let(plain, without_currency), r"[^\d.\-+eE]", ""))
+    def marked(t):
+        plain = F.when(is_european(t), from_european(t)).otherwise(without_thousands(t))
+        return number(F.regexp_replace(let(plain, without_currency), r"[^\d.\-+eE]", ""))
+
+    # most cells are bare numbers, which the search for marks and separators leaves as they are
+    return let(F.trim(v.cast("string")), lambda t: F.when(t.rlike(_DIGITS), t.try_cast("double")).otherwise(marked(t)))
 
 
 def plain_decimal(v):

@@ -54,8 +54,15 @@ def _any(prefix, spaces):
 
 def order_statistics(df, values, probs):
     """{name: (rows with a value, {rank from 0: value})} with the ranks on both sides of each probability. values: {name: numeric column}."""
-    names = list(values)
-    cells = ordered_bits(df, [values[c] for c in names])
+    # The four scans read the keys of one pass: what the values are derived from is worked out once.
+    cells = ordered_bits(df, [values[c] for c in values]).persist()
+    try:
+        return _ranked(cells, list(values), probs)
+    finally:
+        cells.unpersist()
+
+
+def _ranked(cells, names, probs):
     sizes, spaces = {}, {}          # spaces: {(column, bits so far): {rank: rows below the space}}
     for left in range(BITS - DIGIT, -1, -DIGIT):
         first = left == BITS - DIGIT
