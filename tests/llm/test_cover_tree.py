@@ -70,3 +70,36 @@ def test_whole_groups_are_linked_without_comparing(monkeypatch):
 def test_query_against_brute_force(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert Counter(tuple(r)[:3] for r in REGISTRY["op4_embedding_near_dedup"][0](spark, sf).collect()) == brute(rows)
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    found = context.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_shuffles_do_not_grow_with_the_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "APART", 3)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((1500, 16))
+    x[200:260] = x[5] + 0.2 * rng.standard_normal((60, 16))
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    want, written = brute(rows), []
+    for block in (1500, 50):
+        before = shuffled(spark)
+        assert run(spark, rows, block=block) == want
+        written.append(shuffled(spark) - before)
+    assert 0 < written[1] < 2 * written[0]
+
+
+def test_double_precision_decides_at_the_threshold():
+    rng = np.random.default_rng(2)
+    q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    angles = 0.9 + np.concatenate([[1e-9, 1e-12], -np.array([1e-9, 1e-12])])
+    x = np.stack([q[0], *(c * q[0] + np.sqrt(1 - c * c) * q[k + 1] for k, c in enumerate(angles))])
+    dual = cover_tree.Dual(x, np.ones(5, dtype=np.int64), 0.2 ** 0.5, 0.9)
+    root = dual.tree(np.arange(5))
+    dual.traverse(root, root)
+    assert dual.counts.tolist() == [2, 1, 1, 0, 0] and sorted(map(sorted, dual.edges)) == [[0, 1], [0, 2]]

@@ -2,13 +2,16 @@
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), so the triangle inequality bounds whole groups. Equal vectors are one point from
 the start. The upper levels are a net of at most MOST_PIVOTS points of a bounded sample, taken farthest first (each beginning of
-that order covers all at a radius that shrinks down the levels); every point belongs to its nearest pivot. A cell with its covering radius is a node: a point is sent to
-another cell only if it lies within that cell's radius and the threshold of its pivot. Cells are dealt in blocks of about BLOCK
-points, and two blocks meet in one task, so no task holds more, however many points one place has.
+that order covers all at a radius that shrinks down the levels); every point belongs to its nearest pivot. Cells are cut into blocks of about BLOCK
+points (fewer of long vectors), one row each, with the covering radius about their pivot: a block is a node. Two blocks meet in one task unless their pivots lie farther apart
+than both radii and the threshold. They meet by a Cartesian product, whose tasks read the blocks where the last shuffle left them: a vector is shuffled
+three times (by key, into its block, with its block) however many blocks there are. A task holds one block and at most TOGETHER of the other side, or one while there are few.
+Of two that meet, points farther from the other's pivot than its radius and the threshold are left out.
 
 In a task each block becomes a cover tree of nested levels with halving radii, and both are traversed together: a pair of nodes farther apart
 than both radii and the threshold is pruned, a pair whose farthest points must lie within the threshold is linked as a whole, without looking at its pairs,
-and what is left is split or, in leaves, compared by a product of matrices in double precision. Where points have no
+and what is left is split or, in leaves, compared by a product of matrices: in single precision with a margin for its rounding, and what that
+leaves in double precision. Where points have no
 structure (a node that more than SPLIT balls of half its radius are needed for), a node stays a leaf. A task gives each point's number of links and the
 edges of a spanning forest, never the pairs.
 
@@ -30,10 +33,12 @@ from ..operators.similarity import components
 from .frames import map_batches, pick, stored
 
 COSINE = 0.9
-BLOCK, MOST_PIVOTS, SAMPLED = 3000, 1024, 4
+BLOCK, MOST_PIVOTS, SAMPLED = 8192, 1024, 4
+#: Bytes of a block's vectors; blocks of one side that a task holds at most, once there are more than APART; rows and columns of one product.
+BLOCK_BYTES, TOGETHER, APART, TILE = 16 << 20, 8, 16, 512
 LEAF, SPLIT = 48, 32
-#: Rounding that bounds allow for.
-SLACK = 1e-9
+#: Rounding that bounds allow for: the distance of nearly equal points is off by a few times 1e-8.
+SLACK = 1e-7
 
 
 def unit(values: list | None, dim: int) -> np.ndarray | None:
@@ -48,6 +53,12 @@ def unit(values: list | None, dim: int) -> np.ndarray | None:
     return x / math.sqrt(float(x @ x))
 
 
+def units(points: np.ndarray) -> np.ndarray:
+    """Rows that unit() takes, at length one."""
+    x = points / np.abs(points).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def farthest_first(points: np.ndarray, most: int) -> list[int]:
     """Indices of at most so many points, each the farthest from those before it."""
     chosen, far = [0], np.full(len(points), np.inf)
@@ -104,6 +115,8 @@ class Dual:
     def __init__(self, points: np.ndarray, copies: np.ndarray, reach: float, cosine: float):
         self.points, self.copies, self.reach, self.cosine = points, copies, reach, cosine
         self.counts, self.parent, self.edges = np.zeros(len(points), dtype=np.int64), list(range(len(points))), []
+        # A product in single precision is off by less than half the margin.
+        self.rough, self.least = points.astype(np.float32), cosine - (points.shape[1] + 4) * 2.0 ** -23
 
     def root_of(self, i):
         p = self.parent
@@ -112,6 +125,9 @@ class Dual:
             i = p[i]
         return i
 
+    def roots(self, members: np.ndarray) -> np.ndarray:
+        return np.array([self.root_of(i) for i in members.tolist()])
+
     def join(self, i, j):
         x, y = self.root_of(i), self.root_of(j)
         if x != y:
@@ -158,119 +174,160 @@ class Dual:
         self.join(first, int(b.members[0]))
 
     def compare(self, a: Node, b: Node) -> None:
-        for at in range(0, len(a.members), 512):
-            rows = a.members[at:at + 512]
-            hits = self.points[rows] @ self.points[b.members].T >= self.cosine
-            if a is b:
-                hits[np.arange(len(rows)), np.arange(at, at + len(rows))] = False
-            if not hits.any():
-                continue
-            self.counts[rows] += hits @ self.copies[b.members]
-            if a is not b:
-                self.counts[b.members] += self.copies[rows] @ hits
-            seen = np.zeros(hits.shape[1], dtype=bool)
-            for i in np.nonzero(hits.any(axis=1))[0].tolist():
-                mine = hits[i]
-                # The first hit joins the row; of the others those not yet joined through an earlier row.
-                known = np.nonzero(mine & seen)[0]
-                fresh = np.nonzero(mine & ~seen)[0]
-                for j in fresh.tolist():
-                    self.join(int(rows[i]), int(b.members[j]))
-                for j in {self.root_of(int(b.members[k])): int(b.members[k]) for k in known.tolist()}.values():
-                    self.join(int(rows[i]), j)
-                seen |= mine
-
-
-def _cells(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return distance(points, pivots)
+        for at in range(0, len(a.members), TILE):
+            rows = a.members[at:at + TILE]
+            rough = self.rough[rows]
+            for to in range(0, len(b.members), TILE):
+                others = b.members[to:to + TILE]
+                close = rough @ self.rough[others].T >= self.least
+                if close.any():
+                    self.settle(rows[close.any(axis=1)], others[close.any(axis=0)], a is b)
+
+    def settle(self, rows: np.ndarray, others: np.ndarray, same: bool) -> None:
+        """Links between points that may be near; same: rows and others are of one node, whose pairs come in both orders."""
+        hits = self.points[rows] @ self.points[others].T >= self.cosine
+        if same:
+            hits &= rows[:, None] != others[None, :]
+        if not hits.any():
+            return
+        self.counts[rows] += hits @ self.copies[others]
+        if not same:
+            self.counts[others] += self.copies[rows] @ hits
+        while True:
+            # Each row joins one of the points it links to that is not yet in its tree; few rounds are left after the first.
+            fresh = hits & (self.roots(rows)[:, None] != self.roots(others)[None, :])
+            left = np.nonzero(fresh.any(axis=1))[0]
+            if not len(left):
+                return
+            for i, j in zip(rows[left].tolist(), others[fresh[left].argmax(axis=1)].tolist()):
+                self.join(i, j)
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    rows = pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    given = pick(embeddings, "vec_id", "embedding")
+    rows = given.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     reach = math.sqrt(2 - 2 * cosine)
     dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    # Vectors are shuffled as they were given; that loses nothing.
+    kind = np.dtype(np.float32 if given.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, dim))))
 
     def read(part):
         found = [unit(v, dim) for v in part["embedding"]]
-        raw = [None if x is None else x.tobytes() for x in found]
-        return {"vec_id": part["vec_id"], "key": [None if r is None else int(np.uint64(xxhash.xxh3_64_intdigest(r)).astype(np.int64)) for r in raw], "vector": raw}
+        return found, [None if x is None else int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)) for x in found]
+
+    def given_bytes(values):
+        x = np.zeros(dim, dtype=kind)
+        x[:len(values)] = values
+        return x.tobytes()
 
-    base = stored(map_batches(rows, read, "vec_id long, key long, vector binary", rows=1024), "units")
-    points = base.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+    base = stored(map_batches(rows, lambda part: {"vec_id": part["vec_id"], "key": read(part)[1]}, "vec_id long, key long", rows=1024), "units")
+    points = base.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     total = points.count()
     wanted = max(1, min(MOST_PIVOTS, -(-total // block)))
-    sample = points.select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(SAMPLED * wanted).collect() if total else []
+    sample = {r["key"] for r in points.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLED * wanted).collect()} if total else set()
     if not sample:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    known = np.stack([np.frombuffer(bytes(r["vector"])) for r in sample])
+
+    def sampled(part):
+        found, keys = read(part)
+        taken = {k: x.tobytes() for k, x in zip(keys, found) if k in sample}
+        return {"key": list(taken), "vector": list(taken.values())}
+
+    taken = map_batches(rows, sampled, "key long, vector binary", rows=1024).groupBy("key").agg(F.min("vector").alias("vector")).orderBy(F.xxhash64("key"), "key").collect()
+    known = np.stack([np.frombuffer(bytes(r["vector"])) for r in taken])
     pivots = known[farthest_first(known, wanted)]
+    between = distance(pivots, pivots)
+
+    def nearest(part):
+        found, keys = read(part)
+        at = [i for i, k in enumerate(keys) if k is not None]
+        return at, [keys[i] for i in at], distance(np.stack([found[i] for i in at]), pivots).argmin(axis=1).tolist() if at else []
 
     def assign(part):
-        d = distance(np.stack([np.frombuffer(v) for v in part["vector"]]), pivots)
-        nearest = d.argmin(axis=1)
-        return {"key": part["key"], "copies": part["copies"], "vector": part["vector"], "cell": nearest.tolist(), "away": d[np.arange(len(d)), nearest].tolist()}
-
-    placed = stored(map_batches(points, assign, "key long, copies long, vector binary, cell int, away double", rows=1024), "cells")
-    sizes, radii = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():    # a row per pivot
-        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["r"]
+        _, keys, cells = nearest(part)
+        return {"key": keys, "cell": cells}
+
+    sizes = np.zeros(len(pivots), dtype=np.int64)
+    cells = map_batches(rows, assign, "key long, cell int", rows=1024).groupBy("key").agg(F.min("cell").alias("cell"))
+    for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect():    # a row per pivot
+        sizes[r["cell"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // block))
     first = np.concatenate([[0], np.cumsum(blocks)])
+    n_blocks = int(first[-1])
 
     def deal(part):
-        x = np.stack([np.frombuffer(v) for v in part["vector"]])
-        d = distance(x, pivots)
-        out = {c: [] for c in ("a", "b", "side", "key", "copies", "vector")}
-        for i, (key, cell) in enumerate(zip(part["key"], part["cell"])):
-            own = int(first[cell] + (key % 1_000_003) % blocks[cell])
-            for other in np.nonzero((d[i] <= radii + reach + SLACK) & (sizes > 0))[0].tolist():
-                for to in range(int(first[other]), int(first[other + 1])):
-                    for c, v in (("a", min(own, to)), ("b", max(own, to)), ("side", own), ("key", key), ("copies", part["copies"][i]), ("vector", part["vector"][i])):
-                        out[c].append(v)
-        return out
-
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = map_batches(placed.select("key", "copies", "vector", "cell"), deal, "a long, b long, side long, key long, copies long, vector binary", rows=256)
-    met = dealt.repartition(4 * parts, "a", "b").sortWithinPartitions("a", "b", "key")
-
-    def finish(name, rows):
-        x = np.stack([np.frombuffer(r[3]) for r in rows])
-        side = np.array([r[0] for r in rows])
-        dual = Dual(x, np.array([r[2] for r in rows], dtype=np.int64), reach, cosine)
-        left, right = np.nonzero(side == name[0])[0], np.nonzero(side == name[1])[0]
-        if name[0] == name[1]:
-            root = dual.tree(left)
-            dual.traverse(root, root)
-        elif len(left) and len(right):
-            dual.traverse(dual.tree(left), dual.tree(right))
-        return [(r[1], None, int(c)) for r, c in zip(rows, dual.counts) if c] + [(rows[i][1], rows[j][1], None) for i, j in dual.edges]
+        at, keys, cells = nearest(part)
+        own = [int(first[c] + (k % 1_000_003) % blocks[c]) for k, c in zip(keys, cells)]
+        return {"key": keys, "block": own, "cell": cells, "vector": [given_bytes(part["embedding"][i]) for i in at]}
+
+    least = F.min(F.struct("block", "cell", "vector"))    # equal vectors are in one block, though their nearest pivots may tie
+    dealt = map_batches(rows, deal, "key long, block int, cell int, vector binary", rows=1024).groupBy("key").agg(F.count("*").alias("copies"), least.alias("v")).select("key", "copies", "v.*")
+
+    packing = pa.schema([("block", pa.int32()), ("cell", pa.int32()), ("radius", pa.float64()), ("between", pa.list_(pa.float64())), ("keys", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())])
+
+    def gather(batches):
+        """The block that a partition holds as a row."""
+        held = {}
+        for batch in batches:
+            for name, *row in zip(*(batch[c].to_pylist() for c in ("block", "cell", "key", "copies", "vector"))):
+                held.setdefault(name, []).append(row)
+        for name, rows in held.items():
+            cells, keys, copies, vectors = zip(*rows)
+            raw = b"".join(vectors)
+            away = distance(units(np.frombuffer(raw, dtype=kind).reshape(-1, dim).astype(float)), pivots[cells[0]][None, :])
+            row = [name, cells[0], float(away.max()), between[cells[0]].tolist(), np.array(keys, dtype=np.int64).tobytes(), np.array(copies, dtype=np.int64).tobytes(), raw]
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, packing)], schema=packing)
+
+    packed = dealt.repartitionById(n_blocks, "block").mapInArrow(gather, "block int, cell int, radius double, between array<double>, keys binary, copies binary, vectors binary")
+    groups = min(n_blocks, max(APART, -(-n_blocks // TOGETHER)))
+    spread = packed.repartitionById(groups, F.col("block") % groups)
+    a, b = (spread.select(*(F.col(c).alias(f"{side}_{c}") for c in spread.columns)) for side in "ab")
+    even = (F.col("a_block") + F.col("b_block")) % 2 == 0     # each two blocks once, and as often in either order
+    once = F.when(even, F.col("a_block") <= F.col("b_block")).otherwise(F.col("a_block") > F.col("b_block"))
+    # Both sides take the same columns, else Spark would shuffle them apart.
+    near = F.least(F.col("a_between")[F.col("b_cell")], F.col("b_between")[F.col("a_cell")]) <= F.col("a_radius") + F.col("b_radius") + F.lit(reach + SLACK)
+    names = ("block", "cell", "radius", "keys", "copies", "vectors")
+    met = a.hint("shuffle_replicate_nl").join(b, once & near).select(*(f"{side}_{c}" for side in "ab" for c in names))
+
+    def side(row):
+        block, cell, radius, keys, copies, vectors = row
+        return block, pivots[cell], radius, np.frombuffer(keys, dtype=np.int64), np.frombuffer(copies, dtype=np.int64), units(np.frombuffer(vectors, dtype=kind).reshape(-1, dim).astype(float))
+
+    def finish(row):
+        (one, pivot, radius, keys, copies, x), (other, far, wide, *rest) = side(row[:len(names)]), side(row[len(names):])
+        if one == other:
+            left = right = np.arange(len(keys))
+        else:
+            mine, theirs = (distance(p, c[None, :])[:, 0] <= r + reach + SLACK for p, c, r in ((x, far, wide), (rest[2], pivot, radius)))
+            keys, copies, x = (np.concatenate([u[mine], v[theirs]]) for u, v in zip((keys, copies, x), rest))
+            left, right = np.arange(int(mine.sum())), np.arange(int(mine.sum()), len(keys))
+        dual = Dual(x, copies, reach, cosine)
+        if len(left) and len(right):
+            tree = dual.tree(left)
+            dual.traverse(tree, tree if one == other else dual.tree(right))
+        linked, (u, v) = np.nonzero(dual.counts)[0], np.array(dual.edges, dtype=np.int64).reshape(-1, 2).T
+        counted = np.arange(len(linked) + len(u)) < len(linked)
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys[np.concatenate([linked, u])]),
+            pa.array(keys[np.concatenate([linked, v])], mask=counted),
+            pa.array(np.concatenate([dual.counts[linked], np.zeros(len(u), dtype=np.int64)]), mask=~counted),
+        ], names=["u", "v", "links"])
 
     def run(batches):
-        name, rows = None, []
         for batch in batches:
-            out = []
-            for a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (a, b) != name:
-                    out += finish(name, rows) if rows else []
-                    name, rows = (a, b), []
-                rows.append(row)
-            yield _batch(out)
-        yield _batch(finish(name, rows) if rows else [])
+            for i in range(batch.num_rows):
+                yield finish([c[i].as_py() for c in batch.columns])
 
     found = stored(met.mapInArrow(run, "u long, v long, links long"), "vector-links")
     edges = found.filter("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b"))
     vertices = edges.select(F.col("a").alias("vertex")).union(edges.select(F.col("b").alias("vertex"))).distinct()
     roots = components(vertices, edges, lambda df: stored(df, "rounds")).withColumnRenamed("vertex", "key")
     links = found.filter("v is null").groupBy(F.col("u").alias("key")).agg(F.sum("links").alias("links"))
-    joined = points.select("key", "least", "copies").join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    joined = points.join(roots, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_key = joined.join(named, "root").select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = base.select("vec_id", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
-
-
-def _batch(rows):
-    columns = list(zip(*rows)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "links"])
